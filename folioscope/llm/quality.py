@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import raw, slices
 
-TRAIN_PER_CLASS, BITS, DIM, EPOCHS, RATE = 2500, 18, 12, 4, 0.5
+TRAIN_PER_CLASS, BITS, DIM, EPOCHS, RATE, LEAST_STEPS = 2500, 18, 12, 4, 0.5, 6000
 GRAMS = (3, 4, 5)
 PIECE = 1 << 19
 MULT = 0x9E3779B97F4A7C15
@@ -95,7 +95,7 @@ def features(parts: list[bytes]):
             continue
         k = np.flatnonzero(inner[n - 1 :][: len(start) - n + 1] == inner[1 : len(start) - n + 2])
         s, e = start[k], at[k + n]
-        yield bucket((pre[e] - pre[s]) * down[s], n), np.minimum(np.searchsorted(ends, s, "left"), len(parts) - 1)
+        yield bucket((pre[e] - pre[s]) * down[s], n), np.minimum(np.searchsorted(ends, s, "right"), len(parts) - 1)
 
 
 def grouped(texts: list[bytes]):
@@ -135,24 +135,25 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, share: float
     vec = rng.uniform(-1, 1, (1 << BITS, DIM)).astype(np.float32) / DIM
     out = np.zeros((2, DIM), np.float32)
     bias = np.zeros(2, np.float32)
-    steps, done = EPOCHS * len(rows), 0
-    for _ in range(EPOCHS):
-        for k in rng.permutation(len(rows)):
-            b, w = rows[k]
-            rate = RATE * (1 - done / steps)
-            done += 1
-            hid = w @ vec[b] if len(b) else np.zeros(DIM, np.float32)
-            z = out @ hid + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[k]] -= 1
-            back = out.T @ p
-            out -= rate * np.outer(p, hid)
-            bias -= rate * p
-            if len(b):
-                vec[b] -= (rate / max(float(w @ w), 1e-4)) * 0.1 * np.outer(w, back)
-    balance = float(np.log(max(y.sum(), 1) / max((1 - y).sum(), 1)))
-    return vec @ (out[1] - out[0]), float(bias[1] - bias[0]) + prior - balance
+    steps = max(EPOCHS * len(rows), LEAST_STEPS)
+    of = [np.flatnonzero(y == c) for c in (0, 1)]
+    # both classes in turn, each through its own documents in random order
+    turns = [np.concatenate([rng.permutation(k) for _ in range(-(-steps // (2 * len(k))))]) for k in of]
+    for step in range(steps):
+        k = turns[step % 2][step // 2]
+        b, w = rows[k]
+        rate = RATE * (1 - step / steps)
+        hid = w @ vec[b] if len(b) else np.zeros(DIM, np.float32)
+        z = out @ hid + bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        p[y[k]] -= 1
+        back = out.T @ p
+        out -= rate * np.outer(p, hid)
+        bias -= rate * p
+        if len(b):
+            vec[b] -= (rate / max(float(w @ w), 1e-4)) * 0.1 * np.outer(w, back)
+    return vec @ (out[1] - out[0]), float(bias[1] - bias[0]) + prior
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int = TRAIN_PER_CLASS) -> tuple[np.ndarray, float]:
