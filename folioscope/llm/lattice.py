@@ -36,7 +36,7 @@ from folioscope.plans.staging import stage
 
 MARK = "▁"
 PRIOR_MASS = 1000.0
-SLICE = 12_000_000
+SLICE = 24_000_000
 
 
 @lru_cache(maxsize=2)

@@ -85,7 +85,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     settle = plan.select("no", "slots").join(had, "no", "left").select("no", F.lit(shards).cast("int").alias("shard"), (F.col("slots") - F.coalesce("had", F.lit(0))).alias("got"), F.coalesce("had", F.lit(0)).alias("start"))
     runs = drawn.select("no", "shard", "got", "start").unionByName(settle)
     runs = runs.join(plan.select("no", "n", "short", "cut", "slots", "last_take"), "no").withColumn("stop", F.least(F.col("start") + F.col("got"), "slots"))
-    slots = runs.where("stop > start").select("no", "n", "short", "cut", "slots", "last_take", F.explode(F.sequence("start", F.col("stop") - 1)).alias("i"))
+    # a few rows grow into all slots here: spread them by the slots they stand for
+    spread = max(docs.sparkSession.sparkContext.defaultParallelism, total // 400_000 + 1)
+    slots = runs.where("stop > start").repartition(spread, "no", "shard").select("no", "n", "short", "cut", "slots", "last_take", F.explode(F.sequence("start", F.col("stop") - 1)).alias("i"))
     slots = slots.withColumn("pass", F.expr("i div n")).withColumn("pos", F.expr("i % n"))
     slots = permuted(slots, "pos", "n", ["no", "pass"], "block", seed)
     holds = F.lit(block) - F.when(F.col("block") == F.col("n") - 1, F.col("short")).otherwise(0)
