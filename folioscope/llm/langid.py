@@ -42,10 +42,10 @@ def dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     """Raw dictionary content by language, from at most DOCS_PER_LANGUAGE whole documents that are no longer than a dictionary."""
     ok = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
     ok = ok.where("lang is not null and octet_length(t) between 1 and " + str(DICT_BYTES)).withColumn("h", F.xxhash64("id", "t"))
-    # a hash threshold by language keeps the ranking small however many tasks feed it
+    # a hash threshold by language keeps the ranking small however many tasks feed it; there are as many counts as dictionaries
     n = ok.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = (F.col("h") / F.lit(float(1 << 63)) + 1) / 2
-    few = ok.select("lang", "h").join(n, "lang").where(share * F.col("n") <= 4.0 * DOCS_PER_LANGUAGE).select("lang", "h")
+    few = ok.select("lang", "h").join(F.broadcast(n), "lang").where(share * F.col("n") <= 4.0 * DOCS_PER_LANGUAGE).select("lang", "h")
     some = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= DOCS_PER_LANGUAGE).select("lang", "h")
     rows = ok.join(F.broadcast(some), ["lang", "h"]).select("lang", "h", "t")  # ids of at most DOCS_PER_LANGUAGE documents a language
 

@@ -71,15 +71,12 @@ def anchor_runs(buf: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM
         val, pos = np.where(later, b, a), np.where(later, pos[step:], pos[: len(pos) - step])
         width += step
     # a start counts if the string ends within its text
-    start_ok = np.zeros(len(pos) + 1, np.int32)
-    begins = np.append(0, ends)[:-1]
-    has = ends - begins >= length
-    np.add.at(start_ok, begins[has], 1)
-    np.add.at(start_ok, ends[has] - length + 1, -1)
-    ok = np.flatnonzero(np.cumsum(start_ok[:-1]) > 0)
+    sizes = np.diff(np.append(0, ends))
+    left = np.repeat(ends, sizes) - np.arange(len(buf))
+    ok = np.flatnonzero(left >= length)
     if not len(ok):
         return none, none, np.empty(0, np.uint64)
-    cut = runs(pos[ok], np.searchsorted(ends, ok, "right"))
+    cut = runs(pos[ok], (ok + left[ok]))
     return ok[cut[:-1]], ok[cut[1:] - 1], full[pos[ok[cut[:-1]]]]
 
 
@@ -169,6 +166,21 @@ class Family:
         return batch.take(np.flatnonzero(~gone))
 
 
+def equal_to_earlier(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which stretches of ``buf`` hold the same bytes as one before them."""
+    h = spans_hash(prefix(buf), begin, size)
+    order = np.lexsort((np.arange(len(h)), size, h))
+    same = np.zeros(len(h), bool)
+    text = buf.tobytes()
+    lead = -1
+    for k, new in zip(order, np.append(True, (h[order][1:] != h[order][:-1]) | (size[order][1:] != size[order][:-1]))[: len(h)], strict=True):
+        if new:
+            lead = text[begin[k] : begin[k] + size[k]]
+        elif text[begin[k] : begin[k] + size[k]] == lead:
+            same[k] = True
+    return same
+
+
 def merge_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open spans; touching spans become one."""
     if not len(lo):
@@ -263,10 +275,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             order = np.lexsort((lo, ties[d], ids[d], whole))
             lo, size, h, d, whole = lo[order], size[order], h[order], d[order], whole[order]
             # equal stretches within the slice: all but the first are settled here
-            same = np.append(False, (whole[1:] == whole[:-1]) & (size[1:] == size[:-1]))
-            for k in np.flatnonzero(same):
-                if buf[lo[k] : lo[k] + size[k]].tobytes() != buf[lo[k - 1] : lo[k - 1] + size[k - 1]].tobytes():
-                    same[k] = False
+            same = equal_to_earlier(buf, lo, size)
             begins = np.append(0, ends)[:-1]
             if same.any():
                 w = lo[same] - begins[d[same]]
@@ -274,11 +283,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lo, size, h, d = lo[~same], size[~same], h[~same], d[~same]
             b = (h % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((lo, ties[d], ids[d], b))
-            lo, size, d, b = lo[order], size[order], d[order], b[order]
+            lo, size, h, d, b = lo[order], size[order], h[order], d[order], b[order]
             text = buf.tobytes()
             cut_ = runs(b)
             for x, y in zip(cut_, cut_[1:], strict=False):
-                meta = np.stack([d[x:y], ids[d[x:y]], ties[d[x:y]], lo[x:y] - begins[d[x:y]], size[x:y]])
+                meta = np.stack([d[x:y], ids[d[x:y]], ties[d[x:y]], lo[x:y] - begins[d[x:y]], size[x:y], h[x:y].view(np.int64)])
                 out.append((int(b[x]), row.slice, meta.tobytes(), packer.compress(b"".join(text[p : p + q] for p, q in zip(lo[x:y], size[x:y], strict=True)))))
         return pd.DataFrame(out, columns=["bucket", "slice", "meta", "z"])
 
@@ -295,29 +304,44 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 family, held_, room = Family(length), [], BATCH
                 metas, where = [], []
                 for s, m, z in zip(some["slice"], some["meta"], some["z"], strict=True):
-                    meta = np.frombuffer(m, np.int64).reshape(5, -1)
+                    meta = np.frombuffer(m, np.int64).reshape(6, -1)
                     held_.append((meta, np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)))
                     metas.append(np.unique(meta[:3], axis=1))
                     where.append(np.full(metas[-1].shape[1], s))
                     room -= len(held_[-1][1])
                     if room < 0:
-                        add(family, held_)
+                        add(family, held_, False)
                         held_, room = [], BATCH
                 if held_:
-                    add(family, held_)
+                    add(family, held_, room + sum(len(t) for _, t in held_) == BATCH and not family.levels)
+                if not family.later:
+                    continue
                 late = [np.concatenate(c) for c in zip(*family.later, strict=True)]
                 if len(late[0]):
                     yield back(late, np.concatenate(metas, axis=1), np.concatenate(where))
 
-    def add(family: Family, held_) -> None:
+    def add(family: Family, held_, whole: bool) -> None:
+        """Index a batch; ``whole`` if the bucket has no other."""
         meta = np.concatenate([m for m, _ in held_], axis=1)
-        size = meta[4]
         buf = np.concatenate([t for _, t in held_])
-        begin = np.cumsum(size) - size
+        begin = np.cumsum(meta[4]) - meta[4]
         order = np.lexsort((meta[3], meta[2], meta[1]))  # document order
-        size, begin = size[order], begin[order]
+        meta, begin = meta[:, order], begin[order]
+        # stretches that equal an earlier one are settled as they are
+        same = equal_to_earlier(buf, begin, meta[4])
+        for k in np.flatnonzero(same):
+            n = int(meta[4, k]) - length + 1
+            family.later.append((np.full(n, meta[1, k]), np.full(n, meta[2, k]), meta[3, k] + np.arange(n)))
+        keep = ~same
+        if whole:  # an anchor with one distinct stretch has nothing to match
+            _, inv, n = np.unique(meta[5][keep], return_inverse=True, return_counts=True)
+            keep[keep] = n[inv] > 1
+        meta, begin = meta[:, keep], begin[keep]
+        if not meta.shape[1]:
+            return
+        size = meta[4]
         at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        family.add(buf[at], np.cumsum(size), meta[1][order], meta[2][order], meta[3][order])
+        family.add(buf[at], np.cumsum(size), meta[1], meta[2], meta[3])
 
     def back(late, docs, where) -> pd.DataFrame:
         """Spans of later strings, grouped by the slice that holds their document."""

@@ -467,7 +467,8 @@ def test_compact_windows_match_definition():
     rng = np.random.default_rng(6)
     h = rng.integers(0, 40, 60, dtype=np.uint64)
     ends = np.array([25, 25, 60])
-    c, lo, hi = passages.compact_windows(h, ends, 7)
+    c = passages.minima(h, passages.valid_starts(ends, 7), 7)
+    lo, hi = passages.compact_windows(h, ends, c)
     got = set(zip(c.tolist(), lo.tolist(), hi.tolist(), strict=True))
     want = {}
     for a, b in ((0, 25), (25, 60)):
