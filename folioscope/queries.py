@@ -2,5 +2,552 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from folioscope.functions import text as T
+from folioscope.operators import context, dedup, glossary, ledger, matching, tables
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def tab(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def values(spark: SparkSession, sql: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {sql}")
+
+
+TERMS = "(VALUES ('e1','the'),('e2','of'),('e3','and'),('e4','de'),('e5','la'),('e6','der'),('e7','die'),('e8','with')) AS t(entry_id, term)"
+GLOSSARY = """(VALUES ('g1','p1','the','der','term','locked',true,'n1',CAST(NULL AS STRING),3),('g2','p1','of','von','term','confirmed',true,NULL,'m',1),
+ ('g3','p1','and','und','place','proposed',true,NULL,NULL,2),('g4','p1',NULL,'Haus','term','locked',false,NULL,NULL,5),('g5','p2','with','mit','person','confirmed',true,'say "x"','f',4),
+ ('g6','p2','the','das','term','proposed',true,NULL,NULL,6),('g7','p2','from','aus','term','locked',true,NULL,NULL,7),('g8','p2',NULL,'Garten','term','confirmed',false,NULL,NULL,8),
+ ('g9','p2','The','Der','term','confirmed',true,NULL,NULL,9)) AS g(id, project_id, source_term, target_term, type, status, source_known, notes, gender, created_at)"""
+ALIASES = "(VALUES ('g1','source','a'),('g1','source','an'),('g1','target','den'),('g2','target','vom'),('g2','source','off'),('g5','target','samt'),('g7','source','of')) AS a(entry_id, side, text)"
+PRICES = "(VALUES ('gpt',1.0D,2.0D),('gpt-large',3.0D,6.0D),('ada',0.1D,0.1D)) AS p(name, prompt_price, completion_price)"
+MODELS = "(VALUES ('gpt'),('gpt-large-2024-05-01'),('gpt-large-mini-x'),('gpt-x'),('ada-002'),('other')) AS m(model)"
+STRINGS = r"""(VALUES (1,'1999'),(2,'c. 1840'),(3,'1914-1918'),(4,'The 1990s'),(5,'1990s'),(6,'44 BC'),(7,'House of Lords'),(8,'a very long phrase that has far more than ten words in its text'),
+ (9,'Wait. What now'),(10,'open (bracket'),(11,'[[T0]][[/T0]]'),(12,'  '),(13,'[[T1]] x'),(14,'FIFA ('),(15,'  House Lannister  '),(16,'Heavily Indebted Poor Country (HIPC) initiative'),
+ (17,'the the cat'),(18,'Of, of course'),(19,'the House'),(20,'an  apple pie'),(21,'theatre'),(22,'— So he said'),(23,'"Yes" she said'),(24,'plain prose'),(25,'“quoted”'),(26,'1h2m3s'),(27,'250ms'),(28,'90'),
+ (29,'http://localhost:8080/x'),(30,'http://192.168.1.7/'),(31,'https://example.com/a'),(32,'http://printer.local'),(33,'http://10.0.0.3:99'),(34,'img/a.PNG'),(35,'x.css'),(36,'none')) AS s(id, s)"""
+
+
+def duck(sql: str) -> str:
+    return sql.replace("STRING)", "VARCHAR)").replace("0D", "0::DOUBLE").replace("1D", "1::DOUBLE")
+
+
+def chapters(docs: DataFrame) -> DataFrame:
+    """Documents as segments: a chapter for each source, in id order."""
+    return docs.select("doc_id", "text", "lang", F.col("source").alias("chapter"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("idx"))
+
+
+SEGMENTS = """(SELECT d.doc_id, d.source AS chapter, d.text AS source_text, replace(d.text, 'the', 'der') AS target_text,
+ CASE WHEN l.toxic = 1 THEN 'flagged' WHEN l.quality = 1 THEN 'approved' WHEN l.doc_id IS NOT NULL THEN 'translated' ELSE 'pending' END AS status
+ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    lab = tab(spark, d, "labels")
+    status = F.when(F.col("toxic") == 1, "flagged").when(F.col("quality") == 1, "approved").when(F.col("quality").isNotNull(), "translated").otherwise("pending")
+    docs = tab(spark, d, "documents").join(lab, "doc_id", "left")
+    return docs.select("doc_id", F.col("source").alias("chapter"), F.col("text").alias("source_text"), F.replace("text", F.lit("the"), F.lit("der")).alias("target_text"), status.alias("status"))
+
+
+# term matching
+
+
+def _hits(term: str, text: str) -> str:
+    return f"len(list_filter(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: x = {term}))"
+
+
+@query(f"""SELECT entry_id, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS docs FROM (
+ SELECT t.entry_id, d.doc_id, {_hits('t.term', 'd.text')} AS n FROM documents d, {TERMS}) WHERE n > 0 GROUP BY entry_id""")
+def term_occurrences(spark, d):
+    return matching.occurrence_report(matching.term_matches(tab(spark, d, "documents"), values(spark, TERMS)))
+
+
+@query(f"""SELECT d.lang, t.term, count(*) AS docs FROM documents d, {TERMS} WHERE {_hits('t.term', 'd.text')} > 0 GROUP BY d.lang, t.term""")
+def term_existence_by_lang(spark, d):
+    docs = tab(spark, d, "documents")
+    return matching.term_matches(docs, values(spark, TERMS)).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"""SELECT s.doc_id, g.id AS entry_id, CASE WHEN g.status = 'locked' AND g.source_known THEN 'error' ELSE 'warning' END AS severity
+ FROM {SEGMENTS} s, {duck(GLOSSARY)} WHERE g.status <> 'proposed' AND g.source_term IS NOT NULL
+ AND {_hits('g.source_term', 's.source_text')} > 0 AND {_hits('g.target_term', 's.target_text')} = 0""")
+def violations(spark, d):
+    g = values(spark, GLOSSARY).withColumn("target_aliases", F.array().cast("array<string>"))
+    return matching.violations(segments(spark, d), g)
+
+
+@query(f"""SELECT doc_id, CASE WHEN a > 0 AND b > 0 THEN 'both' WHEN a > 0 THEN 'source' ELSE 'target' END AS reason FROM (
+ SELECT doc_id, {_hits("'of'", 'source_text')} AS a, {_hits("'der'", 'target_text')} AS b FROM {SEGMENTS} WHERE status <> 'pending') WHERE a > 0 OR b > 0""")
+def cascade_affected(spark, d):
+    return matching.affected(segments(spark, d), "of", "der").select("doc_id", "reason")
+
+
+@query(f"""SELECT doc_id, CAST({_hits("'der'", 'target_text')} AS BIGINT) AS replacements FROM {SEGMENTS}""")
+def rename_counts(spark, d):
+    return matching.rename(segments(spark, d), "der", "$1 DAS").select("doc_id", "replacements")
+
+
+# ledger and event reports
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'flagged') AS flagged,
+ count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'translated') AS translated FROM """ + SEGMENTS)
+def doc_status_pivot(spark, d):
+    n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    return segments(spark, d).agg(F.count(F.lit(1)).alias("total"), *map(n, ("pending", "flagged", "approved", "translated")))
+
+
+@query(f"SELECT chapter, status, count(*) AS n FROM {SEGMENTS} GROUP BY ALL")
+def status_facets(spark, d):
+    return segments(spark, d).groupBy("chapter", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def event_kind_distinct(spark, d):
+    return tab(spark, d, "events").select("event_type").distinct()
+
+
+@query("""SELECT event_type, count(*) AS n, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS max_k FROM
+ (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 200) WHERE event_type IN ('error', 'purchase', 'signup') GROUP BY event_type""")
+def event_digest_last200(spark, d):
+    last = tab(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200)
+    kept = last.where(F.col("event_type").isin("error", "purchase", "signup"))
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max(F.from_json("props", "k bigint")["k"]).alias("max_k"))
+
+
+@query("""SELECT event_type, count(*) AS n, round(avg(value) FILTER (value >= 0), 6) AS avg_value, max(value) FILTER (value >= 0) AS max_value FROM
+ (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) GROUP BY event_type""")
+def activity_recent_n(spark, d):
+    last = tab(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(500)
+    ok = F.when(F.col("value") >= 0, F.col("value"))
+    return last.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok), 6).alias("avg_value"), F.max(ok).alias("max_value"))
+
+
+@query("SELECT event_type, round(sum(coalesce(value, 0)), 4) AS cost, count(*) AS calls FROM events GROUP BY event_type")
+def cost_by_kind(spark, d):
+    return tab(spark, d, "events").groupBy("event_type").agg(F.round(F.sum(F.coalesce("value", F.lit(0.0))), 4).alias("cost"), F.count(F.lit(1)).alias("calls"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_event_per_user(spark, d):
+    return tables.latest(tab(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query(f"""SELECT s.doc_id, s.chapter, e.event_id, e.event_type FROM (SELECT * FROM {SEGMENTS} WHERE status = 'flagged') s LEFT JOIN
+ (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) e ON s.doc_id = e.user_id""")
+def flagged_with_latest_event(spark, d):
+    e = tables.latest(tab(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    s = segments(spark, d).where("status = 'flagged'")
+    return s.join(e, s["doc_id"] == e["user_id"], "left").select("doc_id", "chapter", "event_id", "event_type")
+
+
+@query("""SELECT c.c_custkey, o.o_orderkey, l.l_linenumber, row_number() OVER (PARTITION BY c.c_custkey ORDER BY o.o_orderdate, o.o_orderkey, l.l_linenumber) AS place
+ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey""")
+def occurrence_join3(spark, d):
+    j = tab(spark, d, "lineitem").join(tab(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(tab(spark, d, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.select("c_custkey", "o_orderkey", "l_linenumber", F.row_number().over(W.partitionBy("c_custkey").orderBy("o_orderdate", "o_orderkey", "l_linenumber")).cast("bigint").alias("place"))
+
+
+@query(f"""SELECT c.chapter, CAST(coalesce(p.n, 0) AS BIGINT) AS pending FROM (SELECT DISTINCT source AS chapter FROM documents) c LEFT JOIN
+ (SELECT chapter, count(*) AS n FROM {SEGMENTS} WHERE status = 'flagged' GROUP BY chapter) p USING (chapter)""")
+def pending_per_chapter_zero_fill(spark, d):
+    s = segments(spark, d)
+    p = s.where("status = 'flagged'").groupBy("chapter").agg(F.count(F.lit(1)).alias("n"))
+    return s.select("chapter").distinct().join(p, "chapter", "left").select("chapter", F.coalesce("n", F.lit(0)).cast("bigint").alias("pending"))
+
+
+@query("""SELECT user_id, count(*) AS n, round(100.0 * count(*) FILTER (event_type = 'click') / count(*), 4) AS hit_rate FROM events GROUP BY user_id""")
+def cache_rate(spark, d):
+    g = tab(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("event_type") == "click", 1)).alias("h"))
+    return g.select("user_id", "n", ledger.rate(F.col("h"), F.col("n")).alias("hit_rate"))
+
+
+@query("""SELECT event_id, event_type FROM events WHERE contains(lower(event_type || chr(10) || props), 'k": 7') OR contains(lower(event_type), 'pur')""")
+def free_text_filter(spark, d):
+    hay = F.lower(F.concat_ws("\n", "event_type", "props"))
+    return tab(spark, d, "events").where(hay.contains('k": 7') | F.lower("event_type").contains("pur")).select("event_id", "event_type")
+
+
+@query("""SELECT o_custkey, o_orderkey AS last_run, o_orderdate AS started FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def latest_run_per_owner(spark, d):
+    g = tab(spark, d, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderdate"), F.struct("o_orderdate", "o_orderkey")).alias("x"))
+    return g.select("o_custkey", F.col("x.o_orderkey").alias("last_run"), F.col("x.o_orderdate").alias("started"))
+
+
+@query("""SELECT event_type, CASE WHEN value > 50 THEN 'flagged' WHEN user_id % 3 = 0 THEN 'cached' ELSE 'translated' END AS outcome, count(*) AS n,
+ CAST(sum(event_id) AS BIGINT) AS tokens, round(sum(value), 3) AS cost FROM events GROUP BY ALL""")
+def batch_outcomes(spark, d):
+    e = tab(spark, d, "events").select("event_type", (F.col("value") > 50).cast("int").alias("n_violations"), (F.col("user_id") % 3 == 0).cast("int").alias("cache_hit"), F.col("event_id").alias("tokens"), F.col("value").alias("cost"))
+    return ledger.outcomes(e, "event_type").withColumn("cost", F.round("cost", 3))
+
+
+# vectors
+
+COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+@query(f"""SELECT q.vec_id AS query_id, r.vec_id AS ref_id, round({COS.format(a='q.embedding', b='r.embedding')}, 6) AS sim,
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='q.embedding', b='r.embedding')} DESC, r.vec_id) AS place
+ FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0 AND {COS.format(a='q.embedding', b='r.embedding')} >= 0.2 QUALIFY place <= 5""")
+def cosine_topk(spark, d):
+    v = tab(spark, d, "embeddings")
+    return dedup.top_k(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 5, 0.2).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""SELECT a.vec_id AS a, b.vec_id AS b, round({COS.format(a='a.embedding', b='b.embedding')}, 6) AS sim FROM embeddings a JOIN embeddings b
+ ON a.label = b.label AND a.vec_id < b.vec_id WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.3""")
+def cosine_pairs_same_label(spark, d):
+    return dedup.cosine_pairs(tab(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.3).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+ WHERE {COS.format(a='a.embedding', b='b.embedding')} >= 0.3), w AS (SELECT a, a AS b FROM l UNION SELECT w.a, l.b FROM w JOIN l ON w.b = l.a),
+ c AS (SELECT a, min(b) AS component FROM w GROUP BY a) SELECT component, count(*) AS n, list_sort(list(a)) AS members FROM c GROUP BY component""")
+def embedding_clusters(spark, d):
+    return dedup.clusters(dedup.cosine_pairs(tab(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.3))
+
+
+@query("SELECT label, count(*) AS vectors, count(DISTINCT vec_id) AS refs FROM embeddings GROUP BY label")
+def model_histogram(spark, d):
+    return tab(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.countDistinct("vec_id").alias("refs"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def anti_embedded(spark, d):
+    return tables.delete(tab(spark, d, "documents").select("doc_id"), tab(spark, d, "embeddings"), "doc_id", "vec_id")
+
+
+# duplicates
+
+
+@query("""WITH t AS (SELECT s_name AS k FROM supplier) SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.k < b.k
+ AND left(a.k, least(3, length(a.k), length(b.k))) = left(b.k, least(3, length(a.k), length(b.k))) AND levenshtein(a.k, b.k) <= 2""")
+def near_dup_pairs(spark, d):
+    t = tab(spark, d, "supplier").select(F.col("s_name").alias("k"))
+    return dedup.near_pairs(t, "k", "k")
+
+
+@query("""SELECT p_name AS source_term, count(*) AS n, list(p_partkey ORDER BY p_retailprice, p_partkey) AS ids FROM part GROUP BY p_name HAVING count(*) > 1""")
+def exact_dup_groups(spark, d):
+    p = tab(spark, d, "part").select(F.col("p_name").alias("source_term"), F.lit("locked").alias("status"), F.lit("x").alias("type"), F.col("p_retailprice").alias("created_at"), F.col("p_partkey").alias("id"))
+    return glossary.duplicates(p)
+
+
+@query("SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS winner FROM documents GROUP BY text HAVING count(*) > 1")
+def dup_documents(spark, d):
+    return tab(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("winner")).where("n > 1")
+
+
+# text
+
+
+@query("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\p{L}+(?:''\\p{L}+)?'), lambda x: lower(x)) AS ws FROM documents WHERE lang = 'en'),
+ p AS (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w) SELECT doc_id, ws[i] AS word, CAST(i - 1 AS INTEGER) AS at FROM p
+ WHERE ws[i] = ws[i + 1] AND ws[i] IN (""" + ",".join(f"'{x}'" for x in T.PARTICLES["en"].split()) + ")")
+def doubled_particles(spark, d):
+    docs = tab(spark, d, "documents").where("lang = 'en'")
+    return docs.select("doc_id", F.explode(T.doubled_particles(F.col("text"), F.col("lang"))).alias("x")).select("doc_id", "x.word", "x.at")
+
+
+@query(f"""SELECT id, CASE WHEN regexp_matches(trim(s), '^\\S+\\s+\\S') AND lower(regexp_extract(trim(s), '^(\\S+)', 1)) IN ({",".join(f"'{x}'" for x in T.PARTICLES["en"].split())})
+ THEN lower(regexp_extract(trim(s), '^(\\S+)', 1)) END AS particle FROM {STRINGS} WHERE id IN (7, 17, 19, 20, 21, 24)""")
+def leading_particle(spark, d):
+    return values(spark, STRINGS).where("id in (7, 17, 19, 20, 21, 24)").select("id", T.leading_particle(F.col("s"), F.lit("en")).alias("particle"))
+
+
+@query("SELECT * FROM (VALUES (7,'house of lords'),(14,'fifa'),(15,'house lannister'),(16,'heavily indebted poor country')) AS t(id, canon)")
+def canonical_terms(spark, d):
+    return values(spark, STRINGS).where("id in (7, 14, 15, 16)").select("id", T.canonical(T.nfkc(F.col("s"))).alias("canon"))
+
+
+@query("""SELECT doc_id, regexp_matches(trim(text), '^[—–―]\\s*\\S') OR regexp_matches(text, '[“„«‹「『‟〝‚”»›」』〞]') OR regexp_matches(text, '"[^"]*[\\p{L}\\p{N}][^"]*"') AS is_dialogue FROM documents""")
+def dialogue_flag(spark, d):
+    return tab(spark, d, "documents").select("doc_id", T.dialogue(F.col("text")).alias("is_dialogue"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, floor(length(text) / 4)) AS BIGINT) AS tokens, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor(length(text) / 4)) END AS BIGINT) AS llm_tokens FROM documents")
+def token_counts(spark, d):
+    return tab(spark, d, "documents").select("doc_id", T.rough_tokens(F.col("text")).alias("tokens"), T.rough_tokens(F.col("text"), 0).alias("llm_tokens"))
+
+
+@query("SELECT * FROM (VALUES (1,true),(2,true),(3,true),(4,false),(5,true),(6,true),(7,false),(24,false)) AS t(id, is_year)")
+def year_like(spark, d):
+    return values(spark, STRINGS).where("id in (1,2,3,4,5,6,7,24)").select("id", T.year_like(F.col("s")).alias("is_year"))
+
+
+@query("SELECT * FROM (VALUES (1,'year'),(7,NULL),(8,'too_many_words'),(9,'sentence'),(10,'unbalanced'),(24,NULL)) AS t(id, why)")
+def extractor_caps(spark, d):
+    return values(spark, STRINGS).where("id in (1,7,8,9,10,24)").select("id", T.cap_violation(F.col("s")).alias("why"))
+
+
+@query(f"SELECT id, trim(regexp_replace(s, '\\[\\[/?T\\d+\\]\\]', '', 'g')) = '' AS empty FROM {STRINGS}")
+def trivially_empty(spark, d):
+    return values(spark, STRINGS).select("id", T.trivially_empty(F.col("s")).alias("empty"))
+
+
+PLACED = "(VALUES (1,'[[T0]]a[[/T0]] [[T1]]'),(2,'[[T0]]a [[T1]]'),(3,'[[T0]]a[[/T0]]'),(4,'[[T0]]a[[/T0]][[T1]][[T1]]'),(5,'[[T0]][[/T0]][[T1]][[T7]]')) AS p(id, t)"
+
+
+@query("SELECT * FROM (VALUES (1,NULL),(2,'missing:/T0'),(3,'missing:T1'),(4,'repeated'),(5,'unknown:T7')) AS t(id, error)")
+def placeholder_check(spark, d):
+    return values(spark, PLACED).select("id", T.placeholder_error(F.col("t"), F.array(F.lit("pair"), F.lit("void"))).alias("error"))
+
+
+@query("SELECT * FROM (VALUES (26,3723000),(27,250),(28,90000),(36,NULL)) AS t(id, ms)".replace("3723000", "3723000::BIGINT"))
+def rate_limit_durations(spark, d):
+    return values(spark, STRINGS).where("id in (26,27,28,36)").select("id", T.duration_ms(F.col("s")).alias("ms"))
+
+
+@query("SELECT * FROM (VALUES (29,'loopback'),(30,'local'),(31,NULL),(32,'local'),(33,'local'),(36,NULL)) AS t(id, space)")
+def address_space(spark, d):
+    return values(spark, STRINGS).where("id in (29,30,31,32,33,36)").select("id", T.address_space(F.col("s")).alias("space"))
+
+
+@query("SELECT * FROM (VALUES (34,'image/png','OEBPS/img/a.PNG'),(35,'text/css','OEBPS/x.css'),(36,'application/octet-stream','OEBPS/none')) AS t(id, mime, path)")
+def mime_and_path(spark, d):
+    base = F.lit("OEBPS/text/../ch1.xhtml")
+    return values(spark, STRINGS).where("id in (34,35,36)").select("id", T.mime(F.col("s")).alias("mime"), T.resolve_path(base, F.concat(F.lit("./"), "s")).alias("path"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(t) > 60 THEN left(t, 59) || '…' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)""")
+def preview_truncate(spark, d):
+    return tab(spark, d, "documents").select("doc_id", T.preview(F.col("text"), 60).alias("preview"))
+
+
+@query("""SELECT conv_id, turn, '[mock-tr] ' || text AS content, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS prompt_tokens,
+ CAST(greatest(1, ceil((length(text) + 10) / 4.0)) AS BIGINT) AS completion_tokens FROM conversations""")
+def mock_chat(spark, d):
+    return tab(spark, d, "conversations").select("conv_id", "turn", ledger.mock_chat(F.col("text")).alias("x")).select("conv_id", "turn", "x.content", "x.prompt_tokens", "x.completion_tokens")
+
+
+# context windows and folds
+
+
+@query("""WITH c AS (SELECT a.conv_id, a.turn, b.turn AS bt, length(b.text) AS n, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn DESC) AS k,
+ sum(length(b.text)) OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn DESC) AS run FROM conversations a JOIN conversations b
+ ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 12 WHERE trim(b.text) <> ''),
+ ok AS (SELECT * FROM c WHERE k <= 3 AND (k = 1 OR run <= 400))
+ SELECT a.conv_id, a.turn, CAST(count(ok.k) AS INTEGER) AS n_context, CAST(coalesce(sum(ok.n), 0) AS BIGINT) AS chars FROM conversations a LEFT JOIN ok USING (conv_id, turn) GROUP BY a.conv_id, a.turn""")
+def prev_context(spark, d):
+    c = context.previous(tab(spark, d, "conversations"), "conv_id", "turn", "text", most=3, budget=400)
+    chars = F.aggregate("context", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["t"]))
+    return c.select("conv_id", "turn", F.size("context").alias("n_context"), chars.alias("chars"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, CAST(greatest(1, floor(length(text) / 4)) AS BIGINT) AS t FROM documents),
+ f AS (SELECT source, i, 0 AS chunk, t AS run FROM o WHERE i = 1 UNION ALL SELECT o.source, o.i, CASE WHEN f.run + o.t > 1500 THEN f.chunk + 1 ELSE f.chunk END,
+ CASE WHEN f.run + o.t > 1500 THEN o.t ELSE f.run + o.t END FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)
+ SELECT source, chunk, CAST(count(*) AS INTEGER) AS n, max(run) AS tokens FROM f GROUP BY source, chunk""")
+def chunk_packing(spark, d):
+    return context.chunks(tab(spark, d, "documents"), "source", "doc_id", "text", 1500)
+
+
+@query("""WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents),
+ q AS (SELECT *, n - 7 AS zone, greatest(1, (n - 7) // 4) AS step FROM p)
+ SELECT source, doc_id, CASE WHEN p < 5 THEN 'head' WHEN p >= n - 2 THEN 'tail' ELSE 'middle' END AS part FROM q
+ WHERE p < 5 OR p >= n - 2 OR (zone >= 4 AND (p - 4) % step = 0 AND (p - 4) / step <= 3)""")
+def spread_sample(spark, d):
+    return context.spread(tab(spark, d, "documents").select("source", "doc_id"), "source", "doc_id")
+
+
+@query("""SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS fails, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w >= 10 AND count(*) OVER w >= 10 AS tripped
+ FROM events WINDOW w AS (PARTITION BY user_id % 4 ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
+def sliding_breaker(spark, d):
+    e = tab(spark, d, "events").withColumn("g", F.col("user_id") % 4)
+    return context.sliding_failures(e, "g", "event_id", F.col("event_type") == "error").select("event_id", "fails", "tripped")
+
+
+@query("""SELECT g, count(*) AS n, round(max(spent), 4) AS spent FROM (SELECT *, coalesce(max(spent) OVER (PARTITION BY g ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+ FROM (SELECT user_id % 4 AS g, event_id, sum(value) OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS spent FROM events)) WHERE before <= 1000 GROUP BY g""")
+def budget_cutoff(spark, d):
+    e = tab(spark, d, "events").withColumn("g", F.col("user_id") % 4)
+    return context.within_budget(e, "g", "event_id", "value", 1000.0).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("spent"), 4).alias("spent"))
+
+
+@query("""SELECT g, min(event_id) AS first_seq, count(*) AS n FROM (SELECT user_id % 4 AS g, event_id, event_type,
+ row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - row_number() OVER (PARTITION BY user_id % 4, event_type = 'error' ORDER BY event_id) AS k FROM events)
+ WHERE event_type = 'error' GROUP BY g, k HAVING count(*) >= 3""")
+def failure_streaks(spark, d):
+    e = tab(spark, d, "events").withColumn("g", F.col("user_id") % 4)
+    return context.streaks(e, "g", "event_id", F.col("event_type") == "error")
+
+
+@query("SELECT o_orderkey, CAST(least(8, greatest(1, (o_custkey % 40) // 2)) AS INTEGER) AS cap FROM orders")
+def concurrency_cap(spark, d):
+    return tab(spark, d, "orders").select("o_orderkey", context.concurrency(F.lit(8), F.col("o_custkey") % 40).alias("cap"))
+
+
+# glossary
+
+RANK = "CASE status WHEN 'locked' THEN 0 WHEN 'confirmed' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END"
+
+
+@query(f"SELECT id, source_term, row_number() OVER (ORDER BY {RANK}, source_term, id) AS place FROM {duck(GLOSSARY)} WHERE status <> 'proposed' AND source_term IS NOT NULL")
+def glossary_constraints(spark, d):
+    return glossary.constraints(values(spark, GLOSSARY)).select("id", "source_term", "place")
+
+
+@query(f"SELECT id, target_term, row_number() OVER (ORDER BY {RANK}, target_term, id) AS place FROM {duck(GLOSSARY)} WHERE status <> 'proposed' AND source_term IS NULL")
+def target_only_terms(spark, d):
+    return glossary.target_only(values(spark, GLOSSARY)).select("id", "target_term", "place")
+
+
+@query(f"""SELECT id, source_term, target_term FROM (SELECT *, CASE WHEN project_id = 'p1' THEN 0 ELSE 1 END AS tier, CASE WHEN project_id = 'p1' THEN 0 ELSE created_at END AS priority FROM {duck(GLOSSARY)}
+ WHERE project_id = 'p1' OR status <> 'proposed') QUALIFY row_number() OVER (PARTITION BY CASE WHEN source_term IS NOT NULL THEN type || '::' || lower(source_term) ELSE 'target::' || lower(target_term) END
+ ORDER BY tier, priority DESC, coalesce(source_term, target_term), id) = 1""")
+def priority_union(spark, d):
+    g = values(spark, GLOSSARY)
+    return glossary.merged_books(g.where("project_id = 'p1'"), g.where("project_id = 'p2'").withColumn("priority", F.col("created_at"))).select("id", "source_term", "target_term")
+
+
+@query(f"""SELECT g.id, list_sort(coalesce(list(a.text) FILTER (a.side = 'source'), []::VARCHAR[])) AS source_aliases, list_sort(coalesce(list(a.text) FILTER (a.side = 'target'), []::VARCHAR[])) AS target_aliases
+ FROM {duck(GLOSSARY)} LEFT JOIN {ALIASES} ON g.id = a.entry_id GROUP BY g.id""")
+def alias_rollup(spark, d):
+    return glossary.with_aliases(values(spark, GLOSSARY), values(spark, ALIASES)).select("id", "source_aliases", "target_aliases")
+
+
+def _json(c: str) -> str:
+    return f"""CASE WHEN {c} IS NULL THEN 'null' ELSE '"' || replace(replace({c}, '\\', '\\\\'), '"', '\\"') || '"' END"""
+
+
+@query("SELECT project_id, left(sha256('[' || string_agg('{' || " + " || ', ' || ".join(f"""'"{n}": ' || {_json(n)}""" for n in ("gender", "notes", "source_term", "status", "target_term", "type")) + f" || '}}', ', ' ORDER BY coalesce(source_term, ''), target_term, id) || ']'), 32) AS glossary_hash FROM {duck(GLOSSARY)} GROUP BY project_id")
+def glossary_hash(spark, d):
+    return glossary.glossary_hash(values(spark, GLOSSARY).orderBy(F.desc("id")))
+
+
+@query(f"""SELECT p.p_partkey, CASE WHEN g.source_term IS NULL THEN 'created' ELSE 'skipped' END AS outcome FROM part p LEFT JOIN
+ (SELECT DISTINCT p_name AS source_term, p_type AS type FROM part WHERE p_partkey % 7 = 0) g ON p.p_name = g.source_term AND p.p_type = g.type""")
+def import_classify(spark, d):
+    p = tab(spark, d, "part").select("p_partkey", F.col("p_name").alias("source_term"), F.col("p_type").alias("type"))
+    return glossary.classify_import(p, p.where("p_partkey % 7 = 0"), overwrite=False).select("p_partkey", "outcome")
+
+
+@query(f"""SELECT DISTINCT w.winner_id, x.alias FROM (VALUES ('g1','g9'),('g1','g6'),('g2','g7')) AS w(winner_id, loser_id) JOIN
+ (SELECT g.id, g.source_term AS alias FROM {duck(GLOSSARY)} WHERE g.source_term IS NOT NULL UNION SELECT a.entry_id, a.text FROM {ALIASES} WHERE a.side = 'source') x ON x.id = w.loser_id
+ WHERE NOT EXISTS (SELECT 1 FROM (SELECT g.id, g.source_term AS alias FROM {duck(GLOSSARY)} UNION SELECT a.entry_id, a.text FROM {ALIASES} WHERE a.side = 'source') o WHERE o.id = w.winner_id AND o.alias = x.alias)""")
+def merge_entries(spark, d):
+    e = glossary.with_aliases(values(spark, GLOSSARY), values(spark, ALIASES))
+    return glossary.merge_entries(e, values(spark, "(VALUES ('g1','g9'),('g1','g6'),('g2','g7')) AS w(winner_id, loser_id)"))
+
+
+# cache, prices
+
+
+@query("""SELECT conv_id, turn, sha256('m:' || sha256('sys') || ':' || sha256(role || chr(0) || text) || ':' || repeat('0', 32)) AS key FROM conversations""")
+def cache_key(spark, d):
+    c = tab(spark, d, "conversations")
+    h = ledger.message_hash(F.array(F.struct(F.lit("system").alias("role"), F.lit("sys").alias("content")), F.struct(F.when(F.col("role") == "system", "user").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"))))
+    h = F.when(F.col("role") == "system", ledger.message_hash(F.array(F.struct(F.lit("system").alias("role"), F.lit("sys").alias("content"))))["usr"]).otherwise(h["usr"])
+    usr = F.when(F.col("role") == "system", F.sha2(F.concat(F.lit("system"), F.lit("\u0000"), F.col("text")), 256)).otherwise(h)
+    return c.select("conv_id", "turn", ledger.cache_key(F.lit("m"), F.sha2(F.lit("sys"), 256), usr, F.lit("0" * 32)).alias("key"))
+
+
+@query("""SELECT e.event_id, h.hit_id, CASE WHEN h.hit_id IS NULL THEN 0 ELSE 1 END AS cache_hit, CASE WHEN h.hit_id IS NULL THEN e.value ELSE 0 END AS cost FROM events e LEFT JOIN
+ (SELECT user_id, arg_min(event_id, event_id) AS hit_id FROM events WHERE event_type = 'purchase' GROUP BY user_id) h ON e.user_id = h.user_id""")
+def cache_hits_join(spark, d):
+    e = tab(spark, d, "events")
+    req = e.select("event_id", F.col("user_id").alias("cache_key"), F.col("value").alias("price"))
+    calls = e.select(F.col("event_id").alias("call_id"), F.col("event_id").alias("created_at"), F.col("user_id").alias("cache_key"), F.col("value").alias("cost"), (F.col("event_type") == "purchase").alias("ok"))
+    return ledger.replay(req, calls).select("event_id", "hit_id", "cache_hit", "cost")
+
+
+@query("SELECT * FROM (VALUES ('gpt','gpt'),('gpt-large-2024-05-01','gpt-large'),('gpt-large-mini-x','gpt-large'),('gpt-x','gpt'),('ada-002','ada'),('other',NULL)) AS t(model, matched)")
+def price_prefix(spark, d):
+    return ledger.priced(values(spark, MODELS), values(spark, PRICES)).select("model", "matched")
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity * 3 + l_partkey * 6) / 1e6, 9) AS cost FROM lineitem")
+def cost_estimate(spark, d):
+    p = ledger.priced(values(spark, "(VALUES ('gpt-large-2024-05-01')) AS m(model)"), values(spark, PRICES))
+    li = tab(spark, d, "lineitem").join(F.broadcast(p))  # one model, one row
+    return li.select("l_orderkey", "l_linenumber", F.round(ledger.cost(F.col("l_quantity"), F.col("l_partkey"), F.col("prompt_price"), F.col("completion_price")), 9).alias("cost"))
+
+
+# keyed tables
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def upsert_keep_latest(spark, d):
+    o = tab(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return tables.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_name END AS s_name, CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal ELSE s_acctbal END AS s_acctbal FROM supplier")
+def partial_update(spark, d):
+    s = tab(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    ch = s.where("s_suppkey % 5 = 0").select("s_suppkey", F.lit(None).cast("string").alias("s_name"), F.lit(1.0).alias("s_acctbal"), F.lit(True).alias("set_s_name"), F.lit(False).alias("set_s_acctbal"))
+    return tables.patch(s, ch, "s_suppkey", ["s_name", "s_acctbal"])
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def delete_cascade(spark, d):
+    return tables.delete(tab(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), tab(spark, d, "orders").where("o_orderstatus = 'F'"), "l_orderkey", "o_orderkey")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE n_name END AS n_name FROM nation")
+def replace_set(spark, d):
+    n = tab(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name")
+    new = n.where("n_regionkey = 1").withColumn("n_name", F.upper("n_name"))
+    return tables.replace_set(n, new, new.select("n_regionkey").distinct(), "n_regionkey").select("n_nationkey", "n_name")
+
+
+@query("SELECT s_suppkey, s_acctbal AS old_s_acctbal, s_acctbal + 1 AS new_s_acctbal FROM supplier WHERE s_suppkey % 3 = 0")
+def revision_log(spark, d):
+    s = tab(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    new = s.withColumn("s_acctbal", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal"))).withColumn("s_name", F.lower("s_name"))
+    return tables.changed(s, new, "s_suppkey", ["s_name", "s_acctbal"], ["s_acctbal"])[1]
+
+
+@query("SELECT n_nationkey, coalesce(r_regionkey + 100, n_regionkey) AS n_regionkey FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey")
+def id_remap(spark, d):
+    ids = tab(spark, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("old_id"), (F.col("r_regionkey") + 100).alias("new_id"))
+    return tables.remap(tab(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", ids)
+
+
+@query("SELECT event_id FROM events ORDER BY event_id DESC LIMIT 50")
+def ring_buffer(spark, d):
+    return tables.keep_last(tab(spark, d, "events").select("event_id"), "event_id", 50)
+
+
+@query("SELECT doc_id, source, idx FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS idx FROM documents) WHERE source IN ('src1', 'src2') AND idx >= 3 AND idx < 9")
+def index_range_scan(spark, d):
+    return chapters(tab(spark, d, "documents")).where("chapter in ('src1', 'src2') and idx >= 3 and idx < 9").select("doc_id", F.col("chapter").alias("source"), "idx")
+
+
+@query(f"SELECT doc_id, CASE WHEN status <> 'pending' AND length(target_text) > 0 THEN target_text ELSE source_text END AS text FROM {SEGMENTS}")
+def export_projection(spark, d):
+    s = segments(spark, d)
+    return s.select("doc_id", F.when((F.col("status") != "pending") & (F.length("target_text") > 0), F.col("target_text")).otherwise(F.col("source_text")).alias("text"))
+
+
+@query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def reassemble_parts(spark, d):
+    g = tab(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    return g.select("conv_id", F.array_join(F.transform("x", lambda p: p["text"]), " ").alias("text"))
+
+
+@query("SELECT event_id, event_type IN ('click', 'view') AND (user_id % 5 = 1 OR user_id % 5 = 0 OR 100000 - event_id > 95000) AS claim FROM events")
+def resume_claim(spark, d):
+    e = tab(spark, d, "events").select("event_id", F.when(F.col("event_type").isin("click", "view"), "running").otherwise("done").alias("status"), F.when(F.col("user_id") % 5 == 0, None).otherwise((F.col("user_id") % 5).cast("string")).alias("owner"), F.col("event_id").alias("heartbeat"))
+    return e.select("event_id", F.coalesce(tables.claimable("1", 100000, 95000), F.lit(False)).alias("claim"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 3 = 1 THEN 'library' ELSE 'default' END AS model FROM supplier")
+def layered_config(spark, d):
+    k = F.col("s_suppkey") % 3
+    return tab(spark, d, "supplier").select("s_suppkey", T.first_set(F.when(k == 0, F.col("s_name")).otherwise("  "), F.when(k == 1, "library"), F.lit("default")).alias("model"))
