@@ -59,10 +59,10 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_embeddings, op4
 ORACLE_SQL = {
     "op3_embeddings": """
         WITH RECURSIVE v AS (
-            SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
-              AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
-              AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+              AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+              AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
         link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
                  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
         walk AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
