@@ -551,3 +551,20 @@ def resume_claim(spark, d):
 def layered_config(spark, d):
     k = F.col("s_suppkey") % 3
     return tab(spark, d, "supplier").select("s_suppkey", T.first_set(F.when(k == 0, F.col("s_name")).otherwise("  "), F.when(k == 1, "library"), F.lit("default")).alias("model"))
+
+
+# sources
+
+
+@query()
+def html_segments(spark, d):
+    from folioscope.sources import markup
+
+    return markup.segments(tab(spark, d, "pages"), "page_id", "html", budget=200)
+
+
+@query()
+def mock_embeddings(spark, d):
+    from folioscope.sources import models
+
+    return models.embed(tab(spark, d, "benchmark"), "item_id", "text")
