@@ -45,11 +45,12 @@ def spans(text: Column, term: str) -> Column:
 def violations(segments: DataFrame, entries: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, entry_id, severity)``: entries found in the source of a segment whose target lacks their target term."""
     live = entries.where("status <> 'proposed' and source_term is not null")
-    hits = term_matches(segments, live.select(F.col("id").alias("entry_id"), F.col("source_term").alias("term")), key, "source_text")
-    both = hits.select(key, "entry_id").distinct().join(live, F.col("entry_id") == F.col("id")).join(segments.select(key, "target_text"), key)
+    live = live.select(F.col("id").alias("entry_id"), "source_term", "target_term", "target_aliases", F.col("status").alias("rank"), "source_known")
+    hits = term_matches(segments, live.select("entry_id", F.col("source_term").alias("term")), key, "source_text")
+    both = hits.select(key, "entry_id").distinct().join(live, "entry_id").join(segments.select(key, "target_text"), key)
     used = F.coalesce(F.expr("target_text rlike pattern"), F.lit(False))
     both = both.withColumn("pattern", T.term_pattern(F.concat(F.array("target_term"), F.coalesce("target_aliases", F.array().cast("array<string>")))))
-    strict = (F.col("status") == "locked") & F.col("source_known")
+    strict = (F.col("rank") == "locked") & F.col("source_known")
     return both.where(~used).select(key, "entry_id", F.when(strict, "error").otherwise("warning").alias("severity"))
 
 
