@@ -39,19 +39,29 @@ LAST = np.iinfo(np.int64).max
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0x7FB5D329728EA185)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x81DADEF4BC2DD44D)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def prefix(buf: np.ndarray) -> np.ndarray:
     pre = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(len(buf) + 1)[0][: len(buf)], out=pre[1:])
+    tail = pre[1:]
+    tail += buf
+    tail += np.uint64(1)
+    tail *= powers(len(buf) + 1)[0][: len(buf)]
+    np.cumsum(tail, out=tail)
     return pre
 
 
 def spans_hash(pre: np.ndarray, start: np.ndarray, size) -> np.ndarray:
-    return mixed((pre[start + size] - pre[start]) * powers(len(pre))[1][start])
+    h = pre[start + size]
+    h -= pre[start]
+    h *= powers(len(pre))[1][start]
+    return mixed(h)
 
 
 def anchor_runs(buf: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM):
@@ -61,7 +71,10 @@ def anchor_runs(buf: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM
         return none, none, np.empty(0, np.uint64)
     pre = prefix(buf)
     n = len(buf) - gram + 1
-    full = spans_hash(pre, np.arange(n), gram)
+    full = pre[gram:] - pre[:n]
+    full *= powers(len(pre))[1][:n]
+    full = mixed(full)
+    del pre
     val, pos, width = (full >> np.uint64(32)).astype(np.uint32), np.arange(n, dtype=np.int32), 1
     want = length - gram + 1
     while width < want:
