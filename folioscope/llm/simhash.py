@@ -227,20 +227,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, distance: int = 10, wide: int = 26) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, distance: int = 10, wide: int = 28) -> DataFrame:
     """``(doc_id, component_id)``: groups of documents with a Jaccard similarity of ``similar`` or more on their shingles.
 
-    Candidates are within ``distance`` bits on one fingerprint and ``wide`` over
-    two; each link is then verified on the documents' shingles.
+    Candidates are within ``distance`` bits on either of two fingerprints and
+    ``wide`` over both; each link is then verified on the documents' shingles.
     """
     fps = stage(fingerprints(df, id_col, text_col, words, (42, 43)), "similar")
-    low = stage(fps.groupBy("fp0").agg(F.min_by("doc_id", F.struct("doc_id", "fp1")).alias("low"), F.min("fp1").alias("fp1"), F.max("fp1").alias("fp1_max")), "similar-low")
-    cand = links(low.select("fp0", "fp1"), distance, wide)
-    name = low.select("fp0", "low")
-    cand = cand.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").where("x is not null and y is not null").select("x", "y").distinct()
-    # within a fingerprint: every document against the first one
-    same = fps.join(name.withColumnRenamed("fp0", "f"), fps["fp0"] == F.col("f")).where("doc_id <> low").select(F.col("low").alias("x"), F.col("doc_id").alias("y"))
-    cand = stage(cand.unionByName(same.distinct()), "similar-pairs")
+    cand = None
+    for one, two in (("fp0", "fp1"), ("fp1", "fp0")):  # what one fingerprint's noise hides, the other finds
+        f = fps.select("doc_id", F.col(one).alias("fp0"), F.col(two).alias("fp1"))
+        low = stage(f.groupBy("fp0").agg(F.min_by("doc_id", F.struct("doc_id", "fp1")).alias("low"), F.min("fp1").alias("fp1")), "similar-low")
+        name = low.select("fp0", "low")
+        near = links(low.select("fp0", "fp1"), distance, wide).join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
+        # within a fingerprint: every document against the first one
+        same = f.join(name.withColumnRenamed("fp0", "f"), f["fp0"] == F.col("f")).select(F.col("low").alias("x"), F.col("doc_id").alias("y"))
+        both = near.unionByName(same).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        cand = both if cand is None else cand.unionByName(both)
+    cand = stage(cand.distinct(), "similar-pairs")
 
     def hashes(batches):
         for b in slices(batches, "t"):
