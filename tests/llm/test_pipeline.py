@@ -27,3 +27,15 @@ def test_empty_and_nulls(spark):
     for _, step in pipeline.STAGES:
         step(spark, odd, SF).count()
         assert step(spark, docs.where("false"), SF).count() == 0
+
+
+def test_whole_copies_come_near_the_words_taken(spark):
+    rows = [(k, f"s{k % 3}" if k % 3 else None, 1 + k * 37 % 900) for k in range(3000)]
+    share = {0: 0.4, 1: 0.76, 2: 1.6}
+    mixed = spark.createDataFrame([(k, s, n, int(n * share[k % 3])) for k, s, n in rows if int(n * share[k % 3])], "doc_id long, source string, size long, taken long")
+    got = pipeline.whole_copies(mixed, 3000).collect()
+    assert all(r["taken"] // r["size"] <= r["times"] <= r["taken"] // r["size"] + 1 for r in got)
+    for k in share:
+        mine = [r for r in got if r["doc_id"] % 3 == k]
+        want = sum(r["taken"] for r in mine)
+        assert abs(sum(r["times"] * r["size"] for r in mine) - want) < 0.02 * want
