@@ -29,33 +29,42 @@ from folioscope.plans.graph import connected_components, forest
 from folioscope.plans.staging import stage
 
 PAIRS_AT_ONCE = 1_000_000
+SEED = 42
+MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_bits(text: bytes, words: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
-    """One 64-bit fingerprint for each seed; ``text`` is UTF-8."""
+def remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of the same shingles, by a mix that loses nothing; the first one is ``h`` itself."""
+    if k:
+        h = h * np.uint64(2 * k + 1) * MULT
+        h = (h ^ (h >> np.uint64(32))) * MULT
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def shingle_bits(text: bytes, words: int, count: int = 1) -> list[int]:
+    """``count`` 64-bit fingerprints, the first on plain XXH64; ``text`` is UTF-8."""
     w = text.lower().split()
     if not w:
-        return [0] * len(seeds)
+        return [0] * count
     parts = [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
-    out = []
-    for seed in seeds:
-        set_in = np.zeros(64, np.int64)
-        for at in range(0, len(parts), 65536):
-            some = parts[at : at + 65536]
-            h = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in some), np.uint64, len(some))
-            set_in += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(set_in * 2 > len(parts), bitorder="little").view(np.int64)[0]))
-    return out
+    set_in = np.zeros((count, 64), np.int64)
+    for at in range(0, len(parts), 65536):
+        some = parts[at : at + 65536]
+        h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in some), np.uint64, len(some))
+        for k in range(count):
+            set_in[k] += np.unpackbits(remixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(set_in * 2 > len(parts), axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """``(doc_id, fp0, fp1, ...)``, one signed 64-bit fingerprint a seed."""
-    names = [f"fp{k}" for k in range(len(seeds))]
+def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int, count: int = 1) -> DataFrame:
+    """``(doc_id, fp0, fp1, ...)``, ``count`` signed 64-bit fingerprints."""
+    names = [f"fp{k}" for k in range(count)]
 
     def run(batches):
         for b in slices(batches, "t"):
-            fps = np.array([shingle_bits(t, words, seeds) for t in raw(b.column(1))], np.int64).reshape(-1, len(seeds))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, k]) for k in range(len(seeds)))], ["doc_id", *names])
+            fps = np.array([shingle_bits(t, words, count) for t in raw(b.column(1))], np.int64).reshape(-1, count)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, k]) for k in range(count))], ["doc_id", *names])
 
     got = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return got.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
@@ -144,11 +153,11 @@ def tree_join(bucket: np.ndarray, code: np.ndarray, fixed: int, distance: int):
             todo.append((level + 1, x, y, got))
 
 
-def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Indexes of a minimum spanning forest of the links, closest first."""
-    up: dict[int, int] = {}
+def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, forests: int = 1) -> np.ndarray:
+    """Indexes of a minimum spanning forest of the links, closest first, then of one among the rest, and so on."""
+    ups: list[dict[int, int]] = [{} for _ in range(forests)]
 
-    def root(x):
+    def root(up, x):
         while (y := up.get(x, x)) != x:
             up[x] = up.get(y, y)
             x = y
@@ -156,21 +165,25 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
 
     keep = []
     for k in np.argsort(d, kind="stable"):
-        x, y = root(int(a[k])), root(int(b[k]))
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            keep.append(k)
+        for up in ups:
+            x, y = root(up, int(a[k])), root(up, int(b[k]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                keep.append(k)
+                break
     return np.array(keep, np.int64)
 
 
 def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
     """Spanning links ``(a, b)`` among the distinct values of ``fp0`` that are within ``distance`` bits.
 
-    With ``wide``, rows also carry ``fp1``; a pair must then be within ``wide``
-    bits over both, and each bucket's links are thinned to the closest ones.
+    With ``wide``, rows also carry further fingerprints; a pair must then be
+    within ``wide`` bits over all, and each bucket's links are thinned to two
+    spanning forests of the closest ones, so that a link that fails its check
+    leaves another.
     """
     blocks = Blocks(distance)
-    extra = ["fp1"] if wide is not None else []
+    extra = [c for c in fps.columns if c != "fp0"] if wide is not None else []
 
     def deal(batches):
         for pdf in batches:
@@ -191,8 +204,9 @@ def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
                 keep = blocks.first(fp[x] ^ fp[y], int(p))
                 d = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64)
                 if wide is not None:
-                    w = rows["fp1"].to_numpy().view(np.uint64)
-                    d += np.bitwise_count(w[x] ^ w[y])
+                    for c in extra:
+                        w = rows[c].to_numpy().view(np.uint64)
+                        d += np.bitwise_count(w[x] ^ w[y])
                     keep &= d <= wide
                 found.append((x[keep], y[keep], d[keep]))
         if not found:
@@ -202,7 +216,7 @@ def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
         if wide is None:
             u, v = forest(s[x], s[y])
             return pd.DataFrame({"a": u, "b": v})
-        k = nearest_forest(s[x], s[y], d)
+        k = nearest_forest(s[x], s[y], d, 2)
         return pd.DataFrame({"a": s[x[k]], "b": s[y[k]]})
 
     def run(batches):
@@ -227,19 +241,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, distance: int = 10, wide: int = 28) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, distance: int = 10, wide: int = 42) -> DataFrame:
     """``(doc_id, component_id)``: groups of documents with a Jaccard similarity of ``similar`` or more on their shingles.
 
-    Candidates are within ``distance`` bits on either of two fingerprints and
-    ``wide`` over both; each link is then verified on the documents' shingles.
+    Candidates are within ``distance`` bits on one of three fingerprints and
+    ``wide`` over all; each link is then verified on the documents' shingles.
     """
-    fps = stage(fingerprints(df, id_col, text_col, words, (42, 43)), "similar")
+    fps = stage(fingerprints(df, id_col, text_col, words, 3), "similar")
     cand = None
-    for one, two in (("fp0", "fp1"), ("fp1", "fp0")):  # what one fingerprint's noise hides, the other finds
-        f = fps.select("doc_id", F.col(one).alias("fp0"), F.col(two).alias("fp1"))
-        low = stage(f.groupBy("fp0").agg(F.min_by("doc_id", F.struct("doc_id", "fp1")).alias("low"), F.min("fp1").alias("fp1")), "similar-low")
+    for one in range(3):  # what one fingerprint's noise hides, another finds
+        others = [f"fp{k}" for k in range(3) if k != one]
+        f = fps.where("doc_id is not null").select("doc_id", F.col(f"fp{one}").alias("fp0"), *(F.col(c).alias(f"fp{k}") for k, c in enumerate(others, 1)))
+        first = f.groupBy("fp0").agg(F.min(F.struct("doc_id", "fp1", "fp2")).alias("first"))
+        low = stage(first.select("fp0", F.col("first.doc_id").alias("low"), "first.fp1", "first.fp2"), "similar-low")
         name = low.select("fp0", "low")
-        near = links(low.select("fp0", "fp1"), distance, wide).join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
+        near = links(low.select("fp0", "fp1", "fp2"), distance, wide).join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
         # within a fingerprint: every document against the first one
         same = f.join(name.withColumnRenamed("fp0", "f"), f["fp0"] == F.col("f")).select(F.col("low").alias("x"), F.col("doc_id").alias("y"))
         both = near.unionByName(same).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
