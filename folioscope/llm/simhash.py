@@ -155,23 +155,33 @@ def tree_join(bucket: np.ndarray, code: np.ndarray, fixed: int, distance: int):
 
 def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, forests: int = 1) -> np.ndarray:
     """Indexes of a minimum spanning forest of the links, closest first, then of one among the rest, and so on."""
-    ups: list[dict[int, int]] = [{} for _ in range(forests)]
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.argsort(d, kind="stable")
+    u, v = at[: len(a)][order], at[len(a) :][order]
+    ups = [list(range(len(nodes))) for _ in range(forests)]
 
     def root(up, x):
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
+        while (y := up[x]) != x:
+            up[x] = up[y]
             x = y
         return x
 
-    keep = []
-    for k in np.argsort(d, kind="stable"):
-        for up in ups:
-            x, y = root(up, int(a[k])), root(up, int(b[k]))
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                keep.append(k)
-                break
-    return np.array(keep, np.int64)
+    keep, done, size = [], 0, 10_000
+    while done < len(order):
+        # what the last forest joins, all forests join: most links of a large group end here
+        lab = np.array(ups[-1])
+        while not np.array_equal(nxt := lab[lab], lab):
+            lab = nxt
+        some = np.flatnonzero(lab[u[done : done + size]] != lab[v[done : done + size]]) + done
+        for k, p, q in zip(some.tolist(), u[some].tolist(), v[some].tolist(), strict=True):
+            for up in ups:
+                x, y = root(up, p), root(up, q)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    keep.append(k)
+                    break
+        done, size = done + size, 2 * size
+    return order[np.array(keep, np.int64)]
 
 
 def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
@@ -190,8 +200,8 @@ def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
             fp = pdf["fp0"].to_numpy().view(np.uint64)
             for p in range(len(blocks.passes)):
                 code, width = blocks.code(fp, p)
-                out = {"bucket": (np.uint64(p) << np.uint64(40)) + (code >> np.uint64(64 - width)), "rank": gray_rank(code) ^ np.uint64(1 << 63)}
-                yield pd.DataFrame({k: v.view(np.int64) for k, v in out.items()} | {"fp0": pdf["fp0"], **{c: pdf[c] for c in extra}})
+                bucket = (np.uint64(p) << np.uint64(40)) + (code >> np.uint64(64 - width))
+                yield pd.DataFrame({"bucket": bucket.view(np.int64), "fp0": pdf["fp0"], **{c: pdf[c] for c in extra}})
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         b, fp = rows["bucket"].to_numpy(), rows["fp0"].to_numpy().view(np.uint64)
@@ -199,6 +209,8 @@ def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
         for p in np.unique(b >> 40):
             at = np.flatnonzero(b >> 40 == p)
             code, width = blocks.code(fp[at], int(p))
+            order = np.lexsort((gray_rank(code), b[at]))
+            at, code = at[order], code[order]
             for x, y in tree_join(b[at], code, width, distance):
                 x, y = at[x], at[y]
                 keep = blocks.first(fp[x] ^ fp[y], int(p))
@@ -224,8 +236,8 @@ def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
             yield search(rows)
 
     one = fps.groupBy("fp0").agg(*(F.min(c).alias(c) for c in extra)) if extra else fps.select("fp0").distinct()
-    dealt = one.mapInPandas(deal, "bucket bigint, rank bigint, fp0 bigint" + "".join(f", {c} bigint" for c in extra))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "rank").mapInPandas(run, "a bigint, b bigint")
+    dealt = one.mapInPandas(deal, "bucket bigint, fp0 bigint" + "".join(f", {c} bigint" for c in extra))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
@@ -241,7 +253,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, distance: int = 10, wide: int = 42) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, distance: int = 9, wide: int = 42) -> DataFrame:
     """``(doc_id, component_id)``: groups of documents with a Jaccard similarity of ``similar`` or more on their shingles.
 
     Candidates are within ``distance`` bits on one of three fingerprints and
