@@ -514,3 +514,30 @@ def test_passages_reach_brute_force(spark, docs):
     want = {d for ds in grams.values() if len(ds) > 1 for d in ds}
     got = {x for r in passages.near_passages(docs).collect() for x in (r["doc_id"], r["ref_doc_id"])}
     assert want <= got
+
+
+def test_all_distinct_stretches_of_a_signature_meet():
+    # (signature, id, uid, f, place, lo, hi, key): rows 1 and 4 hold equal stretches
+    t = np.array([[7, d, d, 0, 5, 0, 50, k] for d, k in ((1, 10), (2, 11), (3, 12), (4, 10), (5, 13))] + [[8, 1, 1, 0, 5, 0, 50, 10]]).T
+    t, to, lead = passages.settled(t)
+    assert [(int(t[1][k]), int(t[1][to[k]])) for k in np.flatnonzero(~lead)] == [(4, 1)]
+    some = t[:, lead]
+    got = {(int(some[1][x]), int(some[1][y])) for i, j in passages.all_pairs(some[0]) for x, y in zip(i, j, strict=True)}
+    assert got == {(2, 1), (3, 1), (3, 2), (5, 1), (5, 2), (5, 3)}
+
+
+def test_passages_meet_beyond_first_and_previous(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    base = [word() for _ in range(98)]
+    at = 5 + rng.permutation(88)
+    # every variant has two edits of its own: near the base, too far from each other
+    variants = {k: [word() if p == at[2 * k] or p == at[2 * k + 1] else w for p, w in enumerate(base)] for k in range(12)}
+    rows = [(100 if k < 0 else k if k < 6 else 100 + k, " ".join(base if k < 0 else variants[k])) for k in range(-1, 12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    grams = {d: {tuple(t.split()[k : k + 5]) for k in range(94)} for d, t in rows}
+    near = {d for d in grams for e in grams if e < d and len(grams[d] & grams[e]) >= 0.8 * len(grams[d] | grams[e])}
+    assert {r["doc_id"] for r in passages.near_passages(df).where("end_word - start_word >= 80").collect()} >= near >= {106, 107, 108, 109, 110, 111}
+    want = {tuple(r) for r in passages.near_passages(df).collect()}
+    monkeypatch.setattr(passages, "TILE", 2)
+    assert {tuple(r) for r in passages.near_passages(df).collect()} == want
