@@ -516,6 +516,22 @@ def test_passages_reach_brute_force(spark, docs):
     assert want <= got
 
 
+def test_best_stretch_joins_over_an_insertion_and_cuts_loose_text():
+    rng = np.random.default_rng(21)
+    new = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    # 80 words, 9 more put into the middle: 13 foreign shingles between two runs of 36
+    ref = new(76)
+    doc = np.concatenate([ref[:36], new(13), ref[40:]])
+    (s, e, _, _, j), *_ = passages.verified(doc, ref, 46, 0.8)
+    assert (s, e) == (0, len(doc)) and j >= 0.8
+    # 60 words with one of them changed, next to text that shares a shingle in every twelve
+    core = new(56)
+    loose = new(240)
+    other = np.where(np.arange(240) % 12 == 0, loose, new(240))
+    got = passages.verified(np.concatenate([core[:25], new(5), core[30:], other]), np.concatenate([core, loose]), 46, 0.8)
+    assert any(s == 0 and 56 <= e < 80 and j >= 0.8 for s, e, _, _, j in got)
+
+
 def test_all_distinct_stretches_of_a_signature_meet():
     # (signature, id, uid, f, place, lo, hi, key): rows 1 and 4 hold equal stretches
     t = np.array([[7, d, d, 0, 5, 0, 50, k] for d, k in ((1, 10), (2, 11), (3, 12), (4, 10), (5, 13))] + [[8, 1, 1, 0, 5, 0, 50, 10]]).T
