@@ -29,6 +29,7 @@ from folioscope.plans.graph import connected_components, forest
 from folioscope.plans.staging import stage
 
 PAIRS_AT_ONCE = 1_000_000
+MIXED = -(1 << 63)  # the label of a fingerprint whose documents are in several groups
 SEED = 42
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -187,13 +188,16 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, forests: int = 1
 def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
     """Spanning links ``(a, b)`` among the distinct values of ``fp0`` that are within ``distance`` bits.
 
-    With ``wide``, rows also carry further fingerprints; a pair must then be
-    within ``wide`` bits over all, and each bucket's links are thinned to two
-    spanning forests of the closest ones, so that a link that fails its check
-    leaves another.
+    With ``wide``, rows also carry further fingerprints and ``many``, whether
+    documents with different ones share ``fp0``; a pair must then be within
+    ``wide`` bits over all unless one of them is ``many``, and the links of a
+    batch are thinned to two spanning forests of the closest ones. Rows that
+    carry ``label`` get all their links, but for those between equal labels.
     """
     blocks = Blocks(distance)
-    extra = [c for c in fps.columns if c != "fp0"] if wide is not None else []
+    every = "label" in fps.columns
+    extra = [c for c in fps.columns if c != "fp0"] if wide is not None or every else []
+    more = [c for c in extra if c.startswith("fp")]
 
     def deal(batches):
         for pdf in batches:
@@ -215,16 +219,22 @@ def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
                 x, y = at[x], at[y]
                 keep = blocks.first(fp[x] ^ fp[y], int(p))
                 d = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64)
+                if every:
+                    label = rows["label"].to_numpy()
+                    keep &= (label[x] != label[y]) | (label[x] == MIXED)
                 if wide is not None:
-                    for c in extra:
+                    for c in more:
                         w = rows[c].to_numpy().view(np.uint64)
                         d += np.bitwise_count(w[x] ^ w[y])
-                    keep &= d <= wide
+                    many = rows["many"].to_numpy()
+                    keep &= (d <= wide) | many[x] | many[y]
                 found.append((x[keep], y[keep], d[keep]))
         if not found:
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         x, y, d = (np.concatenate(c) for c in zip(*found, strict=False))
         s = fp.view(np.int64)
+        if every:
+            return pd.DataFrame({"a": s[x], "b": s[y]})
         if wide is None:
             u, v = forest(s[x], s[y])
             return pd.DataFrame({"a": u, "b": v})
@@ -235,8 +245,8 @@ def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
         for rows in whole_groups(batches, ["bucket"], 200_000):
             yield search(rows)
 
-    one = fps.groupBy("fp0").agg(*(F.min(c).alias(c) for c in extra)) if extra else fps.select("fp0").distinct()
-    dealt = one.mapInPandas(deal, "bucket bigint, fp0 bigint" + "".join(f", {c} bigint" for c in extra))
+    one = fps if extra else fps.select("fp0").distinct()
+    dealt = one.mapInPandas(deal, "bucket bigint, fp0 bigint" + "".join(f", {c} {t}" for c, t in fps.dtypes if c in extra))
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "a bigint, b bigint")
 
 
@@ -258,16 +268,19 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Candidates are within ``distance`` bits on one of three fingerprints and
     ``wide`` over all; each link is then verified on the documents' shingles.
+    Where links fail, so that the documents that candidates join are still in
+    several groups, all candidates between those groups are verified too.
     """
     fps = stage(fingerprints(df, id_col, text_col, words, 3), "similar")
     cand = None
     for one in range(3):  # what one fingerprint's noise hides, another finds
         others = [f"fp{k}" for k in range(3) if k != one]
         f = fps.where("doc_id is not null").select("doc_id", F.col(f"fp{one}").alias("fp0"), *(F.col(c).alias(f"fp{k}") for k, c in enumerate(others, 1)))
-        first = f.groupBy("fp0").agg(F.min(F.struct("doc_id", "fp1", "fp2")).alias("first"))
-        low = stage(first.select("fp0", F.col("first.doc_id").alias("low"), "first.fp1", "first.fp2"), "similar-low")
+        unlike = (F.min("fp1") != F.max("fp1")) | (F.min("fp2") != F.max("fp2"))
+        first = f.groupBy("fp0").agg(F.min(F.struct("doc_id", "fp1", "fp2")).alias("first"), unlike.alias("many"))
+        low = stage(first.select("fp0", F.col("first.doc_id").alias("low"), "first.fp1", "first.fp2", "many"), "similar-low")
         name = low.select("fp0", "low")
-        near = links(low.select("fp0", "fp1", "fp2"), distance, wide).join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
+        near = links(low.select("fp0", "fp1", "fp2", "many"), distance, wide).join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
         # within a fingerprint: every document against the first one
         same = f.join(name.withColumnRenamed("fp0", "f"), f["fp0"] == F.col("f")).select(F.col("low").alias("x"), F.col("doc_id").alias("y"))
         both = near.unionByName(same).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -283,10 +296,6 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 7) & 0xFFFFFFFF for x in parts), np.uint32, len(parts))).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["k", "h"])
 
-    ids = cand.select(F.col("x").alias("i")).union(cand.select("y")).distinct()
-    some = df.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).cast("string").alias("t")).join(ids, F.col("k") == F.col("i"), "left_semi")
-    sets = stage(some.mapInArrow(hashes, "k bigint, h binary"), "similar-sets").dropDuplicates(["k"])
-
     def check(batches):
         for pdf in batches:
             keep = []
@@ -296,7 +305,45 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 keep.append(both >= similar * (len(one) + len(two) - both))
             yield pdf.loc[np.array(keep, bool), ["x", "y"]]
 
-    pairs = cand.join(sets.toDF("k", "p"), F.col("x") == F.col("k")).drop("k").join(sets.toDF("k", "q"), F.col("y") == F.col("k")).select("x", "y", "p", "q")
-    comp = connected_components(pairs.mapInPandas(check, "x bigint, y bigint"), "x", "y")
+    def linked(cand: DataFrame) -> DataFrame:
+        ids = cand.select(F.col("x").alias("i")).union(cand.select("y")).distinct()
+        some = df.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).cast("string").alias("t")).join(ids, F.col("k") == F.col("i"), "left_semi")
+        sets = stage(some.mapInArrow(hashes, "k bigint, h binary"), "similar-sets").dropDuplicates(["k"])
+        pairs = cand.join(sets.toDF("k", "p"), F.col("x") == F.col("k")).drop("k").join(sets.toDF("k", "q"), F.col("y") == F.col("k")).select("x", "y", "p", "q")
+        return stage(pairs.mapInPandas(check, "x bigint, y bigint"), "similar-linked")
+
+    good = linked(cand)
+    comp = stage(connected_components(good, "x", "y"), "similar-comp")
+    rest = unchecked(fps.where("doc_id is not null"), cand, comp, distance, wide)
+    if not rest.isEmpty():
+        comp = connected_components(good.unionByName(linked(rest)), "x", "y")
     out = fps.join(comp, fps["doc_id"] == comp["node"], "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def unchecked(fps: DataFrame, cand: DataFrame, comp: DataFrame, distance: int, wide: int) -> DataFrame:
+    """``(x, y)``: all candidates, other than ``cand``, between documents of different groups in ``comp``.
+
+    Thinned links join what all links join. So such a pair lies within one
+    component of ``cand``, and only those with several groups are searched.
+    """
+    wider = connected_components(cand, "x", "y").select("node", F.col("component").alias("wider"))
+    label = wider.join(comp, "node", "left").select("node", "wider", F.coalesce("component", "node").alias("label"))
+    open_ = label.groupBy("wider").agg(F.min("label").alias("m"), F.max("label").alias("n"), F.count(F.lit(1)).alias("nodes"))
+    open_ = open_.where("m <> n and nodes > 2").select("wider")
+    mine = stage(fps.dropDuplicates(["doc_id"]).join(label.join(open_, "wider").drop("wider"), F.col("doc_id") == F.col("node")).drop("node"), "similar-open")
+    if mine.isEmpty():
+        return cand.limit(0)
+    bits = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    names = ["doc", "f0", "f1", "f2", "label"]
+    one, two = mine.toDF(*(f"{n}_a" for n in names)), mine.toDF(*(f"{n}_b" for n in names))
+    found = None
+    for k in range(3):
+        of = mine.select(F.col(f"fp{k}").alias("fp0"), "label").groupBy("fp0").agg(F.when(F.min("label") == F.max("label"), F.min("label")).otherwise(F.lit(MIXED)).alias("label"))
+        near = links(of, distance).unionByName(of.where(F.col("label") == MIXED).select(F.col("fp0").alias("a"), F.col("fp0").alias("b")))
+        pairs = near.join(one, F.col("a") == F.col(f"f{k}_a")).join(two, F.col("b") == F.col(f"f{k}_b")).where("label_a <> label_b")
+        # equal fingerprints are candidates however far the others are
+        pairs = pairs.where((F.col("a") == F.col("b")) | (bits("f0_a", "f0_b") + bits("f1_a", "f1_b") + bits("f2_a", "f2_b") <= wide))
+        pairs = pairs.select(F.least("doc_a", "doc_b").alias("x"), F.greatest("doc_a", "doc_b").alias("y"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return stage(found.distinct().join(cand, ["x", "y"], "left_anti"), "similar-rest")

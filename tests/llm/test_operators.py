@@ -140,6 +140,22 @@ def test_similar_groups(docs, odd, empty):
     assert simhash.similar_groups(empty).count() == 0
 
 
+def test_similar_groups_check_what_thinning_left_out(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    base = [word() for _ in range(300)]
+    # variants of one template, near the base but not near each other; the forests are made to keep bad links
+    texts_ = [" ".join(base)] + [" ".join(word() if p in set(range(20 * k % 280 + 5, 300, 50)) else w for p, w in enumerate(base)) for k in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for t in texts_]
+    near = [(a, b) for a in range(13) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    comp = components(13, near)
+    right = simhash.nearest_forest
+    monkeypatch.setattr(simhash, "nearest_forest", lambda a, b, d, n: right(a, b, -d, 1))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, distance=14, wide=60).collect()}
+    assert got == {k: min(j for j in range(13) if comp[j] == comp[k]) for k in range(13)}
+
+
 # 2 quality
 
 
