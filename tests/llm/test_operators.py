@@ -140,6 +140,22 @@ def test_similar_groups(docs, odd, empty):
     assert simhash.similar_groups(empty).count() == 0
 
 
+def test_similar_groups_find_pairs_at_ten_bits(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    rows = []
+    while len(rows) < 10:
+        base = [word() for _ in range(204)]
+        cut = set((20 * np.arange(4) + 30).tolist())
+        two = [word() if p in cut else w for p, w in enumerate(base)]
+        pair = [" ".join(base), " ".join(two)]
+        a, b = (np.array(simhash.shingle_bits(t.encode(), 5, 3), np.int64) for t in pair)
+        if np.bitwise_count(a ^ b).min() == 10 and np.bitwise_count(a ^ b).sum() <= 42:
+            rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
 def test_similar_groups_check_what_thinning_left_out(spark, monkeypatch):
     rng = np.random.default_rng(4)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
