@@ -1,11 +1,10 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates, exactly, tile against tile.
 
-A pass hashes every vector with random hyperplanes, orders the vectors by the
-concatenated hash bits and compares each with a bounded window of neighbours in
-that order (a sorted-neighbourhood form of random-projection hashing). Pairs
-are verified by cosine in double precision and united over all passes. Links
-inside the components found are then counted exactly, tile against tile, so
-neither window nor pass limits the number of partners of a vector.
+Equal vectors are collapsed. The others of each length are dealt to tiles by a
+hash of their id and every pair of tiles is compared by cosine in double
+precision, so no pair is missed however many vectors there are or however
+dense they lie. A pair of tiles counts the links of its vectors and gives a
+spanning forest of them. Work grows with the square of the distinct vectors.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of different lengths never link; equal
@@ -23,7 +22,7 @@ from folioscope.llm.common import runs, whole_groups
 from folioscope.plans.graph import connected_components, forest
 from folioscope.plans.staging import stage
 
-PASSES, WINDOW, TILE, HASH_BITS, SEED = 14, 96, 512, 62, 11
+TILE, SPREAD, CHUNK = 32_768, 8, 512  # vectors in a tile at most, tiles at least, rows compared at once
 
 
 def units(column: pd.Series) -> np.ndarray:
@@ -32,27 +31,17 @@ def units(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def hash_keys(x: np.ndarray, p: int) -> np.ndarray:
-    """Concatenated signs of HASH_BITS random projections as one number whose order is the bits' order."""
-    planes = np.random.default_rng([SEED, p, x.shape[1]]).standard_normal((x.shape[1], HASH_BITS))
-    return ((x @ planes) > 0).astype(np.int64) @ (np.int64(1) << np.arange(HASH_BITS - 1, -1, -1))
+def tile_links(x: np.ndarray, y: np.ndarray | None, least: float):
+    """Yield index arrays (i, j) of the rows of ``x`` that link with rows of ``y``, or with later rows of ``x`` itself."""
+    for at in range(0, len(x), CHUNK):
+        i, j = np.nonzero(x[at : at + CHUNK] @ (x[at:] if y is None else y).T >= least)
+        if y is None:
+            later = j > i
+            i, j = i[later], j[later] + at
+        yield i + at, j
 
 
-def window_links(x: np.ndarray, before: np.ndarray, least: float, window: int):
-    """Index pairs (i, j), j earlier, into the rows of ``before`` followed by ``x``, at most ``window`` places apart."""
-    both = np.concatenate([before, x]) if len(before) else x
-    n = len(before)
-    for at in range(0, len(x), TILE):
-        rows = np.arange(at, min(at + TILE, len(x))) + n
-        lo = max(0, rows[0] - window)
-        s = both[rows] @ both[lo : rows[-1] + 1].T
-        i, j = np.nonzero(s >= least)
-        i, j = i + rows[0], j + lo
-        keep = (j < i) & (i - j <= window)
-        yield i[keep], j[keep]
-
-
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for every input row."""
     v = F.col("v")
     good = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("v", lambda c: c != 0), F.lit(False))
@@ -68,71 +57,36 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     reps = stage(reps.where("rep is not null").mapInPandas(to_bytes, "h1 bigint, h2 bigint, rep bigint, copies bigint, x binary"), "vec-reps")
 
-    def deal(batches):
-        for pdf in batches:
-            size = pdf["x"].str.len().to_numpy()
-            for n in np.unique(size):
-                some = pdf[size == n]
-                x = units(some["x"])
-                for p in range(passes):
-                    yield pd.DataFrame({"p": p, "dim": n, "key": hash_keys(x, p), "rep": some["rep"].to_numpy(), "x": some["x"].to_numpy()})
-
-    def sweep(batches):
-        tail, tail_ids, last = np.empty((0, 0)), np.empty(0, np.int64), None
-        for pdf in batches:
-            cut = runs(pdf["p"].to_numpy(), pdf["dim"].to_numpy())
+    sized = reps.select("rep", "copies", "x", F.length("x").alias("dim"))
+    n = sized.groupBy("dim").agg(F.count(F.lit(1)).alias("size"))
+    tiles = F.when(F.col("size") <= CHUNK, 1).otherwise(F.greatest(F.lit(SPREAD), F.ceil(F.col("size") / TILE))).cast("int")
+    placed = sized.join(F.broadcast(n), "dim").withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = placed.select("dim", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "rep", "copies", "x")
+
+    def compare(batches):
+        for pdf in whole_groups(batches, ["dim", "i", "j"], 1):
+            cut = runs(pdf["dim"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy())
             for lo, hi in zip(cut, cut[1:], strict=False):
                 some = pdf.iloc[lo:hi]
-                now = (some["p"].iloc[0], some["dim"].iloc[0])
-                x, rep = units(some["x"]), some["rep"].to_numpy()
-                if now != last:
-                    tail, tail_ids, last = x[:0], rep[:0], now
-                every = np.concatenate([tail_ids, rep])
-                found = list(window_links(x, tail, least, window))
-                i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-                a, b = forest(every[i], every[j])
-                yield pd.DataFrame({"a": a, "b": b})
-                tail, tail_ids = np.concatenate([tail, x])[-window:], every[-window:]
-
-    dealt = reps.select("rep", "x").mapInPandas(deal, "p int, dim int, key bigint, rep bigint, x binary")
-    order = ["p", "dim", "key", "rep"]
-    edges = dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(sweep, "a bigint, b bigint")
-    comp = stage(connected_components(edges, "a", "b"), "vec-comp")
-
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    placed = comp.join(sizes, "component").withColumn("tiles", tiles).join(reps.select("rep", "copies", "x"), F.col("node") == F.col("rep"))
-    placed = placed.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.select("component", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "rep", "copies", "x")
-
-    def count(batches):
-        for pdf in whole_groups(batches, ["component", "i", "j"], 1000):
-            cut = runs(pdf["component"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy())
-            rep, copies, t = (pdf[c].to_numpy() for c in ("rep", "copies", "t"))
-            first, second = pdf["i"].to_numpy(), pdf["j"].to_numpy()
-            out_rep, out_n = [], []
-            x = None
-            try:
-                x = units(pdf["x"])
-            except ValueError:  # lengths differ between components
-                pass
-            for lo, hi in zip(cut, cut[1:], strict=False):
-                u = x[lo:hi] if x is not None else units(pdf["x"].iloc[lo:hi])
-                c, r = copies[lo:hi], rep[lo:hi]
-                if first[lo] == second[lo]:
-                    s = u @ u.T >= least
-                    np.fill_diagonal(s, False)
-                    out_rep.append(r)
-                    out_n.append(s @ c)
-                else:
-                    a = t[lo:hi] == first[lo]
-                    s = u[a] @ u[~a].T >= least
-                    out_rep += [r[a], r[~a]]
-                    out_n += [s @ c[~a], c[a] @ s]
-            yield pd.DataFrame({"rep": np.concatenate(out_rep), "n": np.concatenate(out_n).astype(np.int64)})
-
-    by = ["component", "i", "j"]
-    n = placed.repartition(*by).sortWithinPartitions(*by).mapInPandas(count, "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("others"))
+                x, rep, copies = units(some["x"]), some["rep"].to_numpy(), some["copies"].to_numpy()
+                one = some["t"].to_numpy() == some["i"].iloc[0]
+                a = np.flatnonzero(one)
+                b = a if one.all() and some["i"].iloc[0] == some["j"].iloc[0] else np.flatnonzero(~one)
+                count, u, v = np.zeros(len(x), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+                for i, j in tile_links(x[a], None if b is a else x[b], least):
+                    i, j = a[i], b[j]
+                    np.add.at(count, i, copies[j])
+                    np.add.at(count, j, copies[i])
+                    # only a forest of the links found so far is held
+                    u, v = forest(np.concatenate([u, rep[i]]), np.concatenate([v, rep[j]]))
+                got = np.flatnonzero(count)
+                yield pd.DataFrame({"rep": np.concatenate([rep[got], u]), "n": np.concatenate([count[got], np.zeros(len(u), np.int64)]), "to": np.concatenate([rep[got], v])})
+
+    by = ["dim", "i", "j"]
+    found = stage(placed.repartition(*by).sortWithinPartitions(*by).mapInPandas(compare, "rep bigint, n bigint, to bigint"), "vec-links")
+    n = found.groupBy("rep").agg(F.sum("n").alias("others"))
+    comp = stage(connected_components(found.where("rep <> to"), "rep", "to"), "vec-comp")
     known = reps.select("h1", "h2", "rep", "copies").join(n, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
     out = ids.join(known, ["h1", "h2"], "left")

@@ -242,6 +242,20 @@ def test_vectors_recall(spark):
     assert sum(r["n_links"] for r in vectors.near_duplicates(df).collect()) >= 0.9 * 2 * want
 
 
+def test_vectors_miss_no_pair_of_a_loose_group(spark):
+    # 20,000 vectors, a third of them in one group of mutual cosine 0.8 with pairs of cosine 0.93 inside it
+    rng = np.random.default_rng(17)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(20_000, 64)))
+    x[:6_600] = unit(np.sqrt(0.8) * x[-1] + np.sqrt(0.2) * x[:6_600])
+    x[:600:2] = unit(x[1:600:2] + 0.39 * unit(rng.normal(size=(300, 64))))
+    n = np.zeros(len(x), int)
+    for at in range(0, len(x), 2000):
+        n[at : at + 2000] = (x[at : at + 2000] @ x.T >= 0.9).sum(1) - 1
+    got = vectors.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")).collect()
+    assert n.sum() >= 500 and {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(n.tolist()))
+
+
 # 4 suffix arrays
 
 
