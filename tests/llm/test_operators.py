@@ -578,16 +578,55 @@ def test_best_stretch_joins_over_an_insertion_and_cuts_loose_text():
     assert any(s == 0 and 56 <= e < 80 and j >= 0.8 for s, e, _, _, j in got)
 
 
-def test_all_distinct_stretches_of_a_signature_meet():
-    # (signature, id, uid, f, place, lo, hi, key): rows 1 and 4 hold equal stretches
-    t = np.array([[7, d, d, 0, 5, 0, 50, k] for d, k in ((1, 10), (2, 11), (3, 12), (4, 10), (5, 13))] + [[8, 1, 1, 0, 5, 0, 50, 10]]).T
+def test_equal_surroundings_are_settled_with_the_first():
+    # rows 1 and 4 have equal surroundings; the last row has another signature
+    rows = [(7, d, k) for d, k in ((1, 10), (2, 11), (3, 12), (4, 10), (5, 13))] + [(8, 1, 10)]
+    t = np.zeros((passages.FIELDS, len(rows)), np.int64)
+    for k, (sig, doc, key) in enumerate(rows):
+        for f, x in ((passages.SIG, sig), (passages.ID, doc), (passages.DOC, doc), (passages.UID, doc), (passages.KEY, key)):
+            t[f, k] = x
     t, to, lead = passages.settled(t)
-    assert [(int(t[1][k]), int(t[1][to[k]])) for k in np.flatnonzero(~lead)] == [(4, 1)]
+    assert [(int(t[passages.ID][k]), int(t[passages.ID][to[k]])) for k in np.flatnonzero(~lead)] == [(4, 1)]
     some = t[:, lead]
-    got = {(int(some[1][x]), int(some[1][y])) for i, j in passages.all_pairs(some[0]) for x, y in zip(i, j, strict=True)}
+    got = {(int(some[passages.ID][x]), int(some[passages.ID][y])) for i, j in passages.all_pairs(some[passages.SIG]) for x, y in zip(i, j, strict=True)}
     assert got == {(2, 1), (3, 1), (3, 2), (5, 1), (5, 2), (5, 3)}
 
 
+@pytest.mark.parametrize("holders,rare", [(0, 32), (6, 32), (20, 32), (80, 32), (80, 4)])
+def test_passages_among_documents_that_hold_parts(spark, monkeypatch, holders, rare):
+    monkeypatch.setattr(passages, "RARE", rare)
+    rng = np.random.default_rng(holders)
+    word = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(10):
+        passage = word(60)
+        parts = [(1000 * k + n, word(40) + passage[n % 30 : n % 30 + 30] + word(40)) for n in range(holders)]
+        whole = [(1000 * k + 300, word(30) + passage + word(50)), (1000 * k + 600, word(50) + passage + word(20))]
+        late = [(d + 800, w) for d, w in parts[: holders // 2]]
+        rows += [(d, " ".join(w)) for d, w in parts[holders // 2 :] + whole + late]
+        want.add((1000 * k + 600, 1000 * k + 300))
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in got} == want
+    assert all(r["end_word"] - r["start_word"] >= 60 for r in got)
+
+
+def test_passages_recall_of_near_pairs(spark):
+    """Planted passages with edits, against the similarity of the stretches as planted; classes count, not single pairs."""
+    rng = np.random.default_rng(77)
+    word = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, pairs = [], []
+    for k in range(120):
+        base = word(int(rng.integers(60, 200)))
+        two = [word(1)[0] if rng.random() < 0.018 else w for w in base]
+        one, other = grams(base), grams(two)
+        rows += [(2 * k, " ".join(word(30) + base + word(30))), (2 * k + 1, " ".join(word(20) + two + word(60)))]
+        if len(one & other) >= 0.8 * len(one | other):
+            pairs.append((2 * k + 1, 2 * k))
+    got = {(r["doc_id"], r["ref_doc_id"]) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert len(pairs) >= 60 and len(got & set(pairs)) >= 0.95 * len(pairs)
+
+
 def test_passages_meet_beyond_first_and_previous(spark, monkeypatch):
     rng = np.random.default_rng(5)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
@@ -600,6 +639,10 @@ def test_passages_meet_beyond_first_and_previous(spark, monkeypatch):
     grams = {d: {tuple(t.split()[k : k + 5]) for k in range(94)} for d, t in rows}
     near = {d for d in grams for e in grams if e < d and len(grams[d] & grams[e]) >= 0.8 * len(grams[d] | grams[e])}
     assert {r["doc_id"] for r in passages.near_passages(df).where("end_word - start_word >= 80").collect()} >= near >= {106, 107, 108, 109, 110, 111}
-    want = {tuple(r) for r in passages.near_passages(df).collect()}
-    monkeypatch.setattr(passages, "TILE", 2)
-    assert {tuple(r) for r in passages.near_passages(df).collect()} == want
+    # the same class of documents where every signature counts as frequent
+    want = {x for r in passages.near_passages(df).collect() for x in (r["doc_id"], r["ref_doc_id"])}
+    monkeypatch.setattr(passages, "RARE", 2)
+    got = passages.near_passages(df).collect()
+    assert {x for r in got for x in (r["doc_id"], r["ref_doc_id"])} == want
+    place = {d: k for k, d in enumerate(sorted(want))}
+    assert len(set(components(len(place), [(place[r["doc_id"]], place[r["ref_doc_id"]]) for r in got]))) == 1
