@@ -40,7 +40,7 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, fp0 int"
 def odd(spark):
     """Nulls, empty, blank, repeated, very long texts, and columns whose names the operators use inside."""
     df = spark.createDataFrame(ROWS, SCHEMA)
-    for c in ("digest", "slice", "size", "rank", "score", "component"):
+    for c in ("digest", "slice", "size", "rank", "score", "component", "_text", "_kept_id", "_mix_n", "row", "doc", "node", "kept"):
         df = df.withColumn(c, F.lit("own"))
     return df
 
@@ -127,33 +127,53 @@ def test_tree_join_finds_all_pairs():
         assert got == want
 
 
+def jaccard_links(texts_, least=0.8):
+    """Brute force: every pair that shares a shingle is compared."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in ((t or "").encode().lower().split() for t in texts_)]
+    holders = collections.defaultdict(list)
+    for d, x in enumerate(sets):
+        for g in x:
+            holders[g].append(d)
+    common = collections.Counter((a, b) for ds in holders.values() for k, a in enumerate(ds) for b in ds[:k])
+    return [(a, b) for (a, b), n in common.items() if n >= least * (len(sets[a]) + len(sets[b]) - n)]
+
+
 def test_similar_groups(docs, odd, empty):
     rows = texts(docs)
-    sets = [{tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for _, t in rows]
-    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = jaccard_links([t for _, t in rows])
     comp = components(len(rows), links)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
-    want = {d: min(rows[j][0] for j in range(len(rows)) if comp[j] == comp[k]) for k, (d, _) in enumerate(rows)}
-    assert all(want[d] == want[c] for d, c in got.items())
-    assert sum(got[d] == want[d] for d in want) >= 0.97 * len(want)
-    assert simhash.similar_groups(odd).count() == len(ROWS)
+    got = {r["doc_id"]: r for r in simhash.similar_groups(docs).collect()}
+    assert {d: r["component_id"] for d, r in got.items()} == {d: rows[comp[k]][0] for k, (d, _) in enumerate(rows)}
+    assert all(r["kept"] == (d == r["component_id"]) for d, r in got.items())
+    for df in (odd, odd.where("doc_id is null or doc_id in (8, 5, 6)")):
+        rows = simhash.similar_groups(df, carry=("slice",)).collect()
+        assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(d for d, _ in texts(df)) and {r["slice"] for r in rows} == {"own"}
+        group = collections.defaultdict(list)
+        for r in rows:
+            group[r["component_id"]].append(r["kept"])
+        assert all(sum(k) == 1 for c, k in group.items() if c is not None)
     assert simhash.similar_groups(empty).count() == 0
 
 
-def test_similar_groups_find_pairs_at_ten_bits(spark):
+def test_similar_groups_one_row_of_equal_ids_and_of_null_ids(spark):
+    df = spark.createDataFrame([(1, BASE), (1, BASE), (None, LONG), (None, LONG), (None, BASE + " x")], "doc_id bigint, text string")
+    rows = simhash.similar_groups(df).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows) == sorted([("1", "1", True), ("1", "1", False), ("None", "1", False), ("None", "None", True), ("None", "None", False)])
+
+
+def test_similar_groups_recall_of_pairs_at_the_limit(spark):
     rng = np.random.default_rng(9)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
     rows = []
-    while len(rows) < 10:
-        base = [word() for _ in range(204)]
-        cut = set((20 * np.arange(4) + 30).tolist())
-        two = [word() if p in cut else w for p, w in enumerate(base)]
-        pair = [" ".join(base), " ".join(two)]
-        a, b = (np.array(simhash.shingle_bits(t.encode(), 5, 3), np.int64) for t in pair)
-        if np.bitwise_count(a ^ b).min() == 10 and np.bitwise_count(a ^ b).sum() <= 42:
-            rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
-    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
+    for _ in range(150):
+        n = int(rng.integers(60, 400))
+        base = [word() for _ in range(n)]
+        cut = set(rng.choice(n // 10, max(1, n // 46), replace=False).tolist())
+        rows += [" ".join(base), " ".join(word() if p % 10 == 0 and p // 10 in cut else w for p, w in enumerate(base))]
+    links = jaccard_links(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert len(links) >= 60 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    assert sum(d != c for d, c in got.items()) <= len(links)
 
 
 def test_similar_groups_check_what_thinning_left_out(spark, monkeypatch):
@@ -163,13 +183,33 @@ def test_similar_groups_check_what_thinning_left_out(spark, monkeypatch):
     # variants of one template, near the base but not near each other; the forests are made to keep bad links
     texts_ = [" ".join(base)] + [" ".join(word() if p in set(range(20 * k % 280 + 5, 300, 50)) else w for p, w in enumerate(base)) for k in range(12)]
     df = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
-    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for t in texts_]
-    near = [(a, b) for a in range(13) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    comp = components(13, near)
+    comp = components(13, jaccard_links(texts_))
     right = simhash.nearest_forest
     monkeypatch.setattr(simhash, "nearest_forest", lambda a, b, d, n: right(a, b, -d, 1))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, distance=14, wide=60).collect()}
-    assert got == {k: min(j for j in range(13) if comp[j] == comp[k]) for k in range(13)}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, near=24, wide=80).collect()}
+    assert got == {k: comp[k] for k in range(13)}
+
+
+def test_crowded_buckets_stay_connected(monkeypatch):
+    monkeypatch.setattr(simhash, "BIG", 40)
+    rng = np.random.default_rng(12)
+    fp = []
+    for size in (300, 30, 90):  # families around one fingerprint each
+        centre = int(rng.integers(0, 1 << 63))
+        for _ in range(size):
+            x = centre
+            for bit in rng.integers(0, 64, int(rng.integers(0, 11))).tolist():
+                x ^= 1 << bit
+            fp.append(x)
+    fp = np.unique(np.array(fp, np.uint64))
+    fp = fp[np.argsort(simhash.gray_rank(fp), kind="stable")]
+    key = np.zeros(len(fp), np.uint32)
+    found, left = simhash.crowded(key, fp, 17)
+    some = np.flatnonzero(left)
+    links = [(int(a), int(b)) for x, y in [*found, *((some[i], some[j]) for i, j in simhash.tree_join(key[some], fp[some], 0, 17))] for a, b in zip(x, y, strict=True)]
+    assert all(int(fp[a] ^ fp[b]).bit_count() <= 17 for a, b in links)
+    want = [(a, b) for a in range(len(fp)) for b in range(a) if int(fp[a] ^ fp[b]).bit_count() <= 17]
+    assert components(len(fp), links) == components(len(fp), want)
 
 
 # 2 quality
@@ -433,9 +473,19 @@ def test_exact(which, counters, request):
     for d, t in rows:
         group[t].append(d)
     top = {t: max((d for d in ds if d is not None), default=None) for t, ds in group.items()}
-    want = [(d, top[t], len(group[t]), d == top[t], hashlib.sha256(t).hexdigest()) for d, t in rows]
-    got = [tuple(r) for r in exact.dedup(df, counters=counters).collect()]
-    assert collections.Counter(got) == collections.Counter(want)
+    want = [(d, top[t], len(group[t]), hashlib.sha256(t).hexdigest()) for d, t in rows]
+    got = exact.dedup(df, counters=counters).collect()
+    assert collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == collections.Counter(want)
+    # one row of each group, and its id is the group's largest; a null one only where there is no other
+    assert collections.Counter(r["text_sha256"] for r in got if r["kept"]) == {hashlib.sha256(t).hexdigest(): 1 for t in group}
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+
+
+def test_exact_keeps_one_of_equal_and_of_null_ids(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "A"), (None, "b"), (None, "B"), (None, "a")], "doc_id bigint, text string").withColumn("row", F.lit(7))
+    for counters in (1, 1024):
+        got = exact.dedup(df, counters=counters, carry=("row",)).collect()
+        assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["kept"], r["row"]) for r in got) == sorted([("1", "1", True, 7), ("1", "1", False, 7), ("None", "None", True, 7), ("None", "None", False, 7), ("None", "1", False, 7)])
 
 
 def test_misra_gries_keeps_heavy():
@@ -490,20 +540,63 @@ def test_packing_cuts_long_text_only_at_tokens(monkeypatch, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_packing_rounds_match_plain_best_fit():
-    rng = np.random.default_rng(4)
-    lengths = rng.integers(1, 65, 500).tolist()
-    plan, n = packing.rounds(dict(collections.Counter(lengths)), 64)
-    assert (plan[:, 3] * plan[:, 4]).sum() == 500
+def plain_best_fit(lengths, capacity):
     gaps = []
     for x in sorted(lengths, reverse=True):
-        fit = [k for k, g in enumerate(gaps) if g >= x]
-        k = min(fit, key=lambda k: gaps[k], default=None)
+        k = min((k for k, g in enumerate(gaps) if g >= x), key=lambda k: gaps[k], default=None)
         if k is None:
-            gaps.append(64 - x)
+            gaps.append(capacity - x)
         else:
             gaps[k] -= x
-    assert n == len(gaps)
+    return len(gaps)
+
+
+def test_sweep_matches_plain_best_fit():
+    rng = np.random.default_rng(4)
+    lengths = sorted(rng.integers(1, 65, 500).tolist(), reverse=True)
+    gap, offset, rooms = packing.sweep(lengths, [], True, 64)
+    assert len(rooms) == plain_best_fit(lengths, 64)
+    gap, offset, rooms = packing.sweep([40, 30, 30, 9], [10, 35, 64], False, 64)
+    assert gap == [2, 1, -1, 0] and offset == [0, 29, 0, 54] and rooms == [1, 5, 24]
+
+
+@pytest.mark.parametrize("kind", ["mixed", "short", "one", "thirds", "long"])
+def test_packing_rounds(spark, kind):
+    rng = np.random.default_rng(3)
+    lengths = {
+        "mixed": rng.integers(1, 257, 3000), "short": np.minimum(256, rng.geometric(0.05, 4000)), "one": np.ones(3000, int),
+        "thirds": np.where(rng.random(2000) < 0.34, 90, rng.integers(1, 257, 2000)), "long": rng.integers(129, 257, 1000),
+    }[kind]
+    rows = list(enumerate(lengths.tolist()))
+    cut = spark.createDataFrame(rows, "no bigint, length bigint")
+    got = {r["no"]: (r["sequence_id"], r["offset"]) for r in packing.best_fit(cut, 256, 300).collect()}
+    assert set(got) == set(dict(rows))
+    by = collections.defaultdict(list)
+    for k, n in rows:
+        by[got[k][0]].append((got[k][1], n))
+    for spans in by.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 256
+    assert len(by) <= 1.01 * plain_best_fit(lengths.tolist(), 256) + 1
+    assert got == {r["no"]: (r["sequence_id"], r["offset"]) for r in packing.best_fit(cut.repartition(5), 256, 300).collect()}
+
+
+def test_packing_ids_match_the_json_tokenizer_on_a_larger_table(spark):
+    """Every id of every text of sf0.1, through the crc32 of its pieces."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    want = collections.Counter()
+    rows = texts(df)
+    for at in range(0, len(rows), 500):
+        for (d, _), e in zip(rows[at : at + 500], tok.encode_batch([t or "" for _, t in rows[at : at + 500]], add_special_tokens=False), strict=True):
+            ids = np.array([*e.ids, 0], "<u4")
+            cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+            want.update((d, k, x, y - x, zlib.crc32(ids[x:y].tobytes())) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    got = packing.pieces(df, "doc_id", "text", 2048, packing.default_tokenizer()).drop("no").collect()
+    assert collections.Counter(map(tuple, got)) == want
 
 
 # 10 passages
