@@ -2,11 +2,15 @@
 
 Each source's words form one stream that is packed into blocks of fixed
 length. For every output shard the slots draw their source from the target
-weights (a multinomial draw by inverse cumulative weights); a source's draws
-number its slots, a last shard settles the difference to the exact target, and
-slot ``i`` takes block ``perm(i mod n)`` of pass ``i div n``, where ``perm`` is
-a swap-or-not permutation (Hoang, Morris and Rogaway 2012) keyed by source and
-pass. Blocks and slots then join by index.
+weights (a multinomial draw by inverse cumulative weights), and a source's
+draws number its slots: so the draw says how much each source gives. Chance is
+large only where slots are few; a source that the draw leaves more than
+``LEEWAY`` of its slots off the target is settled to that distance in a last
+shard, and one at its limit never goes above it. Slot ``i`` takes block
+``perm(i mod n)`` of pass ``i div n``, where ``perm`` is a swap-or-not
+permutation (Hoang, Morris and Rogaway 2012) keyed by source and pass. Blocks
+and slots then join by index. Where a source gets just the slots of its target,
+the last one is cut to the word.
 
 Defined results: null and wordless texts have size 0 and take 0; a null source
 is a source of its own, last in order; rows that repeat a document are mixed as
@@ -23,7 +27,7 @@ from folioscope.llm.common import WORD
 from folioscope.plans.prefix import exclusive_total
 from folioscope.plans.staging import stage
 
-SEED, ROUNDS = 20_240, 8
+SEED, ROUNDS, LEEWAY = 20_240, 8, 0.02
 
 
 def word_count(text: Column) -> Column:
@@ -54,9 +58,8 @@ def permuted(df: DataFrame, x: str, n: str, keys: list[str], out: str, seed: int
     return df.withColumn(out, F.aggregate(rounds, F.col(x).cast("bigint"), turn))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = SEED) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)``, one row for every input row."""
-    docs = stage(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "mix-docs")
+def planned(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, block: int, seed: int) -> DataFrame:
+    """For each source of ``(source, size)``: its blocks ``n``, the slots of its target and how much the last of these takes."""
     plan = fill(docs.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     B = F.lit(block)
     plan = plan.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("source_size") / B))).withColumn("goal", F.floor("target"))
@@ -67,31 +70,50 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     cut = F.when(F.col("rem") == 0, 0).when(F.col("rem") <= F.col("at") * B, F.ceil(F.col("rem") / B)).otherwise(F.ceil((F.col("rem") + F.col("short")) / B))
     plan = plan.withColumn("cut", cut.cast("bigint")).withColumn("slots", F.col("whole") * F.col("n") + F.col("cut"))
     plan = plan.withColumn("last_take", F.col("rem") - (F.col("cut") - 1) * B + F.when(F.col("at") < F.col("cut") - 1, F.col("short")).otherwise(0))
-    plan = stage(plan.select("source", "no", "source_size", "target", "n", "short", "cut", "slots", "last_take"), "mix-plan")
-    total, rows = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0], docs.count()
-    per = max(1024, math.isqrt(total))
-    shards = -(-total // per)
+    return plan.select("source", "no", "source_size", "target", "n", "short", "cut", "slots", "last_take", (F.floor(F.lit(float(most))) * F.col("n")).cast("bigint").alias("limit"))
+
 
-    # multinomial draws: sort a shard's uniform numbers among the cumulative weights
+def draws(plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """``(no, shard, start, stop)``: the slots of each source that each output shard draws; the last shard settles."""
+    spark = plan.sparkSession
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    per = max(1024, math.isqrt(total))
+    shards, strips = -(-total // per), max(1, math.isqrt(total))
+    # each source holds a stretch of [0, 1) as long as its weight; the stretches and the uniform numbers meet in strips
     run = W.orderBy("no").rowsBetween(W.unboundedPreceding, -1)
-    edge = plan.where("slots > 0").select("no", (F.coalesce(F.sum("slots").over(run), F.lit(0)) / F.lit(max(1, total))).alias("u"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))).alias("shard")
-    edge = edge.select(each, "u", F.col("no").alias("from"))
-    ids = df.sparkSession.range(0, total).select((F.expr(f"id div {per}")).cast("int").alias("shard"), (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53))).alias("u"), F.lit(None).cast("int").alias("from"))
-    drawn = edge.unionByName(ids).withColumn("no", F.last("from", ignorenulls=True).over(W.partitionBy("shard").orderBy("u", F.col("from").asc_nulls_last())))
+    edge = plan.where("slots > 0").select("no", (F.coalesce(F.sum("slots").over(run), F.lit(0)) / F.lit(max(1, total))).alias("lo"), (F.col("slots") / F.lit(max(1, total))).alias("w"))
+    first, last = F.floor(F.col("lo") * strips), F.floor((F.col("lo") + F.col("w")) * strips)
+    edge = edge.select(F.explode(F.sequence(first, F.least(last, F.lit(strips - 1)))).alias("strip"), "lo", F.col("no").alias("from"), F.lit(None).cast("int").alias("shard"))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53))
+    ids = spark.range(0, total).select(F.floor(u * strips).alias("strip"), u.alias("lo"), F.lit(None).cast("int").alias("from"), (F.expr(f"id div {per}")).cast("int").alias("shard"))
+    drawn = edge.unionByName(ids).withColumn("no", F.last("from", ignorenulls=True).over(W.partitionBy("strip").orderBy("lo", F.col("from").asc_nulls_last())))
     drawn = drawn.where("from is null").groupBy("no", "shard").agg(F.count(F.lit(1)).alias("got"))
     drawn = drawn.withColumn("start", F.coalesce(F.sum("got").over(W.partitionBy("no").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     had = drawn.groupBy("no").agg(F.sum("got").alias("had"))
-    settle = plan.select("no", "slots").join(had, "no", "left").select("no", F.lit(shards).cast("int").alias("shard"), (F.col("slots") - F.coalesce("had", F.lit(0))).alias("got"), F.coalesce("had", F.lit(0)).alias("start"))
-    runs = drawn.select("no", "shard", "got", "start").unionByName(settle)
-    runs = runs.join(plan.select("no", "n", "short", "cut", "slots", "last_take"), "no").withColumn("stop", F.least(F.col("start") + F.col("got"), "slots"))
+    off = F.floor(F.col("slots") * LEEWAY)
+    want = plan.join(had, "no", "left").select("no", F.coalesce("had", F.lit(0)).alias("had"), F.least(F.greatest(F.coalesce("had", F.lit(0)), F.col("slots") - off), F.col("slots") + off, "limit").alias("want"))
+    want = want.select("no", "had", "want")
+    runs = drawn.select("no", "shard", "start", (F.col("start") + F.col("got")).alias("stop")).join(want, "no")
+    runs = runs.select("no", "shard", "start", F.least("stop", "want").alias("stop"))
+    settle = want.select("no", F.lit(shards).cast("int").alias("shard"), F.col("had").alias("start"), F.col("want").alias("stop"))
+    return runs.unionByName(settle).where("stop > start")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = SEED) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken)``, one row for every input row."""
+    docs = stage(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "mix-docs")
+    plan = stage(planned(docs, weights, share, most, block, seed), "mix-plan")
+    runs, rows, B = stage(draws(plan, seed), "mix-draws"), docs.count(), F.lit(block)
+    total = runs.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()[0]
+    ends = runs.groupBy("no").agg(F.max("stop").alias("end"))
+    runs = runs.join(ends, "no").join(plan.select("no", "n", "short", "cut", "slots", "last_take"), "no")
     # a few rows grow into all slots here: spread them by the slots they stand for
     spread = max(docs.sparkSession.sparkContext.defaultParallelism, total // 400_000 + 1)
-    slots = runs.where("stop > start").repartition(spread, "no", "shard").select("no", "n", "short", "cut", "slots", "last_take", F.explode(F.sequence("start", F.col("stop") - 1)).alias("i"))
+    slots = runs.repartition(spread, "no", "shard").select("no", "n", "short", "cut", "slots", "end", "last_take", F.explode(F.sequence("start", F.col("stop") - 1)).alias("i"))
     slots = slots.withColumn("pass", F.expr("i div n")).withColumn("pos", F.expr("i % n"))
     slots = permuted(slots, "pos", "n", ["no", "pass"], "block", seed)
     holds = F.lit(block) - F.when(F.col("block") == F.col("n") - 1, F.col("short")).otherwise(0)
-    part = (F.col("i") == F.col("slots") - 1) & (F.col("cut") > 0) & (F.col("last_take") < holds)
+    part = (F.col("i") == F.col("slots") - 1) & (F.col("end") == F.col("slots")) & (F.col("cut") > 0) & (F.col("last_take") < holds)
     used = slots.groupBy("no", "block").agg(F.sum(F.when(part, 0).otherwise(1)).alias("times"), F.coalesce(F.max(F.when(part, F.col("last_take"))), F.lit(0)).alias("part"))
 
     keyed = docs.join(plan.select("source", "no"), docs["source"].eqNullSafe(plan["source"])).select("doc_id", "size", "no")
