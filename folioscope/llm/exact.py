@@ -7,8 +7,9 @@ are broadcast and settle their rows on the map side. All other digests go
 through an ordinary shuffle, where no key is heavy any more.
 
 Defined results: null text equals empty text; a null ``doc_id`` never stays
-unless its whole group has none; rows that repeat a ``doc_id`` are all
-reported, with the same answer; an empty table gives an empty result.
+unless its whole group has none; of each group exactly one row is kept, so of
+rows that repeat text and ``doc_id`` (or lack an id) one; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -51,15 +52,17 @@ def heavy_candidates(digests: DataFrame, k: int) -> DataFrame:
     return part.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(k).select("digest")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row for every input row; the largest ``doc_id`` stays."""
-    rows = stage(df.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(F.col(text_col)).alias("digest")), "exact")
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, keep_id, group_size, kept, text_sha256, *carry)``, one row for every input row; the largest ``doc_id`` stays."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("_exact_doc"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("_exact_row"), *(F.col(c).alias("_with_" + c) for c in carry))
+    rows = stage(rows, "exact")  # the row numbers are fixed from here on
     likely = F.broadcast(heavy_candidates(rows, counters))  # at most `counters` digests of 32 bytes
-    answer = (F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    answer = (F.max(F.struct("_exact_doc", "_exact_row")).alias("top"), F.count(F.lit(1)).alias("group_size"))  # a null id comes first
     winners = rows.join(likely, "digest", "left_semi").groupBy("digest").agg(*answer)
     winners = stage(winners.where(F.col("group_size") > 1), "exact-heavy")  # verified: exact counts of at most `counters` digests
     heavy = rows.join(F.broadcast(winners), "digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     light = rest.join(rest.groupBy("digest").agg(*answer), "digest")
-    cols = ["doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
+    kept = (F.col("_exact_row") == F.col("top._exact_row")).alias("kept")
+    cols = [F.col("_exact_doc").alias("doc_id"), F.col("top._exact_doc").alias("keep_id"), "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"), *(F.col("_with_" + c).alias(c) for c in carry)]
     return heavy.select(*cols).unionByName(light.select(*cols))

@@ -22,14 +22,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from folioscope.llm.common import raw, slices, whole_groups
+from folioscope.llm.common import raw, runs, slices, whole_groups
 from folioscope.plans.graph import connected_components, forest
-from folioscope.plans.staging import stage
+from folioscope.plans.staging import stage, unstage
 
 PAIRS_AT_ONCE = 1_000_000
-MIXED = -(1 << 63)  # the label of a fingerprint whose documents are in several groups
+COUNT, BIG, TILE = 3, 512, 4096  # fingerprints of a document for Jaccard groups; rows of a crowded bucket; rows of a tile
 SEED = 42
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,32 +44,44 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def shingle_bits(text: bytes, words: int, count: int = 1) -> list[int]:
-    """``count`` 64-bit fingerprints, the first on plain XXH64; ``text`` is UTF-8."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; one of the empty string without words."""
     w = text.lower().split()
-    if not w:
-        return [0] * count
-    parts = [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
+    parts = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, max(1, len(w) - words + 1))
+
+
+def votes(h: np.ndarray, count: int) -> np.ndarray:
+    """How often each of 64 bits is set, under each of ``count`` hash functions; the first is ``h`` itself."""
     set_in = np.zeros((count, 64), np.int64)
-    for at in range(0, len(parts), 65536):
-        some = parts[at : at + 65536]
-        h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in some), np.uint64, len(some))
+    for at in range(0, len(h), 65536):
+        some = h[at : at + 65536]
         for k in range(count):
-            set_in[k] += np.unpackbits(remixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(set_in * 2 > len(parts), axis=1, bitorder="little").view(np.int64).ravel().tolist()
+            set_in[k] += np.unpackbits(remixed(some, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return set_in
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int, count: int = 1) -> DataFrame:
-    """``(doc_id, fp0, fp1, ...)``, ``count`` signed 64-bit fingerprints."""
-    names = [f"fp{k}" for k in range(count)]
+def majority(set_in: np.ndarray, n: int) -> np.ndarray:
+    return np.packbits(set_in * 2 > n, axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def shingle_bits(text: bytes, words: int, count: int = 1) -> list[int]:
+    """``count`` 64-bit fingerprints, the first on plain XXH64; ``text`` is UTF-8."""
+    if not text.split():
+        return [0] * count
+    h = shingle_hashes(text, words)
+    return majority(votes(h, count), len(h)).tolist()
+
+
+def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``(doc_id, fp0)`` with signed 64-bit fingerprints."""
 
     def run(batches):
         for b in slices(batches, "t"):
-            fps = np.array([shingle_bits(t, words, count) for t in raw(b.column(1))], np.int64).reshape(-1, count)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, k]) for k in range(count))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_bits(t, words)[0] for t in raw(b.column(1))], pa.int64())], ["doc_id", "fp0"])
 
     got = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    return got.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return got.mapInArrow(run, "doc_id bigint, fp0 bigint")
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -117,7 +130,7 @@ def tree_join(bucket: np.ndarray, code: np.ndarray, fixed: int, distance: int):
     starts, patterns = [], []
     before = 0
     for at in levels:
-        key = code >> np.uint64(64 - at)
+        key = code >> np.uint64(64 - at) if at else np.zeros_like(code)
         new = np.ones(len(code), bool)
         new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])
         st = np.flatnonzero(new)
@@ -185,19 +198,9 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, forests: int = 1
     return order[np.array(keep, np.int64)]
 
 
-def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
-    """Spanning links ``(a, b)`` among the distinct values of ``fp0`` that are within ``distance`` bits.
-
-    With ``wide``, rows also carry further fingerprints and ``many``, whether
-    documents with different ones share ``fp0``; a pair must then be within
-    ``wide`` bits over all unless one of them is ``many``, and the links of a
-    batch are thinned to two spanning forests of the closest ones. Rows that
-    carry ``label`` get all their links, but for those between equal labels.
-    """
+def links(fps: DataFrame, distance: int) -> DataFrame:
+    """Spanning links ``(a, b)`` among the distinct values of ``fp0`` that are within ``distance`` bits."""
     blocks = Blocks(distance)
-    every = "label" in fps.columns
-    extra = [c for c in fps.columns if c != "fp0"] if wide is not None or every else []
-    more = [c for c in extra if c.startswith("fp")]
 
     def deal(batches):
         for pdf in batches:
@@ -205,48 +208,24 @@ def links(fps: DataFrame, distance: int, wide: int | None = None) -> DataFrame:
             for p in range(len(blocks.passes)):
                 code, width = blocks.code(fp, p)
                 bucket = (np.uint64(p) << np.uint64(40)) + (code >> np.uint64(64 - width))
-                yield pd.DataFrame({"bucket": bucket.view(np.int64), "fp0": pdf["fp0"], **{c: pdf[c] for c in extra}})
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        b, fp = rows["bucket"].to_numpy(), rows["fp0"].to_numpy().view(np.uint64)
-        found = []
-        for p in np.unique(b >> 40):
-            at = np.flatnonzero(b >> 40 == p)
-            code, width = blocks.code(fp[at], int(p))
-            order = np.lexsort((gray_rank(code), b[at]))
-            at, code = at[order], code[order]
-            for x, y in tree_join(b[at], code, width, distance):
-                x, y = at[x], at[y]
-                keep = blocks.first(fp[x] ^ fp[y], int(p))
-                d = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64)
-                if every:
-                    label = rows["label"].to_numpy()
-                    keep &= (label[x] != label[y]) | (label[x] == MIXED)
-                if wide is not None:
-                    for c in more:
-                        w = rows[c].to_numpy().view(np.uint64)
-                        d += np.bitwise_count(w[x] ^ w[y])
-                    many = rows["many"].to_numpy()
-                    keep &= (d <= wide) | many[x] | many[y]
-                found.append((x[keep], y[keep], d[keep]))
-        if not found:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        x, y, d = (np.concatenate(c) for c in zip(*found, strict=False))
-        s = fp.view(np.int64)
-        if every:
-            return pd.DataFrame({"a": s[x], "b": s[y]})
-        if wide is None:
-            u, v = forest(s[x], s[y])
-            return pd.DataFrame({"a": u, "b": v})
-        k = nearest_forest(s[x], s[y], d, 2)
-        return pd.DataFrame({"a": s[x[k]], "b": s[y[k]]})
+                yield pd.DataFrame({"bucket": bucket.view(np.int64), "fp0": pdf["fp0"]})
 
     def run(batches):
         for rows in whole_groups(batches, ["bucket"], 200_000):
-            yield search(rows)
-
-    one = fps if extra else fps.select("fp0").distinct()
-    dealt = one.mapInPandas(deal, "bucket bigint, fp0 bigint" + "".join(f", {c} {t}" for c, t in fps.dtypes if c in extra))
+            b, fp = rows["bucket"].to_numpy(), rows["fp0"].to_numpy().view(np.uint64)
+            u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+            for p in np.unique(b >> 40):
+                at = np.flatnonzero(b >> 40 == p)
+                code, width = blocks.code(fp[at], int(p))
+                order = np.lexsort((gray_rank(code), b[at]))
+                at, code = at[order], code[order]
+                for x, y in tree_join(b[at], code, width, distance):
+                    x, y = fp[at[x]], fp[at[y]]
+                    keep = blocks.first(x ^ y, int(p))
+                    u, v = forest(np.concatenate([u, x[keep].view(np.int64)]), np.concatenate([v, y[keep].view(np.int64)]))
+            yield pd.DataFrame({"a": u, "b": v})
+
+    dealt = fps.select("fp0").distinct().mapInPandas(deal, "bucket bigint, fp0 bigint")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "a bigint, b bigint")
 
 
@@ -263,87 +242,254 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, distance: int = 10, wide: int = 42) -> DataFrame:
-    """``(doc_id, component_id)``: groups of documents with a Jaccard similarity of ``similar`` or more on their shingles.
+def block_plan(n_rows: int) -> tuple[int, int]:
+    """Bits of a block and how many of them are turned: buckets stay small as the rows grow."""
+    width = 16 if n_rows < 4_000_000 else 20 if n_rows < 64_000_000 else 24
+    return width, width // 5
 
-    Candidates are within ``distance`` bits on one of three fingerprints and
-    ``wide`` over all; each link is then verified on the documents' shingles.
-    Where links fail, so that the documents that candidates join are still in
-    several groups, all candidates between those groups are verified too.
-    """
-    fps = stage(fingerprints(df, id_col, text_col, words, 3), "similar")
-    cand = None
-    for one in range(3):  # what one fingerprint's noise hides, another finds
-        others = [f"fp{k}" for k in range(3) if k != one]
-        f = fps.where("doc_id is not null").select("doc_id", F.col(f"fp{one}").alias("fp0"), *(F.col(c).alias(f"fp{k}") for k, c in enumerate(others, 1)))
-        unlike = (F.min("fp1") != F.max("fp1")) | (F.min("fp2") != F.max("fp2"))
-        first = f.groupBy("fp0").agg(F.min(F.struct("doc_id", "fp1", "fp2")).alias("first"), unlike.alias("many"))
-        low = stage(first.select("fp0", F.col("first.doc_id").alias("low"), "first.fp1", "first.fp2", "many"), "similar-low")
-        name = low.select("fp0", "low")
-        near = links(low.select("fp0", "fp1", "fp2", "many"), distance, wide).join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select("x", "y")
-        # within a fingerprint: every document against the first one
-        same = f.join(name.withColumnRenamed("fp0", "f"), f["fp0"] == F.col("f")).select(F.col("low").alias("x"), F.col("doc_id").alias("y"))
-        both = near.unionByName(same).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        cand = both if cand is None else cand.unionByName(both)
-    cand = stage(cand.distinct(), "similar-pairs")
 
-    def hashes(batches):
-        for b in slices(batches, "t"):
+def probes(fps: np.ndarray, margins: np.ndarray, width: int, turned: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all blocks of all fingerprints, with every choice of the ``turned`` least certain bits of a block turned, and the row of each."""
+    n, count = fps.shape
+    low = (1 << width) - 1
+    keys = []
+    for k in range(count):
+        for b in range(64 // width):
+            val = (fps[:, k] >> np.uint64(b * width)) & np.uint64(low)
+            weak = np.argsort(margins[:, k, b * width : (b + 1) * width], axis=1, kind="stable")[:, :turned]
+            flips = np.zeros((n, 1), np.uint64)
+            for j in range(turned):
+                flips = np.concatenate([flips, flips ^ (np.uint64(1) << weak[:, j : j + 1].astype(np.uint64))], axis=1)
+            keys.append((val[:, None] ^ flips) | np.uint64((k * (64 // width) + b) << width))
+    keys = np.concatenate(keys, axis=1)
+    return keys.ravel(), np.repeat(np.arange(n), keys.shape[1])
+
+
+def crowded(key: np.ndarray, fp: np.ndarray, near: int):
+    """Settle buckets of more than BIG rows around their centre: links (a, b) found so far, and which rows are left to be compared.
+
+    Rows within half of ``near`` of the bits' majority are within ``near`` of
+    each other, so links to the one closest to it connect them. A row outside
+    needs one of them: a few are tried, and all of them if those fail.
+    """
+    left, found = np.ones(len(key), bool), []
+    cut = runs(key)
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        at = np.arange(x, y)
+        while len(at) > BIG:
+            code = fp[at]
+            bits = np.unpackbits(code.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+            centre = np.packbits(2 * bits > len(at), bitorder="little").view(np.uint64)[0]
+            d = np.bitwise_count(code ^ centre)
+            ball = d <= near // 2
+            if ball.sum() < len(at) // 10 + 2:
+                break
+            inside, at = at[ball], at[~ball]
+            lead = inside[np.argmin(d[ball])]
+            left[inside] = False
+            found.append((np.full(len(inside) - 1, lead), inside[inside != lead]))
+            alone = at
+            for some in (inside[:64], inside[64:]):
+                for c in range(0, len(alone) if len(some) else 0, 256):
+                    part = alone[c : c + 256]
+                    i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[some][None, :]) <= near)
+                    found.append((part[i], some[j]))
+                alone = np.setdiff1d(alone, np.concatenate([a for a, _ in found]))
+    return found, left
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, near: int = 17, wide: int = 44, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, component_id, kept, *carry)``: groups of documents with a Jaccard similarity of ``similar`` or more on their shingles.
+
+    One row for every input row; ``component_id`` is the smallest ``doc_id`` of
+    the group (null if it has none) and one row of the group, one with that id,
+    is ``kept``. Each document has COUNT fingerprints. Texts at a similarity of
+    0.8 differ in one bit of seven, and mostly in bits that few votes decided:
+    each block of bits names a bucket, and so does the block with every choice of its least
+    certain bits turned. Buckets hold another of the fingerprints; inside, the Gray-order
+    tree finds those within ``near`` bits, and candidates are within ``wide``
+    bits over all. Links are thinned to spanning forests and verified on the
+    shingles; where documents that candidates join are still in several groups,
+    all candidates between those groups are verified too.
+    """
+    spark = df.sparkSession
+    names = [f"fp{k}" for k in range(COUNT)]
+    fields = ["node", "n", *names, "m", "h"]
+
+    def vote(batches):
+        part, k = TaskContext.get().partitionId() << 33, 0
+        for b in slices(batches, "_similar_text"):
+            at = b.schema.get_field_index("_similar_text")
             out = []
-            for t in raw(b.column(1)):
-                w = t.lower().split()
-                parts = [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
-                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 7) & 0xFFFFFFFF for x in parts), np.uint32, len(parts))).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["k", "h"])
+            for t in raw(b.column(at)):
+                h = shingle_hashes(t, words)
+                v = votes(h, COUNT)
+                fp = majority(v, len(h)) if t.split() else np.zeros(COUNT, np.int64)
+                sure = np.minimum(np.abs(2 * v - len(h)) * 64 / np.sqrt(len(h)), 255).astype(np.uint8)
+                some = np.unique((h >> np.uint64(32)).astype(np.uint32))
+                out.append((part + k, len(some), *fp.tolist(), sure.tobytes(), some.tobytes()))
+                k += 1
+            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * (2 + COUNT), pa.binary(), pa.binary()), strict=True)]
+            keep = [c for c in range(b.num_columns) if c != at]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*(b.schema.names[c] for c in keep), *("_similar_" + f for f in fields)])
+
+    rows = df.select(F.col(id_col).cast("bigint").alias("_similar_doc"), *(F.col(c).alias("_with_" + c) for c in carry), F.col(text_col).cast("string").alias("_similar_text"))
+    schema = rows.drop("_similar_text")
+    for f in fields:
+        schema = schema.withColumn("_similar_" + f, F.lit(None).cast("binary" if f in "mh" else "bigint"))
+    held = stage(rows.mapInArrow(vote, schema.schema), "similar")
+    fps = held.select(*(F.col("_similar_" + f).alias(f) for f in ("node", "n", *names, "m")))
+    width, turned = block_plan(fps.count())
+    buckets = 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    per = 64 // width
+
+    def deal(batches):
+        for pdf in batches:
+            pdf = pdf.drop_duplicates(names)
+            fp = np.stack([pdf[c].to_numpy().view(np.uint64) for c in names], axis=1)
+            key, row = probes(fp, np.frombuffer(b"".join(pdf["m"]), np.uint8).reshape(-1, COUNT, 64), width, turned)
+            of = (key >> np.uint64(width)).astype(np.int64) // per
+            other = fp[row, (of + 1) % COUNT]
+            b = (key * MULT >> np.uint64(40)).astype(np.int64) % buckets
+            order = np.lexsort((key, b))
+            b, key, other = b[order], key[order].astype(np.uint32), other[order]
+            cut = runs(b)
+            yield pd.DataFrame([(int(b[x]), key[x:y].tobytes(), other[x:y].tobytes()) for x, y in zip(cut, cut[1:], strict=False)], columns=["bucket", "k", "f"])
+
+    def search(batches):
+        for pdf in whole_groups(batches, ["bucket"], 1):
+            cut = runs(pdf["bucket"].to_numpy())
+            for x, y in zip(cut, cut[1:], strict=False):
+                key = np.concatenate([np.frombuffer(v, np.uint32) for v in pdf["k"].iloc[x:y]])
+                fp = np.concatenate([np.frombuffer(v, np.uint64) for v in pdf["f"].iloc[x:y]])
+                order = np.lexsort((gray_rank(fp), key))
+                order = order[runs(key[order], fp[order])[:-1]]
+                key, fp = key[order], fp[order]
+                of = ((key >> np.uint32(width)) // np.uint32(per)).astype(np.int64)
+                found, left = crowded(key, fp, near)
+                some = np.flatnonzero(left)
+                held_, n = [], 0
+                for i, j in [*found, *((some[i], some[j]) for i, j in tree_join(key[some], fp[some], 0, near))]:
+                    held_.append(np.stack([of[i], fp[i].view(np.int64), fp[j].view(np.int64)]))
+                    n += len(i)
+                    if n > 2_000_000:
+                        held_ = [thinned(held_)]
+                        n = held_[0].shape[1]
+                if held_:
+                    yield pd.DataFrame(thinned(held_).T, columns=["of", "a", "b"])
+
+    def thinned(held_) -> np.ndarray:
+        """Two spanning forests of the closest links, for each fingerprint."""
+        t = np.concatenate(held_, axis=1)
+        out = []
+        for k in range(COUNT):
+            some = t[:, t[0] == k]
+            some[1:] = np.sort(some[1:], axis=0)
+            some = np.unique(some, axis=1)
+            out.append(some[:, nearest_forest(some[1], some[2], np.bitwise_count(some[1] ^ some[2]).astype(np.int64), 2)] if some.shape[1] else some)
+        return np.concatenate(out, axis=1)
+
+    dealt = fps.select(*names, "m").mapInPandas(deal, "bucket int, k binary, f binary")
+    near_ = stage(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(search, "of int, a bigint, b bigint").distinct(), "similar-near")
+    kinds = stage(fps.groupBy(*names).agg(F.min("node").alias("node"), F.min("n").alias("n")), "similar-kinds")
+    bits = lambda a, b: sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(COUNT)), F.lit(0))
+    one, two = (kinds.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), *(F.col(c).alias(f"{s}{k}") for k, c in enumerate(names))) for s in "xy")
+    cand = fps.join(kinds.select(*names, F.col("node").alias("x")), names).select("x", F.col("node").alias("y"), F.lit(0).alias("d")).where("x <> y")
+    for k in range(COUNT):
+        other = (k + 1) % COUNT
+        pairs = near_.where(F.col("of") == k).join(one, F.col("a") == F.col(f"x{other}")).join(two, F.col("b") == F.col(f"y{other}"))
+        pairs = pairs.where((bits("x", "y") <= wide) & (F.least("nx", "ny") >= similar * F.greatest("nx", "ny")))
+        cand = cand.unionByName(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), bits("x", "y").alias("d")))
+    cand = stage(cand.distinct(), "similar-pairs")
 
     def check(batches):
         for pdf in batches:
-            keep = []
-            for p, q in zip(pdf["p"], pdf["q"], strict=True):
-                one, two = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both >= similar * (len(one) + len(two) - both))
+            keep = [alike(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), similar) for p, q in zip(pdf["p"], pdf["q"], strict=True)]
             yield pdf.loc[np.array(keep, bool), ["x", "y"]]
 
-    def linked(cand: DataFrame) -> DataFrame:
-        ids = cand.select(F.col("x").alias("i")).union(cand.select("y")).distinct()
-        some = df.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).cast("string").alias("t")).join(ids, F.col("k") == F.col("i"), "left_semi")
-        sets = stage(some.mapInArrow(hashes, "k bigint, h binary"), "similar-sets").dropDuplicates(["k"])
-        pairs = cand.join(sets.toDF("k", "p"), F.col("x") == F.col("k")).drop("k").join(sets.toDF("k", "q"), F.col("y") == F.col("k")).select("x", "y", "p", "q")
-        return stage(pairs.mapInPandas(check, "x bigint, y bigint"), "similar-linked")
-
-    good = linked(cand)
+    # first each document's closest candidate and the one with the smallest number: most groups need no more
+    both = cand.select(F.col("x").alias("i"), F.col("y").alias("j"), "d").union(cand.select("y", "x", "d"))
+    few = both.groupBy("i").agg(F.min(F.struct("d", "j"))["j"].alias("one"), F.min("j").alias("two"))
+    few = few.select("i", "one").union(few.select("i", "two")).select(F.least("i", "one").alias("x"), F.greatest("i", "one").alias("y")).distinct()
+    sets = held.select(F.col("_similar_node").alias("k"), F.col("_similar_h").alias("h"))
+    pairs = few.join(sets.toDF("k", "p"), F.col("x") == F.col("k")).drop("k").join(sets.toDF("k", "q"), F.col("y") == F.col("k")).select("x", "y", "p", "q")
+    good = stage(pairs.mapInPandas(check, "x bigint, y bigint"), "similar-linked")
     comp = stage(connected_components(good, "x", "y"), "similar-comp")
-    rest = unchecked(fps.where("doc_id is not null"), cand, comp, distance, wide)
+    rest = stage(unchecked(fps, sets, cand, comp, similar, wide), "similar-rest")
     if not rest.isEmpty():
-        comp = connected_components(good.unionByName(linked(rest)), "x", "y")
-    out = fps.join(comp, fps["doc_id"] == comp["node"], "left")
-    return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def unchecked(fps: DataFrame, cand: DataFrame, comp: DataFrame, distance: int, wide: int) -> DataFrame:
-    """``(x, y)``: all candidates, other than ``cand``, between documents of different groups in ``comp``.
-
-    Thinned links join what all links join. So such a pair lies within one
-    component of ``cand``, and only those with several groups are searched.
+        comp = stage(connected_components(good.unionByName(rest), "x", "y"), "similar-comp")
+    out = held.select(F.col("_similar_doc").alias("doc_id"), *("_with_" + c for c in carry), "_similar_node")
+    comp = comp.select(F.col("node").alias("_similar_c"), F.col("component").alias("_similar_l"))
+    out = out.join(comp, F.col("_similar_node") == F.col("_similar_c"), "left").withColumn("_similar_root", F.coalesce("_similar_l", "_similar_node"))
+    best = out.groupBy(F.col("_similar_root").alias("_similar_r")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_similar_node")).alias("_similar_best"))
+    out = out.join(best, F.col("_similar_root") == F.col("_similar_r"))
+    out = out.select("doc_id", F.col("_similar_best.doc_id").alias("component_id"), (F.col("_similar_node") == F.col("_similar_best._similar_node")).alias("kept"), *(F.col("_with_" + c).alias(c) for c in carry))
+    out = stage(out, "similar-groups")
+    for table in (held, near_, kinds, cand, good, rest, comp):
+        unstage(table)
+    return out
+
+
+def alike(one: np.ndarray, two: np.ndarray, similar: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``similar`` or more."""
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both >= similar * (len(one) + len(two) - both)
+
+
+def unchecked(fps: DataFrame, sets: DataFrame, cand: DataFrame, comp: DataFrame, similar: float, wide: int) -> DataFrame:
+    """``(x, y)``: verified links between documents of different groups in ``comp``, as many as join them.
+
+    Candidate links join what all links join. So a pair that was not verified
+    lies within one component of ``cand``, and only those with several groups
+    are searched, tile against tile. A tile looks at its closest pairs first,
+    and a pair whose groups it has joined already needs no look.
     """
     wider = connected_components(cand, "x", "y").select("node", F.col("component").alias("wider"))
-    label = wider.join(comp, "node", "left").select("node", "wider", F.coalesce("component", "node").alias("label"))
-    open_ = label.groupBy("wider").agg(F.min("label").alias("m"), F.max("label").alias("n"), F.count(F.lit(1)).alias("nodes"))
-    open_ = open_.where("m <> n and nodes > 2").select("wider")
-    mine = stage(fps.dropDuplicates(["doc_id"]).join(label.join(open_, "wider").drop("wider"), F.col("doc_id") == F.col("node")).drop("node"), "similar-open")
-    if mine.isEmpty():
-        return cand.limit(0)
-    bits = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    names = ["doc", "f0", "f1", "f2", "label"]
-    one, two = mine.toDF(*(f"{n}_a" for n in names)), mine.toDF(*(f"{n}_b" for n in names))
-    found = None
-    for k in range(3):
-        of = mine.select(F.col(f"fp{k}").alias("fp0"), "label").groupBy("fp0").agg(F.when(F.min("label") == F.max("label"), F.min("label")).otherwise(F.lit(MIXED)).alias("label"))
-        near = links(of, distance).unionByName(of.where(F.col("label") == MIXED).select(F.col("fp0").alias("a"), F.col("fp0").alias("b")))
-        pairs = near.join(one, F.col("a") == F.col(f"f{k}_a")).join(two, F.col("b") == F.col(f"f{k}_b")).where("label_a <> label_b")
-        # equal fingerprints are candidates however far the others are
-        pairs = pairs.where((F.col("a") == F.col("b")) | (bits("f0_a", "f0_b") + bits("f1_a", "f1_b") + bits("f2_a", "f2_b") <= wide))
-        pairs = pairs.select(F.least("doc_a", "doc_b").alias("x"), F.greatest("doc_a", "doc_b").alias("y"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return stage(found.distinct().join(cand, ["x", "y"], "left_anti"), "similar-rest")
+    label = wider.join(comp, "node", "left").select(F.col("node").alias("i"), "wider", F.coalesce("component", "node").alias("label"))
+    open_ = label.groupBy("wider").agg(F.min("label").alias("m"), F.max("label").alias("top"), F.count(F.lit(1)).alias("size"))
+    open_ = open_.where("m <> top and size > 2").select("wider", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    names = [f"fp{k}" for k in range(COUNT)]
+    some = stage(label.join(open_, "wider"), "similar-open")
+    mine = fps.select("node", "n", *names).join(some, F.col("node") == F.col("i")).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    mine = mine.join(sets, F.col("node") == F.col("k")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    mine = mine.select("wider", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "t", "node", "n", "label", *names, "h")
+    by = ["wider", "lo", "hi"]
+
+    def compare(batches):
+        for pdf in whole_groups(batches, by, 1):
+            cut = runs(*(pdf[c].to_numpy() for c in by))
+            fp = np.stack([pdf[c].to_numpy().view(np.uint64) for c in names])
+            node, n, t, lo = (pdf[c].to_numpy() for c in ("node", "n", "t", "lo"))
+            label_ = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1]
+            set_of = [np.frombuffer(h, np.uint32) for h in pdf["h"]]
+            up = list(range(label_.max() + 1))
+
+            def root(x):
+                while (y := up[x]) != x:
+                    up[x] = up[y]
+                    x = y
+                return x
+
+            out = []
+            for x, y in zip(cut, cut[1:], strict=False):
+                a = np.flatnonzero(t[x:y] == lo[x]) + x
+                b = np.flatnonzero(t[x:y] != lo[x]) + x
+                same = not len(b) and pdf["hi"].iloc[x] == lo[x]
+                for at in range(0, len(a), 256):
+                    i = a[at : at + 256]
+                    j = a[at:] if same else b
+                    if not len(j):
+                        continue
+                    now = np.array([root(k) for k in range(len(up))])[label_]
+                    d = sum(np.bitwise_count(f[i][:, None] ^ f[j]).astype(np.int16) for f in fp)
+                    ok = (d <= wide) & (now[i][:, None] != now[j]) & (np.minimum(n[i][:, None], n[j]) >= similar * np.maximum(n[i][:, None], n[j]))
+                    p, q = np.nonzero(ok)
+                    order = np.argsort(d[p, q], kind="stable")
+                    for g, h in zip(i[p[order]].tolist(), j[q[order]].tolist(), strict=True):
+                        u, v = root(label_[g]), root(label_[h])
+                        if u != v and alike(set_of[g], set_of[h], similar):
+                            up[max(u, v)] = min(u, v)
+                            out.append((min(node[g], node[h]), max(node[g], node[h])))
+            yield pd.DataFrame(out, columns=["x", "y"])
+
+    return mine.repartition(*by).sortWithinPartitions(*by).mapInPandas(compare, "x bigint, y bigint")

@@ -393,10 +393,41 @@ def test_mixing(which, request):
     for s in names:
         assert by[s][0]["source_size"] == sum(r["size"] for r in by[s])
         assert by[s][0]["target"] == pytest.approx(share[s], rel=1e-9)
-        assert sum(r["taken"] for r in by[s]) == math.floor(by[s][0]["target"] + 1e-6)
+        taken, target = sum(r["taken"] for r in by[s]), by[s][0]["target"]
+        assert abs(taken - target) <= 1 + mixing.LEEWAY * (target + 256) and taken <= 2 * by[s][0]["source_size"]
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
 
 
+def test_mixing_follows_the_draw(spark):
+    """Each source's slots are what the multinomial draw gave it, within the leeway; another seed draws other counts."""
+    words = " w" * 4000
+    df = spark.createDataFrame([(k, words, f"s{k % 5}") for k in range(400)], "doc_id bigint, text string, source string")
+    got = {}
+    for seed in (1, 2):
+        docs = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+        plan = mixing.planned(docs, (5, 2, 1), 1.5, 2.0, 128, seed)
+        runs = mixing.draws(plan, seed).collect()
+        want = {r["no"]: r for r in plan.collect()}
+        total = sum(r["slots"] for r in want.values())
+        drawn = collections.Counter(r["no"] for r in runs for _ in range(r["start"], r["stop"]))
+        assert {(r["no"], i) for r in runs for i in range(r["start"], r["stop"])} == {(k, i) for k, n in drawn.items() for i in range(n)}
+        shards = -(-total // max(1024, math.isqrt(total)))  # the number of the shard that settles
+        raw_ = collections.Counter({k: sum(r["stop"] - r["start"] for r in runs if r["no"] == k and r["shard"] < shards) for k in want})
+        for k, r in want.items():
+            assert abs(drawn[k] - r["slots"]) <= mixing.LEEWAY * r["slots"] and drawn[k] <= 2 * r["n"]
+            if abs(raw_[k] - r["slots"]) <= mixing.LEEWAY * r["slots"] and raw_[k] < 2 * r["n"]:
+                assert drawn[k] == raw_[k]
+        chance = [abs(drawn[k] - r["slots"]) / math.sqrt(r["slots"] * (1 - r["slots"] / total)) for k, r in want.items()]
+        assert 0 < max(chance) < 5
+        taken = collections.Counter()
+        for r in mixing.mix(df, seed=seed).collect():
+            taken[r["source"]] += r["taken"]
+        for k, r in want.items():
+            assert drawn[k] == r["slots"] or abs(taken[r["source"]] - 128 * drawn[k]) <= 2 * 128
+        got[seed] = dict(drawn)
+    assert got[1] != got[2]
+
+
 def test_mixing_empty(empty):
     assert mixing.mix(empty).count() == 0
 

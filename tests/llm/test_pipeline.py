@@ -29,6 +29,23 @@ def test_empty_and_nulls(spark):
         assert step(spark, docs.where("false"), SF).count() == 0
 
 
+def test_rows_without_ids_and_repeated_rows(spark):
+    """Exact and near dedup keep one row of each group whatever the ids; clashing names are left alone."""
+    text = "the quick brown fox jumps over the lazy dog while nine tall giants walk along the river bank " * 4
+    rows = [(1, text), (1, text), (None, text + " one more"), (None, "another text that is long enough to be told apart from all of the others here"), (2, "short")]
+    rows += [(None, rows[3][1])]
+    df = spark.createDataFrame([(*r, "en", "web", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("_kept_id", "_mix_n", "_text", "row", "at", "doc", "copy", "node", "kept"):
+        df = df.withColumn(c, F.lit("own"))
+    exact = pipeline.drop_exact(spark, df, SF)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in exact.collect()) == sorted([("1", text), ("None", rows[2][1]), ("None", rows[3][1]), ("2", "short")]) and exact.columns == df.columns
+    near = pipeline.drop_near(spark, df, SF)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in near.collect()) == sorted([("1", text), ("None", rows[3][1]), ("2", "short")]) and near.columns == df.columns
+    mixed = pipeline.mix_sources(spark, df, SF)
+    assert mixed.columns == df.columns and {r["doc_id"] for r in mixed.collect()} == {1, 2, None}
+    assert pipeline.keep_identified(spark, df, SF).columns == df.columns
+
+
 def test_whole_copies_come_near_the_words_taken(spark):
     rows = [(k, f"s{k % 3}" if k % 3 else None, 1 + k * 37 % 900) for k in range(3000)]
     share = {0: 0.4, 1: 0.76, 2: 1.6}
