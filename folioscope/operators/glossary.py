@@ -51,11 +51,24 @@ def duplicates(entries: DataFrame, key: str = "source_term") -> DataFrame:
     return g.select(key, "n", F.transform("r", lambda x: x["id"]).alias("ids"))
 
 
+def json_text(c: Column) -> Column:
+    """A string as JSON writes it, null as null."""
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1))
+
+
 def glossary_hash(entries: DataFrame, project: str = "project_id") -> DataFrame:
-    """One hash a project over its entries in term order, 32 hex digits; order of input does not matter."""
-    text = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    value = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), text(c), F.lit('"')))
-    names = ["gender", "notes", "source_term", "status", "target_term", "type"]
+    """One hash a project over its entries in term order, 32 hex digits; order of input, ids and dates do not matter.
+
+    Keys are sorted and separated as ``", "`` and ``": "``. Columns
+    ``source_aliases`` and ``target_aliases`` may be missing; they count as empty.
+    """
+    def value(name: str) -> Column:
+        if name.endswith("_aliases"):
+            words = F.coalesce(F.col(name), F.array()) if name in entries.columns else F.array()
+            return F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(words.cast("array<string>")), json_text), ", "), F.lit("]"))
+        return F.coalesce(F.col(name).cast("string"), F.lit("null")) if name == "source_known" else json_text(F.col(name).cast("string"))
+
+    names = ["gender", "notes", "source_aliases", "source_known", "source_term", "status", "target_aliases", "target_term", "type"]
     item = F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{n}": '), value(n)) for n in names)), F.lit("}"))
     rows = entries.select(project, F.struct(F.coalesce("source_term", F.lit("")).alias("a"), F.col("target_term").alias("b"), F.col("id").alias("c"), item.alias("j")).alias("x"))
     g = rows.groupBy(project).agg(F.array_sort(F.collect_list("x")).alias("xs"))

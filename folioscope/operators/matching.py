@@ -13,16 +13,31 @@ def term_matches(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text:
     """``(key, entry_id, term, n)``: occurrences of each term in each text, at word boundaries, case-sensitive.
 
     A match starts at a word boundary, so the term's first word is a whole word
-    of the text: texts and terms meet in an equi-join on that word, and the
-    pattern then decides. Terms without any word character meet every text.
+    of the text: texts and terms meet in an equi-join on that word. A term that
+    is one word needs no more than the words' count; for the others the
+    pattern decides, on the texts that have the word, and each text is read
+    once for all its candidates. Terms without any word character have no
+    anchor: they are one group that every text carries. Texts are told apart by
+    ``key``.
     """
     t = terms.where(F.coalesce(F.col("term"), F.lit("")) != "").select("entry_id", "term", F.regexp_extract("term", WORDS, 1).alias("anchor"))
-    t = t.withColumn("pattern", T.term_pattern(F.array("term")))
+    one = (F.col("anchor") == F.col("term")).alias("one")
     d = texts.select(F.col(key), F.col(text).alias("_text"))
-    words = d.select(key, "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(WORDS)))).alias("anchor"))
-    keep = [key, "_text", "entry_id", "term", "pattern"]
-    cand = words.join(t.where("anchor <> ''"), "anchor").select(keep).unionByName(d.join(t.where("anchor = ''")).select(keep))
-    return cand.withColumn("n", F.expr("regexp_count(_text, pattern)").cast("bigint")).where("n > 0").select(key, "entry_id", "term", "n")
+    words = d.select(key, F.explode(F.regexp_extract_all("_text", F.lit(WORDS))).alias("anchor"))
+    anchors = t.where("anchor <> ''").select("anchor").distinct()
+    # only words that start a term are counted, so the shuffle is as small as the hits
+    hits = words.join(anchors, "anchor", "left_semi").groupBy(key, "anchor").agg(F.count(F.lit(1)).alias("n"))
+    cand = hits.join(t.select("anchor", "entry_id", "term", one), "anchor")
+    single = cand.where("one").select(key, "entry_id", "term", "n")
+    counted = lambda df: (
+        df.select(key, "_text", F.explode("_c").alias("x")).select(key, "_text", "x.entry_id", "x.term").withColumn("pattern", T.term_pattern(F.array("term")))
+        .withColumn("n", F.expr("regexp_count(_text, pattern)").cast("bigint")).where("n > 0").select(key, "entry_id", "term", "n")
+    )
+    each = F.collect_list(F.struct("entry_id", "term")).alias("_c")
+    many = cand.where("not one").groupBy(key).agg(each)
+    bare = t.where("anchor = ''").agg(each).where("size(_c) > 0").withColumn("_at", F.lit(0))  # one row at most
+    rest = counted(many.join(d, key)).unionByName(counted(d.withColumn("_at", F.lit(0)).join(F.broadcast(bare), "_at")))
+    return single.unionByName(rest)
 
 
 def occurrence_report(matches: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -31,7 +46,7 @@ def occurrence_report(matches: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def spans(text: Column, term: str) -> Column:
     """Start and end of every match of one term, in code points."""
-    pattern = F.lit(f"(?<!{T.WORDCH}){term}(?!{T.WORDCH})")
+    pattern = T.term_pattern(F.array(F.lit(term)))
     between = F.split(text, pattern)
     at = F.aggregate(
         F.slice(between, F.lit(1), F.greatest(F.size(between) - 1, F.lit(0))),

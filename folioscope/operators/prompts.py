@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioscope.functions import text as T
 
 # Entity types; unknown ones become 'term'.
-TYPES = ("person", "place", "organization", "object", "event", "concept", "title", "term", "other")
+TYPES = ["character", "place", "organization", "event", "item", "date_or_time", "phrase", "term", "other"]
 
 
 def escaped(c: Column) -> Column:

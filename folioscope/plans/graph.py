@@ -79,9 +79,11 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         below = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = stage(below.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
         now = _mark(nxt)
+        # equal marks may be chance: only equal edges end the rounds
+        settled = now == seen and nxt.join(cur, ["u", "v"], "left_anti").isEmpty()
         unstage(cur)
         cur = nxt
-        if now == seen:
+        if settled:
             break
         seen = now
     else:

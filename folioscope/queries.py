@@ -40,7 +40,8 @@ MODELS = "(VALUES ('gpt'),('gpt-large-2024-05-01'),('gpt-large-mini-x'),('gpt-x'
 STRINGS = r"""(VALUES (1,'1999'),(2,'c. 1840'),(3,'1914-1918'),(4,'The 1990s'),(5,'1990s'),(6,'44 BC'),(7,'House of Lords'),(8,'a very long phrase that has far more than ten words in its text'),
  (9,'Wait. What now'),(10,'open (bracket'),(11,'[[T0]][[/T0]]'),(12,'  '),(13,'[[T1]] x'),(14,'FIFA ('),(15,'  House Lannister  '),(16,'Heavily Indebted Poor Country (HIPC) initiative'),
  (17,'the the cat'),(18,'Of, of course'),(19,'the House'),(20,'an  apple pie'),(21,'theatre'),(22,'— So he said'),(23,'"Yes" she said'),(24,'plain prose'),(25,'“quoted”'),(26,'1h2m3s'),(27,'250ms'),(28,'90'),
- (29,'http://localhost:8080/x'),(30,'http://192.168.1.7/'),(31,'https://example.com/a'),(32,'http://printer.local'),(33,'http://10.0.0.3:99'),(34,'img/a.PNG'),(35,'x.css'),(36,'none')) AS s(id, s)"""
+ (29,'http://localhost:8080/x'),(30,'http://192.168.1.7/'),(31,'https://example.com/a'),(32,'http://printer.local'),(33,'http://10.0.0.3:99'),(34,'img/a.PNG'),(35,'x.css'),(36,'none'),
+ (37,'Round Table Society'),(38,'Acme Company  Limited.'),(39,'Program'),(40,'Trade Agency'),(41,'Stop!'),(42,'(1066)'),(43,'1066 d.C.'),(44,'circa 1905'),(45,'Order 66'),(46,'‘Come in,’ he said'),(47,'12345'),(48,'b.avif')) AS s(id, s)"""
 
 
 def duck(sql: str) -> str:
@@ -256,26 +257,48 @@ def dup_documents(spark, d):
 # text
 
 
-@query("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\p{L}+(?:''\\p{L}+)?'), lambda x: lower(x)) AS ws FROM documents WHERE lang = 'en'),
- p AS (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w) SELECT doc_id, ws[i] AS word, CAST(i - 1 AS INTEGER) AS at FROM p
- WHERE ws[i] = ws[i + 1] AND ws[i] IN (""" + ",".join(f"'{x}'" for x in T.PARTICLES["en"].split()) + ")")
+# the oracles spell the particles out themselves
+SQL_PARTICLES = """(VALUES ('en',['the','a','an']),('es',['el','la','los','las','un','una','unos','unas','de','en','por','para','con','del','al']),
+ ('fr',['le','la','les','un','une','des','de','en','à','du','au','aux']),('de',['der','die','das','den','dem','des','ein','eine','einen','einem','einer','eines',
+ 'in','an','auf','zu','von','mit','bei','im','am','zum','zur','vom','beim'])) AS p(lang, words)"""
+
+
+@query(f"""WITH w AS (SELECT doc_id, p.words, regexp_extract_all(text, '\\p{{L}}+(?:''\\p{{L}}+)?') AS ws, regexp_split_to_array(text, '\\p{{L}}+(?:''\\p{{L}}+)?') AS gaps
+ FROM documents d JOIN {SQL_PARTICLES} ON p.lang = CASE WHEN d.lang IN ('es', 'fr', 'de') THEN d.lang ELSE 'en' END),
+ p AS (SELECT *, unnest(range(1, len(ws))) AS i FROM w)
+ SELECT doc_id, lower(ws[i]) AS word, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS at
+ FROM p WHERE lower(ws[i]) = lower(ws[i + 1]) AND list_contains(words, lower(ws[i]))""")
 def doubled_particles(spark, d):
-    docs = tab(spark, d, "documents").where("lang = 'en'")
+    docs = tab(spark, d, "documents")
     return docs.select("doc_id", F.explode(T.doubled_particles(F.col("text"), F.col("lang"))).alias("x")).select("doc_id", "x.word", "x.at")
 
 
-@query(f"""SELECT id, CASE WHEN regexp_matches(trim(s), '^\\S+\\s+\\S') AND lower(regexp_extract(trim(s), '^(\\S+)', 1)) IN ({",".join(f"'{x}'" for x in T.PARTICLES["en"].split())})
- THEN lower(regexp_extract(trim(s), '^(\\S+)', 1)) END AS particle FROM {STRINGS} WHERE id IN (7, 17, 19, 20, 21, 24)""")
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(trim(text), '^\\S+\\s') AND list_contains(p.words, lower(trim(regexp_extract(trim(text), '^(\\S+)', 1), '.,;:!?"`«»()[]{{}}''')))
+ THEN lower(trim(regexp_extract(trim(text), '^(\\S+)', 1), '.,;:!?"`«»()[]{{}}''')) END AS particle
+ FROM documents d JOIN {SQL_PARTICLES} ON p.lang = CASE WHEN d.lang IN ('es', 'fr', 'de') THEN d.lang ELSE 'en' END""")
 def leading_particle(spark, d):
-    return values(spark, STRINGS).where("id in (7, 17, 19, 20, 21, 24)").select("id", T.leading_particle(F.col("s"), F.lit("en")).alias("particle"))
+    return tab(spark, d, "documents").select("doc_id", T.leading_particle(F.col("text"), F.col("lang")).alias("particle"))
+
+
+@query("""SELECT * FROM (VALUES ('of the mist','en',NULL,'of the mist'),('the House','en','the','House'),('“the” House','en',NULL,'“the” House'),('(The) House','en','the','House'),('the','en',NULL,'the'),
+ ('à la carte','fr-CA','à','la carte'),('pelas ruas','pt_BR','pelas','ruas'),('e depois','pt',NULL,'e depois'),('sugli alberi','it','sugli','alberi'),('Beim Haus','DE','beim','Haus'),('the sea','xx','the','sea')) AS t(term, lang, particle, stripped)""")
+def particle_cases(spark, d):
+    rows = values(spark, "(VALUES ('of the mist','en'),('the House','en'),('“the” House','en'),('(The) House','en'),('the','en'),('à la carte','fr-CA'),('pelas ruas','pt_BR'),('e depois','pt'),('sugli alberi','it'),('Beim Haus','DE'),('the sea','xx')) AS t(term, lang)")
+    return rows.select("term", "lang", T.leading_particle(F.col("term"), F.col("lang")).alias("particle"), T.strip_particle(F.col("term"), F.col("lang")).alias("stripped"))
 
 
-@query("SELECT * FROM (VALUES (7,'house of lords'),(14,'fifa'),(15,'house lannister'),(16,'heavily indebted poor country')) AS t(id, canon)")
+@query("""SELECT * FROM (VALUES (1,true),(2,true),(3,false),(4,true)) AS t(id, is_symmetric)""")
+def particle_symmetry(spark, d):
+    rows = values(spark, "(VALUES (1,'the House','o Lar'),(2,'House','Lar'),(3,'House','a Casa'),(4,'of Rome','Roma')) AS t(id, s, t)")
+    return rows.select("id", T.symmetric(F.col("s"), F.lit("en"), F.col("t"), F.lit("pt")).alias("is_symmetric"))
+
+
+@query("SELECT * FROM (VALUES (7,'house of lords'),(14,'fifa'),(15,'house lannister'),(16,'heavily indebted poor country'),(37,'round table'),(38,'acme'),(39,'program'),(40,'trade agency')) AS t(id, canon)")
 def canonical_terms(spark, d):
-    return values(spark, STRINGS).where("id in (7, 14, 15, 16)").select("id", T.canonical(T.nfkc(F.col("s"))).alias("canon"))
+    return values(spark, STRINGS).where("id in (7, 14, 15, 16, 37, 38, 39, 40)").select("id", T.canonical(T.nfkc(F.col("s"))).alias("canon"))
 
 
-@query("""SELECT doc_id, regexp_matches(trim(text), '^[—–―]\\s*\\S') OR regexp_matches(text, '[“„«‹「『‟〝‚”»›」』〞]') OR regexp_matches(text, '"[^"]*[\\p{L}\\p{N}][^"]*"') AS is_dialogue FROM documents""")
+@query("""SELECT doc_id, regexp_matches(trim(text), '^[—–―]\\s*\\S') OR regexp_matches(text, '[“„«「『＂‘‚‹”»」』’›]') OR regexp_matches(text, '"[^"]*[\\p{L}\\p{N}][^"]*"') AS is_dialogue FROM documents""")
 def dialogue_flag(spark, d):
     return tab(spark, d, "documents").select("doc_id", T.dialogue(F.col("text")).alias("is_dialogue"))
 
@@ -285,14 +308,14 @@ def token_counts(spark, d):
     return tab(spark, d, "documents").select("doc_id", T.rough_tokens(F.col("text")).alias("tokens"), T.rough_tokens(F.col("text"), 0).alias("llm_tokens"))
 
 
-@query("SELECT * FROM (VALUES (1,true),(2,true),(3,true),(4,false),(5,true),(6,true),(7,false),(24,false)) AS t(id, is_year)")
+@query("SELECT * FROM (VALUES (1,true),(2,true),(3,true),(4,false),(5,true),(6,true),(7,false),(24,false),(42,true),(43,true),(44,true),(45,false),(47,false)) AS t(id, is_year)")
 def year_like(spark, d):
-    return values(spark, STRINGS).where("id in (1,2,3,4,5,6,7,24)").select("id", T.year_like(F.col("s")).alias("is_year"))
+    return values(spark, STRINGS).where("id in (1,2,3,4,5,6,7,24,42,43,44,45,47)").select("id", T.year_like(F.col("s")).alias("is_year"))
 
 
-@query("SELECT * FROM (VALUES (1,'year'),(7,NULL),(8,'too_many_words'),(9,'sentence'),(10,'unbalanced'),(24,NULL)) AS t(id, why)")
+@query("SELECT * FROM (VALUES (1,'year'),(7,NULL),(8,'too_many_words'),(9,'sentence'),(10,'unbalanced'),(24,NULL),(41,'sentence')) AS t(id, why)")
 def extractor_caps(spark, d):
-    return values(spark, STRINGS).where("id in (1,7,8,9,10,24)").select("id", T.cap_violation(F.col("s")).alias("why"))
+    return values(spark, STRINGS).where("id in (1,7,8,9,10,24,41)").select("id", T.cap_violation(F.col("s")).alias("why"))
 
 
 @query(f"SELECT id, trim(regexp_replace(s, '\\[\\[/?T\\d+\\]\\]', '', 'g')) = '' AS empty FROM {STRINGS}")
@@ -318,10 +341,10 @@ def address_space(spark, d):
     return values(spark, STRINGS).where("id in (29,30,31,32,33,36)").select("id", T.address_space(F.col("s")).alias("space"))
 
 
-@query("SELECT * FROM (VALUES (34,'image/png','OEBPS/img/a.PNG'),(35,'text/css','OEBPS/x.css'),(36,'application/octet-stream','OEBPS/none')) AS t(id, mime, path)")
+@query("SELECT * FROM (VALUES (34,'image/png','OEBPS/img/a.PNG'),(35,'application/octet-stream','OEBPS/x.css'),(36,'application/octet-stream','OEBPS/none'),(48,'image/avif','OEBPS/b.avif')) AS t(id, mime, path)")
 def mime_and_path(spark, d):
     base = F.lit("OEBPS/text/../ch1.xhtml")
-    return values(spark, STRINGS).where("id in (34,35,36)").select("id", T.mime(F.col("s")).alias("mime"), T.resolve_path(base, F.concat(F.lit("./"), "s")).alias("path"))
+    return values(spark, STRINGS).where("id in (34,35,36,48)").select("id", T.mime(F.col("s")).alias("mime"), T.resolve_path(base, F.concat(F.lit("./"), "s")).alias("path"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(t) > 60 THEN left(t, 59) || '…' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)""")
@@ -425,9 +448,15 @@ def _json(c: str) -> str:
     return f"""CASE WHEN {c} IS NULL THEN 'null' ELSE '"' || replace(replace({c}, '\\', '\\\\'), '"', '\\"') || '"' END"""
 
 
-@query("SELECT project_id, left(sha256('[' || string_agg('{' || " + " || ', ' || ".join(f"""'"{n}": ' || {_json(n)}""" for n in ("gender", "notes", "source_term", "status", "target_term", "type")) + f" || '}}', ', ' ORDER BY coalesce(source_term, ''), target_term, id) || ']'), 32) AS glossary_hash FROM {duck(GLOSSARY)} GROUP BY project_id")
+def _json_list(side: str) -> str:
+    return f"""'[' || coalesce((SELECT string_agg({_json('a.text')}, ', ' ORDER BY a.text) FROM {ALIASES} WHERE a.entry_id = g.id AND a.side = '{side}'), '') || ']'"""
+
+
+@query("SELECT project_id, left(sha256('[' || string_agg(item, ', ' ORDER BY coalesce(source_term, ''), target_term, id) || ']'), 32) AS glossary_hash FROM (SELECT *, '{' || " + " || ', ' || ".join(
+    f"""'"{n}": ' || {v}""" for n, v in (("gender", _json("gender")), ("notes", _json("notes")), ("source_aliases", _json_list("source")), ("source_known", "CAST(source_known AS VARCHAR)"), ("source_term", _json("source_term")),
+    ("status", _json("status")), ("target_aliases", _json_list("target")), ("target_term", _json("target_term")), ("type", _json("type")))) + f" || '}}' AS item FROM {duck(GLOSSARY)}) GROUP BY project_id")
 def glossary_hash(spark, d):
-    return glossary.glossary_hash(values(spark, GLOSSARY).orderBy(F.desc("id")))
+    return glossary.glossary_hash(glossary.with_aliases(values(spark, GLOSSARY), values(spark, ALIASES)).orderBy(F.desc("id")))
 
 
 @query(f"""SELECT p.p_partkey, CASE WHEN g.source_term IS NULL THEN 'created' ELSE 'skipped' END AS outcome FROM part p LEFT JOIN

@@ -18,8 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 # Block elements, void elements, and subtrees without text to translate.
-BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote div section article header footer aside pre".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr image".split())
+BLOCKS = frozenset(
+    ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "figcaption", "blockquote", "dt", "dd", "caption", "div", "section", "article", "aside", "header", "footer", "main"]
+)
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 SKIP = frozenset("script style code pre head template".split())
 TOKEN = re.compile(r"\[\[(/?)T(\d+)\]\]")
 INVISIBLE = re.compile("[​‌‍⁠﻿]")

@@ -65,7 +65,7 @@ def test_rename_is_literal(spark):
 
 
 def test_dialogue_and_space(spark):
-    rows = [('"Yes," he said', True), ("“Yes”", True), ("「はい」", True), ("— Come", True), ("«Oui»", True), ("plain prose", False), ("mid—word", False), (None, False), ("", False)]
+    rows = [('"Yes," he said', True), ("“Yes”", True), ("「はい」", True), ("— Come", True), ("«Oui»", True), ("plain prose", False), ("mid—word", False), (None, False), ("", False), ("‘Come in,’ he said", True), ("‚Ja‘", True), ("—", False), ("3〝x", False)]
     df = spark.createDataFrame(rows, "t string, want boolean")
     assert df.where(T.dialogue(F.col("t")) != F.col("want")).count() == 0
     sp = spark.createDataFrame([("  a\n", "b"), ("a ", " b"), ("a", "b")], "s string, t string").select(T.outer_space(F.col("s"), F.col("t")).alias("x"))
