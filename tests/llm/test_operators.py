@@ -224,10 +224,35 @@ def test_quality(spark, docs, odd, empty):
     odds = quality.score(odd, model).collect()
     assert len(odds) == len(ROWS) and all(0 <= r["score"] <= 1 for r in odds)
     assert quality.score(empty, model).count() == 0
+    both = labels.unionByName(labels.where("doc_id % 3 = 0").withColumn("quality", 1 - F.col("quality")))
+    one = quality.fit(docs, labels.where("doc_id % 3 <> 0"), "doc_id", "text", "quality")
+    two = quality.fit(docs, both.repartition(3), "doc_id", "text", "quality")
+    assert (one[0] == two[0]).all() and one[1] == two[1]
     none = quality.fit(docs, labels.where("false"), "doc_id", "text", "quality")
     assert {r["score"] for r in quality.score(odd, none).collect()} == {0.5}
 
 
+def test_quality_features_match_the_definition():
+    """Buckets of words, word pairs and n-grams, hashed one by one."""
+    text = "Ab cé cé  dog"
+    m, mod = quality.MULT, 1 << 64
+    poly = lambda b: sum(x * pow(m, k, mod) for k, x in enumerate(b)) % mod
+    number = lambda h, salt: int(quality.bucket(np.array([h], np.uint64), salt)[0])
+    words = text.encode().split()
+    want = collections.Counter(number(poly(w), 1) for w in words)
+    want.update(number((poly(a) * m + poly(b)) % mod, 2) for a, b in zip(words, words[1:]))
+    padded = " " + text + " "
+    for n in quality.GRAMS:
+        for k in range(len(padded) - n + 1):
+            gram = padded[k : k + n]
+            if " " not in gram[1:-1]:
+                want[number(poly(gram.encode()), n)] += 1
+    (b, w), = quality.bags([text.encode()])
+    got = dict(zip(b.tolist(), w.tolist(), strict=True))
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(c / sum(want.values()), rel=1e-5) for k, c in want.items())
+
+
 def test_quality_features_match_plain_averages():
     parts = [b"a bb ccc", b"", b"x x", "ü".encode() * 3]
     table = np.random.default_rng(1).normal(size=1 << quality.BITS)
@@ -256,6 +281,7 @@ def test_vectors(spark):
     rows = [(k, (base[k % 60] + 0.12 * rng.normal(size=16) * (k >= 60)).tolist()) for k in range(260)]
     rows += [(1000 + k, base[0].tolist()) for k in range(700)]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] + [1.0] * 15), (2004, [None] + [1.0] * 15), (2005, [float("inf")] + [1.0] * 15), (2006, [1.0, 2.0]), (2007, [2.0, 4.0])]
+    rows += [(None, base[1].tolist()), (None, [0.0] * 15 + [3.0]), (None, [0.0] * 15 + [3.0]), (None, None)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rep", F.lit(1))
     ok = [k for k, (_, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links, n = [], collections.Counter()
@@ -268,8 +294,9 @@ def test_vectors(spark):
             n[idx[a]] += 1
             n[idx[b]] += 1
     comp = components(len(rows), links)
-    want = {(rows[k][0], n[k], rows[comp[k]][0], comp[k] == k) for k in range(len(rows))}
-    assert {tuple(r) for r in vectors.near_duplicates(df).collect()} == want
+    low = [min((rows[j][0] for j in range(len(rows)) if comp[j] == comp[k] and rows[j][0] is not None), default=None) for k in range(len(rows))]
+    want = collections.Counter((rows[k][0], n[k], low[k], rows[k][0] == low[k]) for k in range(len(rows)))
+    assert collections.Counter(tuple(r) for r in vectors.near_duplicates(df).collect()) == want
     assert vectors.near_duplicates(df.where("false")).count() == 0
 
 
@@ -345,10 +372,35 @@ def test_suffix_family_over_many_batches():
                 want.add((d, k))
             seen.add(b[k : k + 100])
     assert got == want
-    sizes = [len(v.key) for v in family.levels]
+    assert all((v.text[1:] > v.text[:-1]).all() for v in family.levels)
+    sizes = [len(v.text) for v in family.levels]
     assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
 
 
+def test_suffix_over_several_batches(spark, docs, monkeypatch):
+    """Small batches and few buckets: every bucket grows several levels, and they merge."""
+    seen = []
+
+    class Seen(suffix.Family):
+        def add(self, *a):
+            super().add(*a)
+            seen.append(len(self.levels))
+
+    monkeypatch.setattr(suffix, "BATCH", 3_000)
+    monkeypatch.setattr(suffix, "SLICE", 20_000)
+    some = docs.where("length(text) < 4000").coalesce(3)
+    rows = sorted(texts(some))
+    want = [(r[0], *x) for r, x in zip(rows, plain_removal(rows), strict=True)]
+    assert collections.Counter(tuple(r) for r in suffix.remove_repeats(some).collect()) == collections.Counter(want)
+    # the same batches by hand, to see that levels do pile up and merge
+    family = Seen(100)
+    for k, (d, t) in enumerate(rows):
+        b = np.frombuffer((t or "").encode(), np.uint8)
+        if len(b) >= 100:
+            family.add(b, np.array([len(b)]), np.array([d]), np.array([k]), np.array([0]))
+    assert max(seen) >= 3 and len(seen) > 3 * max(seen)
+
+
 def test_suffix_hot_anchor(spark, monkeypatch):
     monkeypatch.setattr(suffix, "HOT_SLICES", 3)
     passage = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(400))
@@ -457,6 +509,19 @@ def test_langid(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def test_langid_learns_from_long_texts(spark):
+    """A language whose documents are all longer than a dictionary is still learnt."""
+    rng = np.random.default_rng(1)
+    kinds = {"aa": "kalo mire tuna sebo rani".split(), "bb": "øxty grønf jælp vømt".split()}
+    text = lambda lang, n: " ".join(kinds[lang][i] + kinds[lang][j] for i, j in zip(rng.integers(0, 4, n), rng.integers(0, 4, n)))
+    rows = [(k, text("aa", 20_000), "aa") for k in range(3)] + [(10 + k, text("bb", 60), "bb") for k in range(20)]
+    train = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = langid.dictionaries(train, "doc_id", "text", "lang")
+    assert set(found) == {"aa", "bb"} and 30_000 < len(found["aa"]) <= langid.DICT_BYTES
+    ask = spark.createDataFrame([(1, text("aa", 40)), (2, text("bb", 40))], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(ask, train).collect()} == {1: "aa", 2: "bb"}
+
+
 # 7 lattice
 
 
@@ -474,24 +539,42 @@ def test_lattice(odd, empty, docs):
     assert lattice.score(empty).count() == 0
 
 
-def test_lattice_sums_all_segmentations():
-    path = lattice.default_vocabulary()
-    prior = lattice.vocabulary(path)[2]
-    with np.errstate(divide="ignore"):
-        lat = lattice.Lattice(path, np.log(prior))
-    table = dict(lat.logp)
-
-    def brute(s):
-        if not s:
-            return 1.0
-        out = math.exp(sum(lat.byte[b] for b in s[0].encode())) * brute(s[1:])
-        return out + sum(math.exp(table[s[:k]]) * brute(s[k:]) for k in range(1, len(s) + 1) if s[:k] in table)
+def brute_lattice(word, pieces, single):
+    """Sum over all segmentations, written out."""
+    if not word:
+        return 1.0
+    out = math.exp(sum(single[b] for b in word[0].encode())) * brute_lattice(word[1:], pieces, single)
+    return out + sum(math.exp(pieces[word[:k]]) * brute_lattice(word[k:], pieces, single) for k in range(1, len(word) + 1) if word[:k] in pieces)
+
 
+def test_lattice_sums_all_segmentations():
+    lat = lattice.Lattice(lattice.default_vocabulary())
+    pieces, single = lattice.vocabulary(lattice.default_vocabulary())
+    assert sum(map(math.exp, [*pieces.values(), *single.values()])) + lattice.END_SHARE == pytest.approx(1)
     for w in ("the", "houses", "ñandú", "東京", "qzx"):
-        assert lat.word(w) == pytest.approx(math.log(brute(lattice.MARK + w)), rel=1e-9)
+        assert lat.word(w) == pytest.approx(math.log(brute_lattice(lattice.MARK + w, pieces, single)), rel=1e-9)
     assert math.isfinite(lat.word("x" * 3000))
 
 
+def test_lattice_scores_whole_texts(spark):
+    """The score of a text is the interpolation of corpus counts and all its words' segmentations, and of its end."""
+    pieces, single = lattice.vocabulary(lattice.default_vocabulary())
+    rows = [(k, t) for k, t in enumerate(["the cat sat", "the the dog", None, "unseen wörd the", "Cat DOG  sat", "", "zq the"])]
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
+    rows += [(next(d for d in range(100, 200) if zlib.crc32(str(d).encode()) % 7 == 2), "the other zebra")]
+    held |= {rows[-1][0]: True}
+    words = {d: (t or "").lower().split() for d, t in rows}
+    for train in (True, False):
+        got = lattice.score(spark.createDataFrame(rows if train else rows[-1:], "doc_id bigint, text string")).collect()
+        count = collections.Counter(w for d, ws in words.items() if train and not held[d] for w in ws)
+        ends = sum(not held[d] for d, _ in rows) if train else 0
+        n, v = sum(count.values()) + ends, len(count) + (ends > 0)
+        share = lambda c, p: (c + v * p) / (n + v) if n else p
+        for r in got:
+            want = sum(math.log10(share(count[w], brute_lattice(lattice.MARK + w, pieces, single))) for w in words[r["doc_id"]])
+            assert r["score"] == pytest.approx(want + math.log10(share(ends, lattice.END_SHARE)), rel=1e-9)
+
+
 # 8 exact
 
 
