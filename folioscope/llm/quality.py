@@ -3,16 +3,18 @@
 Words and character n-grams of three to five characters (within a word and its
 blanks) hash to a table of vectors; a document is the average of its vectors
 and a softmax layer scores it (Joulin et al., "Bag of Tricks for Efficient
-Text Classification", 2016). A word that repeats the word before it adds one
-more hashed bigram. numpy stochastic gradient descent trains vectors and layer
-on at most ``TRAIN_PER_CLASS`` labelled documents a class; the choice is a
-fixed hash order, and whole texts are used.
+Text Classification", 2016). Pairs of neighbouring words hash to it as well.
+numpy stochastic gradient descent trains vectors and layer on at most
+``TRAIN_PER_CLASS`` labelled documents a class that hold ``TRAIN_FEATURES``
+distinct features between them at most; the choice is a fixed hash order, and
+whole texts are used.
 
 With a linear output, the score of a text is an average of one number a
 feature, so scoring needs one table of 2^18 numbers a task.
 
 Defined results: null text scores as empty text, from the output layer's bias
-alone; labels other than 0 and 1 are left out; with a single class or no labels
+alone; labels other than 0 and 1 are left out, and so are those of a document
+that is given both; with a single class or no labels
 the score is the share of label 1 (0.5 without labels); rows that repeat a
 document get one row each; an empty table gives an empty result.
 """
@@ -24,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import raw, slices
+from folioscope.plans.staging import stage
 
-TRAIN_PER_CLASS, BITS, DIM, EPOCHS, RATE, LEAST_STEPS = 2500, 18, 12, 4, 0.5, 6000
+TRAIN_PER_CLASS, TRAIN_FEATURES, BITS, DIM, EPOCHS, RATE, LEAST_STEPS = 2500, 20_000_000, 18, 12, 4, 0.5, 6000
 GRAMS = (3, 4, 5)
 PIECE = 1 << 19
 MULT = 0x9E3779B97F4A7C15
@@ -84,8 +87,8 @@ def features(parts: list[bytes]):
     h = (pre[last] - pre[first]) * down[first]
     own = np.searchsorted(ends, first, "left")
     yield bucket(h, 1), own
-    same = np.flatnonzero((h[1:] == h[:-1]) & (own[1:] == own[:-1])) + 1
-    yield np.full(len(same), bucket(np.zeros(1, np.uint64), 2)[0], np.int32), own[same]
+    next_ = np.flatnonzero(own[1:] == own[:-1]) + 1
+    yield bucket(h[next_ - 1] * np.uint64(MULT) + h[next_], 2), own[next_]
     start = np.flatnonzero((buf & 0xC0) != 0x80)
     sp = blank[start]
     inner = np.append(0, np.cumsum(sp))
@@ -159,9 +162,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, share: float
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int = TRAIN_PER_CLASS) -> tuple[np.ndarray, float]:
     """Train on at most ``per_class`` documents of each label; ``labels`` holds the rows that may be learnt from."""
     lab = labels.select(F.col(id_col).cast("bigint").alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    lab = lab.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("k", "y")
     n = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = [lab.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class) for y in (0, 1)]
-    some = pick[0].unionByName(pick[1]).dropDuplicates(["k"])
+    some = pick[0].unionByName(pick[1])
 
     def count(batches):
         for b in slices(batches, "t", 1_000_000):
@@ -171,7 +175,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     text = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).cast("string").alias("t"))
     rows = text.join(F.broadcast(some), "k").select("k", "y", "t").mapInArrow(count, "k bigint, y int, b binary, w binary")  # 2 * per_class ids
-    got = sorted(rows.toLocalIterator(), key=lambda r: (r["k"], r["y"], bytes(r["b"])))
+    got, room = [], TRAIN_FEATURES
+    for r in stage(rows, "quality-bags").orderBy(F.xxhash64("k"), "k", "b").toLocalIterator():
+        room -= len(r["b"]) // 4
+        if room < 0 and {x["y"] for x in got} == {0, 1}:
+            break
+        got.append(r)
     total = sum(n.values())
     share = n.get(1, 0) / total if total else 0.5
     return train([(np.frombuffer(r["b"], "<u4"), np.frombuffer(r["w"], "<f4")) for r in got], np.array([r["y"] for r in got], np.int64), share)
