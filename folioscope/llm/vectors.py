@@ -8,14 +8,16 @@ spanning forest of them. Work grows with the square of the distinct vectors.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of different lengths never link; equal
-vectors link with each other and are compared once; an empty table gives an
-empty result; rows that repeat an id count as vectors of their own.
+vectors link with each other and are compared once; rows that repeat an id or
+have none count as vectors of their own, and a group without ids has a null
+component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import runs, whole_groups
@@ -48,14 +50,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("good", good).select("vec_id", "v", "good", F.when(F.col("good"), F.xxhash64(v)).alias("h1"), F.when(F.col("good"), F.xxhash64(F.lit(1), v)).alias("h2"))
     ids = stage(rows.select("vec_id", "h1", "h2"), "vec-ids")
-    reps = rows.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    reps = rows.where("good").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
 
     def to_bytes(batches):
+        at = TaskContext.get().partitionId() << 40  # a number for each distinct vector, whatever its ids
         for pdf in batches:
             pdf["x"] = [np.asarray(a, "<f8").tobytes() for a in pdf["v"]]
-            yield pdf.drop(columns="v")
+            pdf["rep"] = at + np.arange(len(pdf))
+            at += len(pdf)
+            yield pdf[["h1", "h2", "rep", "copies", "x"]]
 
-    reps = stage(reps.where("rep is not null").mapInPandas(to_bytes, "h1 bigint, h2 bigint, rep bigint, copies bigint, x binary"), "vec-reps")
+    reps = stage(reps.mapInPandas(to_bytes, "h1 bigint, h2 bigint, rep bigint, copies bigint, x binary"), "vec-reps")
 
     sized = reps.select("rep", "copies", "x", F.length("x").alias("dim"))
     n = sized.groupBy("dim").agg(F.count(F.lit(1)).alias("size"))
@@ -89,6 +94,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     comp = stage(connected_components(found.where("rep <> to"), "rep", "to"), "vec-comp")
     known = reps.select("h1", "h2", "rep", "copies").join(n, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
-    out = ids.join(known, ["h1", "h2"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    low = ids.groupBy("h1", "h2").agg(F.min("vec_id").alias("low")).join(known, ["h1", "h2"])
+    low = stage(low, "vec-low")
+    named = low.groupBy("c").agg(F.min("low").alias("name"))
+    out = ids.join(low.join(named, "c").select("h1", "h2", "n_links", "name"), ["h1", "h2"], "left")
+    alone = F.col("n_links").isNull()
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("name")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
