@@ -5,9 +5,11 @@ smallest k-gram hash in it, so equal strings share the anchor's hash wherever
 they stand (winnowing, Schleimer et al., SIGMOD 2003). Anchors that occur once
 in the corpus cannot start a repeat; the text around all others is dealt to
 buckets by anchor hash, where an index family takes it in batches: a batch gets
-a suffix array (prefix doubling to depth ``length``), its distinct suffixes are
-merge-scanned against every existing level, what was first stays first, and
-levels of like size merge. Whole copies of a text are settled by digest before.
+a suffix array (prefix doubling to depth ``length``), which is scanned in suffix
+order against every existing level, what was first stays first, and levels of
+like size merge into one suffix array. Whole copies of a text are settled by
+digest, and equal stretches of text by their bytes, before they are indexed: so
+a group of copies costs no more than its members.
 
 Documents are held in slices, compressed, and all that concerns a slice returns
 to it by its number. An anchor that is found in very many slices is dealt by
@@ -114,21 +116,37 @@ def suffix_classes(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
 
 
 class Level:
-    """Distinct strings of one index level, sorted by hash, each with its first place."""
+    """A suffix array to the depth of ``length`` bytes: distinct strings in suffix order, each with its first place.
 
-    def __init__(self, key, doc, tie, start, text):
-        self.key, self.doc, self.tie, self.start, self.text = key, doc, tie, start, text
+    ``text`` holds the strings as fixed-width bytes, which numpy compares as
+    the suffixes themselves.
+    """
 
-    def take(self, at):
-        return Level(*(x[at] for x in (self.key, self.doc, self.tie, self.start, self.text)))
+    def __init__(self, text, doc, tie, start):
+        self.text, self.doc, self.tie, self.start = text, doc, tie, start
+
+    def take(self, at) -> Level:
+        return Level(*(x[at] for x in vars(self).values()))
+
+    def places(self, other: Level) -> np.ndarray:
+        """Where each string of ``other`` stands in this order."""
+        return np.searchsorted(self.text, other.text)
 
     def merged(self, other: Level) -> Level:
-        both = Level(*(np.concatenate(p) for p in zip(vars(self).values(), vars(other).values(), strict=True)))
-        return both.take(np.argsort(both.key, kind="stable"))
+        """Both in one suffix order; no string is in both."""
+        at = self.places(other) + np.arange(len(other.text))
+        mine = np.ones(len(self.text) + len(at), bool)
+        mine[at] = False
+        out = []
+        for a, b in zip(vars(self).values(), vars(other).values(), strict=True):
+            both = np.empty(len(mine), a.dtype)
+            both[mine], both[at] = a, b
+            out.append(both)
+        return Level(*out)
 
 
 class Family:
-    """Levels of geometrically growing size over the strings of one bucket."""
+    """Suffix arrays of geometrically growing size over the strings of one bucket."""
 
     def __init__(self, length: int):
         self.length, self.levels, self.later = length, [], []
@@ -144,14 +162,12 @@ class Family:
         owner, off, starts = owner[order], off[order], starts[order]
         self._drop(doc, tie, first, owner[~new], off[~new])  # the sort is stable: the earliest of a class leads it
         owner, off, starts = owner[new], off[new], starts[new]
-        key = spans_hash(prefix(buf), starts, self.length)
-        text = np.lib.stride_tricks.sliding_window_view(buf, self.length)[starts]
-        batch = Level(key, doc[owner], tie[owner], first[owner] + off, text)
-        batch = batch.take(np.argsort(key, kind="stable"))
+        text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, self.length)[starts]).view(f"S{self.length}").ravel()
+        batch = Level(text, doc[owner], tie[owner], first[owner] + off)
         for level in self.levels:
             batch = self._scan(batch, level)
         self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-2].key) <= 2 * len(self.levels[-1].key):
+        while len(self.levels) > 1 and len(self.levels[-2].text) <= 2 * len(self.levels[-1].text):
             last = self.levels.pop()
             self.levels[-1] = self.levels[-1].merged(last)
 
@@ -159,24 +175,19 @@ class Family:
         self.later.append((doc[owner], tie[owner], first[owner] + off))
 
     def _scan(self, batch: Level, level: Level) -> Level:
-        """Match a batch against a level; matched strings leave the batch, the later place of each pair is dropped."""
-        gone = np.zeros(len(batch.key), bool)
-        at = np.searchsorted(level.key, batch.key)
-        live = np.flatnonzero(at < len(level.key))
-        while len(live):
-            live = live[(at[live] < len(level.key))]
-            live = live[level.key[at[live]] == batch.key[live]]
-            hit = (level.text[at[live]] == batch.text[live]).all(1) if len(live) else np.empty(0, bool)
-            b, v = live[hit], at[live[hit]]
-            gone[b] = True
-            older = (batch.doc[b] < level.doc[v]) | ((batch.doc[b] == level.doc[v]) & ((batch.tie[b] < level.tie[v]) | ((batch.tie[b] == level.tie[v]) & (batch.start[b] < level.start[v]))))
-            for side, row in ((batch, b[~older]), (level, v[older])):
-                self.later.append((side.doc[row], side.tie[row], side.start[row]))
-            for name in ("doc", "tie", "start"):
-                getattr(level, name)[v[older]] = getattr(batch, name)[b[older]]
-            live = live[~hit]
-            at[live] += 1
-        return batch.take(np.flatnonzero(~gone))
+        """Scan a batch and a level in suffix order; matched strings leave the batch, the later place of each pair is dropped."""
+        at = level.places(batch)
+        here = np.flatnonzero(at < len(level.text))
+        b = here[level.text[at[here]] == batch.text[here]]
+        v = at[b]
+        older = (batch.doc[b] < level.doc[v]) | ((batch.doc[b] == level.doc[v]) & ((batch.tie[b] < level.tie[v]) | ((batch.tie[b] == level.tie[v]) & (batch.start[b] < level.start[v]))))
+        for side, row in ((batch, b[~older]), (level, v[older])):
+            self.later.append((side.doc[row], side.tie[row], side.start[row]))
+        for name in ("doc", "tie", "start"):
+            getattr(level, name)[v[older]] = getattr(batch, name)[b[older]]
+        left = np.ones(len(batch.text), bool)
+        left[b] = False
+        return batch.take(np.flatnonzero(left))
 
 
 def equal_to_earlier(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
