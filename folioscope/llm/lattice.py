@@ -1,22 +1,30 @@
 """Language-model scoring on a subword lattice.
 
-The pieces of an existing public vocabulary carry unigram probabilities. A
-text's probability is the sum over all its segmentations into pieces of the
-product of their probabilities; since no piece crosses white space, it is the
-product of its words' sums and the end's probability. The vocabulary's own
-scores rank its pieces and give the prior; the training documents' words, cut
-under those scores and counted over the whole corpus, give the probabilities. A
-forward recursion in log space sums a word's segmentations, once for each
-distinct word of the corpus.
+The pieces of an existing public vocabulary carry unigram probabilities, which
+weight all segmentations: the lattice probability L of a word is the sum over
+its segmentations into pieces of the product of the pieces' probabilities,
+found by a forward recursion in log space. No piece crosses white space, so a
+text's lattice probability is the product of its words' sums and the end's.
+
+What a score means: a unigram model's scores are log probabilities and are used
+as they are. The scores of a BPE model only rank its pieces (minus the merge
+rank), so they are read as ranks in Zipf's law: a piece of rank r weighs
+1 / (r + 10). ``END_SHARE`` of the mass is the end's.
+
+What is learnt: words of the training documents are counted over the whole
+corpus and interpolated with the lattice (Witten and Bell 1991): with N training
+tokens of V kinds, the end among them, P(w) = (c(w) + V L(w)) / (N + V). So a
+word that the corpus holds keeps its share, and all others share V / (N + V) by
+their lattice probability. Each distinct word of the corpus is summed once.
 
 Words travel as batch dictionaries: each slice of documents lists its distinct
 words once, the words meet their corpus counts and scores in a join by word,
 and the answers return to the slice, whose documents are stored as codes.
 
 Defined results: null text counts as empty, that is as the end alone; words
-hold any bytes, pieces missing from the vocabulary fall back to single bytes;
-without training documents every count is 0 and the prior alone scores; rows
-that repeat a document get one row each; an empty table gives an empty result.
+hold any bytes, characters missing from the vocabulary are spelt in bytes;
+without training documents the lattice alone scores; rows that repeat a
+document get one row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,25 +43,26 @@ from folioscope.llm.langid import crc_mod
 from folioscope.plans.staging import stage
 
 MARK = "▁"
-PRIOR_MASS = 1000.0
-SLICE = 24_000_000
+END_SHARE = 1 / 256
+SLICE, WORDS = 24_000_000, 50_000  # bytes of a slice; words of a task
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str):
-    """The processor, its pieces as text, each piece's prior by its score's rank, and byte pieces by value."""
+def vocabulary(path: str) -> tuple[dict[str, float], dict[int, float]]:
+    """Natural log probabilities of the pieces by text, and of the byte pieces by value."""
     import sentencepiece as spm
 
     sp = spm.SentencePieceProcessor(model_file=path)
-    n = sp.get_piece_size()
-    names = [sp.id_to_piece(k) for k in range(n)]
-    skip = np.array([sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k) for k in range(n)])
-    order = np.argsort([-sp.get_score(k) for k in range(n)], kind="stable")
-    prior = np.empty(n)
-    prior[order] = 1.0 / (np.arange(n) + 10.0)
-    prior[skip] = 0.0
-    bytes_at = {int(names[k][3:5], 16): k for k in range(n) if sp.is_byte(k)}
-    return sp, names, prior / prior.sum(), bytes_at
+    use = [k for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))]
+    score = np.array([sp.get_score(k) for k in use])
+    if np.all(score == np.round(score)):  # ranks
+        w = np.empty(len(use))
+        w[np.argsort(-score, kind="stable")] = 1.0 / (np.arange(len(use)) + 10.0)
+    else:
+        w = np.exp(score)
+    logp = np.log(w / w.sum() * (1 - END_SHARE)).tolist()
+    pieces = {sp.id_to_piece(k): p for k, p in zip(use, logp, strict=True) if not sp.is_byte(k)}
+    return pieces, {int(sp.id_to_piece(k)[3:5], 16): p for k, p in zip(use, logp, strict=True) if sp.is_byte(k)}
 
 
 def default_vocabulary() -> str:
@@ -65,10 +74,8 @@ def default_vocabulary() -> str:
 class Lattice:
     """Forward recursion over the pieces of one word (with its leading mark)."""
 
-    def __init__(self, path: str, logp: np.ndarray):
-        _, names, prior, bytes_at = vocabulary(path)
-        self.logp = {x: float(logp[k]) for k, x in enumerate(names) if prior[k] > 0 and k not in set(bytes_at.values())}
-        self.byte = {b: float(logp[k]) for b, k in bytes_at.items()}
+    def __init__(self, path: str):
+        self.logp, self.byte = vocabulary(path)
         self.longest = max(map(len, self.logp), default=1)
 
     def word(self, w: str) -> float:
@@ -116,50 +123,31 @@ def coded(df: DataFrame, id_col: str, text_col: str, held_mod: int, held_at: int
     return got.mapInArrow(run, "slice bigint, ids array<bigint>, held binary, ends binary, codes binary, trained bigint, words array<string>, counts array<bigint>")
 
 
-def piece_counts(words: DataFrame, path: str) -> DataFrame:
-    """Counts of the vocabulary's pieces in ``(word, c)``, words cut under the vocabulary's own scores."""
-
-    def run(batches):
-        sp, names, *_ = vocabulary(path)
-        total = np.zeros(len(names))
-        for pdf in batches:
-            for w, c in zip(sp.encode(pdf["word"].tolist(), num_threads=1), pdf["c"].to_numpy(), strict=True):
-                for p in w:
-                    total[p] += c
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"piece": at.astype(np.int32), "n": total[at]})
-
-    return words.where("c > 0").mapInPandas(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-
-
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_mod: int = 7, held_at: int = 2, vocabulary_path: str | None = None) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``; scores are log10 probabilities."""
-    path = vocabulary_path or default_vocabulary()
+    spark, path = df.sparkSession, vocabulary_path or default_vocabulary()
     kept = stage(coded(df, id_col, text_col, held_mod, held_at), "lm-slices")
     asked = kept.select("slice", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select("slice", "code", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     vocab = stage(asked.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     trained, = kept.agg(F.coalesce(F.sum("trained"), F.lit(0))).first()
     tokens, kinds = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     N, V = tokens + trained, kinds + (trained > 0)  # the end is a token too
-    prior = vocabulary(path)[2]
-    n = np.zeros(len(prior))
-    for r in piece_counts(vocab, path).collect():  # at most one row a piece of the vocabulary
-        n[r["piece"]] = r["n"]
-    n[prior == 0] = 0
-    end = max(trained, 1.0)
-    p = (n + PRIOR_MASS * prior) / (n.sum() + PRIOR_MASS + end)
-    with np.errstate(divide="ignore"):
-        logp = np.log(p)
-    end_log10 = math.log10(end / (n.sum() + PRIOR_MASS + end))
     low = math.log10(N + V + 1)
+    all_kinds = vocab.count()
 
     def forward(batches):
-        lattice = Lattice(path, logp)
+        lattice = Lattice(path)
         for pdf in batches:
-            pdf["lp"] = np.array([lattice.word(w) for w in pdf["word"]]) / math.log(10)
+            log_sum = np.array([lattice.word(w) for w in pdf["word"]])
+            with np.errstate(divide="ignore"):
+                seen = np.log(pdf["c"].to_numpy().astype(float))
+            pdf["lp"] = (np.logaddexp(seen, log_sum + math.log(V)) - math.log(N + V) if N else log_sum) / math.log(10)
             yield pdf
 
-    answers = asked.select("slice", "code", "word").join(vocab.mapInPandas(forward, "word string, c bigint, lp double"), "word").select("slice", "code", "c", "lp")
+    end_log10 = math.log10((trained + V * END_SHARE) / (N + V) if N else END_SHARE)
+    # words are dealt by number, whatever files they fall into
+    dealt = vocab.repartition(max(spark.sparkContext.defaultParallelism, all_kinds // WORDS + 1), "word")
+    answers = asked.select("slice", "code", "word").join(dealt.mapInPandas(forward, "word string, c bigint, lp double"), "word").select("slice", "code", "c", "lp")
 
     def sums(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         c, lp = np.zeros(len(right), np.int64), np.zeros(len(right))
