@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import context, dedup, glossary, ledger, matching, tables
+from folioscope.operators import batch, context, dedup, glossary, ledger, matching, reading, retrieval, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -597,3 +597,169 @@ def mock_embeddings(spark, d):
     from folioscope.sources import models
 
     return models.embed(tab(spark, d, "benchmark"), "item_id", "text")
+
+
+# reading order and bookkeeping
+
+
+RUNS = """(SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'extract' ELSE 'summary' END AS kind, CAST(o_custkey AS VARCHAR) AS chapter_id, o_orderdate AS started_at FROM orders)"""
+MENTIONS = "(SELECT l_orderkey AS segment_id, l_suppkey % 3 AS entry_id, l_linenumber % 2 AS start, CAST(l_quantity AS BIGINT) % 2 AS \"end\", l_shipdate AS created_at, l_linenumber AS id FROM lineitem)"
+
+
+def mention_rows(spark, d):
+    q = F.col("l_quantity").cast("bigint") % 2
+    return tab(spark, d, "lineitem").select(F.col("l_orderkey").alias("segment_id"), (F.col("l_suppkey") % 3).alias("entry_id"), (F.col("l_linenumber") % 2).alias("start"), q.alias("end"), F.col("l_shipdate").alias("created_at"), F.col("l_linenumber").alias("id"))
+
+
+def segment_rows(spark, d):
+    """Orders as segments of chapters that are customers; the chapters' places come from their nations, some have none."""
+    o = tab(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "pending").otherwise("translated")
+    s = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("chapter_id"), (F.col("o_orderkey") % 1000).alias("idx"), status.alias("status"))
+    c = tab(spark, d, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("spine_idx"))
+    return s, c
+
+
+PENDING = """(SELECT o_orderkey AS id, o_custkey AS chapter_id, o_orderkey % 1000 AS idx, 'pending' AS status, coalesce(c.c_nationkey, 0) AS spine_idx FROM orders o
+ LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) c ON o.o_custkey = c.c_custkey WHERE o_orderstatus = 'O')"""
+
+
+@query(f"SELECT id, chapter_id, idx, spine_idx, row_number() OVER (PARTITION BY chapter_id ORDER BY spine_idx, idx, id) AS place FROM {PENDING}")
+def pending_in_order(spark, d):
+    p = reading.pending_in_order(*segment_rows(spark, d))
+    return p.select("id", "chapter_id", "idx", "spine_idx", F.row_number().over(W.partitionBy("chapter_id").orderBy(*reading.reading_order(), "id")).cast("bigint").alias("place"))
+
+
+@query(f"SELECT id, chapter_id FROM {PENDING} WHERE chapter_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def pending_of_chapters(spark, d):
+    only = tab(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("chapter_id"))
+    return reading.pending_in_order(*segment_rows(spark, d), only).select("id", "chapter_id")
+
+
+@query(f"SELECT id, chapter_id, idx FROM {PENDING} ORDER BY spine_idx, idx, id LIMIT 30")
+def initial_segments(spark, d):
+    return reading.initial(reading.pending_in_order(*segment_rows(spark, d))).select("id", "chapter_id", "idx")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text ELSE ' ' END AS pov, CASE WHEN role = 'assistant' THEN text END AS tense, CASE WHEN role = 'system' THEN text END AS note FROM conversations)
+ SELECT conv_id, arg_min(pov, turn) FILTER (trim(pov) <> '') AS pov, arg_min(tense, turn) FILTER (trim(tense) <> '') AS tense,
+ coalesce(list(trim(note) ORDER BY turn) FILTER (trim(note) <> ''), []::VARCHAR[]) AS notes FROM r GROUP BY conv_id""")
+def first_set_fold(spark, d):
+    r = tab(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).otherwise(" ").alias("pov"), F.when(F.col("role") == "assistant", F.col("text")).alias("tense"), F.when(F.col("role") == "system", F.col("text")).alias("note"))
+    return reading.first_set(r, "conv_id", "turn", ["pov", "tense"], "note")
+
+
+@query(f"SELECT segment_id, entry_id, start, \"end\", id FROM {MENTIONS} QUALIFY row_number() OVER (PARTITION BY segment_id, entry_id, start, \"end\" ORDER BY created_at, id) = 1")
+def mention_dedupe(spark, d):
+    return reading.distinct_mentions(mention_rows(spark, d)).select("segment_id", "entry_id", "start", "end", "id")
+
+
+@query("""WITH o AS (SELECT conv_id AS id, text FROM conversations WHERE role = 'user'), n AS (SELECT conv_id AS id, CASE WHEN turn % 3 = 0 THEN text || '!' ELSE text END AS text FROM conversations WHERE turn > 0),
+ k AS (SELECT id FROM o UNION SELECT id FROM n), e AS (SELECT []::VARCHAR[] AS none)
+ SELECT k.id, coalesce((SELECT list(DISTINCT text ORDER BY text) FROM n WHERE n.id = k.id AND text NOT IN (SELECT text FROM o WHERE o.id = k.id)), none) AS added,
+ coalesce((SELECT list(DISTINCT text ORDER BY text) FROM o WHERE o.id = k.id AND text NOT IN (SELECT text FROM n WHERE n.id = k.id)), none) AS removed,
+ coalesce((SELECT list(DISTINCT text ORDER BY text) FROM o WHERE o.id = k.id AND text IN (SELECT text FROM n WHERE n.id = k.id)), none) AS kept FROM k, e""")
+def alias_changes(spark, d):
+    c = tab(spark, d, "conversations")
+    old = c.where("role = 'user'").groupBy(F.col("conv_id").alias("id")).agg(F.collect_list("text").alias("aliases"))
+    new = c.where("turn > 0").groupBy(F.col("conv_id").alias("id")).agg(F.collect_list(F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("aliases"))
+    return reading.alias_changes(old, new)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size < 20 THEN p_name ELSE upper(p_name) END AS term FROM part")
+def augmented_glossary(spark, d):
+    p = tab(spark, d, "part")
+    base = p.where("p_size < 20").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("term"))
+    fresh = p.select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("term"))
+    return reading.augmented(base, fresh.unionByName(fresh))
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY coalesce(source_term, ''), id) AS place, row_number() OVER (ORDER BY coalesce(source_term, target_term), id) AS lore_place FROM {duck(GLOSSARY)}")
+def glossary_list_order(spark, d):
+    g = values(spark, GLOSSARY)
+    place = lambda lore: F.row_number().over(W.orderBy(*reading.listed(g, lore))).cast("bigint")
+    return g.select("id", place(False).alias("place"), place(True).alias("lore_place"))
+
+
+@query(f"SELECT id, kind, chapter_id FROM {RUNS} WHERE kind = 'extract' ORDER BY started_at DESC, id LIMIT 40")
+def intake_run_list(spark, d):
+    o = tab(spark, d, "orders")
+    r = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "extract").otherwise("summary").alias("kind"), F.col("o_custkey").cast("string").alias("chapter_id"), F.col("o_orderdate").alias("started_at"))
+    return reading.intake_runs(r, "extract", limit=40).select("id", "kind", "chapter_id")
+
+
+@query("""SELECT count(*) AS runs, CAST(sum(l_linenumber) AS BIGINT) AS chunks, CAST(sum(l_linenumber // 2) AS BIGINT) AS cached_chunks, CAST(sum(l_suppkey) AS BIGINT) AS proposed, CAST(sum(l_linenumber % 2) AS BIGINT) AS failed,
+ CAST(sum(l_partkey) AS BIGINT) AS prompt_tokens, CAST(sum(l_orderkey) AS BIGINT) AS completion_tokens, round(sum(l_discount), 6) AS cost FROM lineitem""")
+def intake_totals(spark, d):
+    li = tab(spark, d, "lineitem")
+    n = F.col("l_linenumber")
+    return reading.intake_totals(li.select(n.alias("chunks"), F.expr("l_linenumber div 2").alias("cached_chunks"), F.col("l_suppkey").alias("proposed"), (n % 2).alias("failed"), F.col("l_partkey").alias("prompt_tokens"), F.col("l_orderkey").alias("completion_tokens"), F.col("l_discount").alias("cost")))
+
+
+@query("""SELECT conv_id, nullif(coalesce(string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant' AND trim(text) <> ''), ''), '') AS notes FROM conversations GROUP BY conv_id""")
+def run_record(spark, d):
+    n = tab(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", F.col("text")).alias("note"))
+    return reading.run_record(n, "conv_id", "turn", "note")
+
+
+@query("SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS event_id, s_suppkey, s_acctbal FROM supplier")
+def append_events(spark, d):
+    return reading.appended(tab(spark, d, "events"), tab(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "event_id", ["s_acctbal", "s_suppkey"])
+
+
+VECTORS = "(SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'segment' ELSE 'entry' END AS scope, l_partkey AS ref_id, CASE WHEN l_linenumber < 3 THEN 'new' ELSE 'old' END AS model FROM lineitem)"
+
+
+def vector_rows(spark, d):
+    li = tab(spark, d, "lineitem")
+    return li.select(F.when(F.col("l_suppkey") % 2 == 0, "segment").otherwise("entry").alias("scope"), F.col("l_partkey").alias("ref_id"), F.when(F.col("l_linenumber") < 3, "new").otherwise("old").alias("model"))
+
+
+@query(f"""SELECT scope, CAST(sum(n) AS BIGINT) AS "rows", count(*) AS refs, count(*) FILTER (active) AS active, count(*) FILTER (NOT active) AS stale FROM
+ (SELECT scope, ref_id, count(*) AS n, bool_or(model = 'new') AS active FROM {VECTORS} GROUP BY scope, ref_id) GROUP BY scope""")
+def embedding_inventory(spark, d):
+    return retrieval.inventory(vector_rows(spark, d), F.lit("new"))
+
+
+@query(f"SELECT scope, ref_id, count(*) AS n FROM {VECTORS} v WHERE model = 'old' AND EXISTS (SELECT 1 FROM {VECTORS} w WHERE w.model = 'new' AND w.scope = v.scope AND w.ref_id = v.ref_id) GROUP BY scope, ref_id")
+def purge_stale_vectors(spark, d):
+    return reading.stale_vectors(vector_rows(spark, d), "new").groupBy("scope", "ref_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT DISTINCT scope, ref_id FROM {VECTORS} v WHERE NOT EXISTS (SELECT 1 FROM {VECTORS} w WHERE w.model = 'new' AND w.scope = v.scope AND w.ref_id = v.ref_id)")
+def references_to_embed(spark, d):
+    v = vector_rows(spark, d)
+    return reading.to_embed(v.select("scope", "ref_id").distinct(), v, "new")
+
+
+@query("""WITH o AS (SELECT 'doc' AS scope, CAST(s_suppkey AS VARCHAR) AS ref_id, 'm' AS model, 'old-' || s_suppkey AS id, s_acctbal AS created_at, s_nationkey AS dim FROM supplier WHERE s_suppkey % 3 > 0),
+ n AS (SELECT 'doc' AS scope, CAST(s_suppkey AS VARCHAR) AS ref_id, 'm' AS model, 'new-' || s_suppkey AS id, s_acctbal + 1 AS created_at, s_nationkey + 100 AS dim FROM supplier WHERE s_suppkey % 3 < 2)
+ SELECT scope, ref_id, model, coalesce(o.id, n.id) AS id, coalesce(o.created_at, n.created_at) AS created_at, coalesce(n.dim, o.dim) AS dim FROM o FULL JOIN n USING (scope, ref_id, model)""")
+def embedding_upsert(spark, d):
+    s = tab(spark, d, "supplier")
+    rows = lambda name, bal, dim: s.select("s_suppkey", F.lit("doc").alias("scope"), F.col("s_suppkey").cast("string").alias("ref_id"), F.lit("m").alias("model"), F.concat(F.lit(name + "-"), F.col("s_suppkey").cast("string")).alias("id"), bal.alias("created_at"), dim.alias("dim"))
+    old = rows("old", F.col("s_acctbal"), F.col("s_nationkey")).where("s_suppkey % 3 > 0").drop("s_suppkey")
+    new = rows("new", F.col("s_acctbal") + 1, F.col("s_nationkey") + 100).where("s_suppkey % 3 < 2").drop("s_suppkey")
+    return tables.embedding_upsert(old, new)
+
+
+# the batch chain
+
+
+@query(f"""SELECT s.doc_id, g.id AS entry_id, CASE WHEN g.status = 'locked' AND g.source_known THEN 'error' ELSE 'warning' END AS severity
+ FROM {SEGMENTS} s, {duck(GLOSSARY)} WHERE g.status <> 'proposed' AND g.source_term IS NOT NULL AND {_hits('g.source_term', 's.source_text')} > 0 AND {_hits('g.target_term', 's.target_text')} = 0
+ UNION ALL SELECT doc_id, NULL, 'warning' FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM (SELECT doc_id, list_transform(regexp_extract_all(target_text, '\\p{{L}}+(?:''\\p{{L}}+)?'), lambda x: lower(x)) AS ws FROM {SEGMENTS}))
+ WHERE ws[i] = ws[i + 1] AND ws[i] IN ('der','die','das','den','dem','des','ein','eine','einen','einem','einer','eines','in','an','auf','zu','von','mit','bei','im','am','zum','zur','vom','beim')""")
+def all_violations(spark, d):
+    s = segments(spark, d)
+    g = values(spark, GLOSSARY).withColumn("target_aliases", F.array().cast("array<string>"))
+    return matching.violations(s, g).unionByName(batch.doubled(s, "de", "doc_id"))
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, value, row_number() OVER w AS n, sum(value) OVER w AS spent FROM events WINDOW w AS (ORDER BY user_id, event_id ROWS UNBOUNDED PRECEDING)),
+ f AS (SELECT n, lag(n, 4) OVER (ORDER BY n) AS z FROM o WHERE event_type = 'error'),
+ e AS (SELECT least(coalesce((SELECT min(n) FROM f WHERE n - z < 8), 1e12), coalesce((SELECT min(n) FROM o WHERE spent > 20000), 1e12)) AS last)
+ SELECT user_id, event_id FROM o, e WHERE n <= last""")
+def batch_ends(spark, d):
+    e = tab(spark, d, "events").select("user_id", "event_id", "value", "event_type")
+    return batch.until(e, "user_id", "event_id", "value", F.col("event_type") == "error", 20000.0, 8, 5).select("user_id", "event_id")

@@ -23,9 +23,14 @@ def kind_totals(log: DataFrame) -> DataFrame:
     return log.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
-def once(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Each key once while the query runs, as for requests in flight."""
-    return log.dropDuplicates(keys)
+def timed(log: DataFrame, ts: str) -> DataFrame:
+    """Event time as a timestamp, which watermarks need."""
+    return log.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
+def once(log: DataFrame, keys: list[str], ts: str = "ts", within: str = "1 hour") -> DataFrame:
+    """Each key once within ``within`` of event time, as for requests in flight; older keys leave the state."""
+    return timed(log, ts).withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
 
 
 def breaker(log: DataFrame, group: str, seq: str, failed: Column, window: int = 100, least: int = 10) -> DataFrame:
@@ -49,7 +54,7 @@ def breaker(log: DataFrame, group: str, seq: str, failed: Column, window: int =
 
 def windowed(log: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Extension: totals by event-time window, late rows dropped past the watermark."""
-    return log.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return timed(log, "ts").withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:

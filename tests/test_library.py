@@ -131,6 +131,14 @@ def test_batch_run(spark):
     two = {r["id"]: r for r in batch.run(seg, ent, calls, "0" * 32, price=1.0).collect()}
     assert two[3]["cache_hit"] == 1 and two[3]["cost"] == 0
     assert batch.run(seg, ent, none, "0" * 32, price=1.0, budget=1.0).count() == 1
+    many = spark.createDataFrame([(k, "ab"[k // 10], k % 10, f"the the king {k}") for k in range(20)], seg.schema)
+    got = {r["id"]: r["status"] for r in batch.run(many, ent.limit(0), none, "0" * 32, fails=F.col("id").isin(2, 7, 8, 9, 11, 15), window=4, trip=3).collect()}
+    # three failures within four rows end the run at 9, for good; repeated particles flag the rest
+    assert got == {k: "failed" if k in (2, 7, 8, 9) else "flagged" for k in range(10)}
+    assert {r["status"] for r in batch.run(many, ent.limit(0), none, "0" * 32, target_lang="pt").collect()} == {"translated"}
+    # the budget counts over the whole run, not by chapter
+    cost = sorted(r["cost"] for r in batch.run(many, ent.limit(0), none, "0" * 32, price=1.0).collect())
+    assert batch.run(many, ent.limit(0), none, "0" * 32, price=1.0, budget=sum(cost[:12]) - 0.5).count() == 12
 
 
 def test_negative_tokens_fail(spark):

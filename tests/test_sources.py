@@ -121,7 +121,7 @@ def test_streams_match_batch(spark, tmp_path):
     log = spark.read.parquet(f"{SF}/events.parquet")
     log.repartition(4).write.parquet(str(tmp_path / "log"))
     s = live.events(spark, str(tmp_path / "log"), log.schema)
-    for name, df, mode in (("t_totals", live.kind_totals(s), "complete"), ("t_break", live.breaker(s.withColumn("g", F.col("user_id") % 2), "g", "event_id", F.col("event_type") == "error"), "update"), ("t_once", live.once(s.select("user_id"), ["user_id"]), "append")):
+    for name, df, mode in (("t_totals", live.kind_totals(s), "complete"), ("t_break", live.breaker(s.withColumn("g", F.col("user_id") % 2), "g", "event_id", F.col("event_type") == "error"), "update"), ("t_once", live.once(s.select("user_id", "ts"), ["user_id"], within="60 days"), "append")):
         q = live.to_memory(df, name, mode, str(tmp_path / name))
         q.processAllAvailable()
         q.stop()
