@@ -185,7 +185,7 @@ def test_similar_groups_check_what_thinning_left_out(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
     comp = components(13, jaccard_links(texts_))
     right = simhash.nearest_forest
-    monkeypatch.setattr(simhash, "nearest_forest", lambda a, b, d, n: right(a, b, -d, 1))
+    monkeypatch.setattr(simhash, "nearest_forest", lambda a, b, d: right(a, b, -d))
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, near=24, wide=80).collect()}
     assert got == {k: comp[k] for k in range(13)}
 
