@@ -167,14 +167,14 @@ def tree_join(bucket: np.ndarray, code: np.ndarray, fixed: int, distance: int):
             todo.append((level + 1, x, y, got))
 
 
-def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, forests: int = 1) -> np.ndarray:
-    """Indexes of a minimum spanning forest of the links, closest first, then of one among the rest, and so on."""
+def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Indexes of a minimum spanning forest of the links, closest first."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     order = np.argsort(d, kind="stable")
     u, v = at[: len(a)][order], at[len(a) :][order]
-    ups = [list(range(len(nodes))) for _ in range(forests)]
+    up = list(range(len(nodes)))
 
-    def root(up, x):
+    def root(x):
         while (y := up[x]) != x:
             up[x] = up[y]
             x = y
@@ -182,18 +182,16 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, forests: int = 1
 
     keep, done, size = [], 0, 10_000
     while done < len(order):
-        # what the last forest joins, all forests join: most links of a large group end here
-        lab = np.array(ups[-1])
+        # most links of a large group end within what is joined already
+        lab = np.array(up)
         while not np.array_equal(nxt := lab[lab], lab):
             lab = nxt
         some = np.flatnonzero(lab[u[done : done + size]] != lab[v[done : done + size]]) + done
         for k, p, q in zip(some.tolist(), u[some].tolist(), v[some].tolist(), strict=True):
-            for up in ups:
-                x, y = root(up, p), root(up, q)
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                    keep.append(k)
-                    break
+            x, y = root(p), root(q)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                keep.append(k)
         done, size = done + size, 2 * size
     return order[np.array(keep, np.int64)]
 
@@ -305,10 +303,11 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the group (null if it has none) and one row of the group, one with that id,
     is ``kept``. Each document has COUNT fingerprints. Texts at a similarity of
     0.8 differ in one bit of seven, and mostly in bits that few votes decided:
-    each block of bits names a bucket, and so does the block with every choice of its least
-    certain bits turned. Buckets hold another of the fingerprints; inside, the Gray-order
-    tree finds those within ``near`` bits, and candidates are within ``wide``
-    bits over all. Links are thinned to spanning forests and verified on the
+    so each block of bits names a bucket, and so does the block with every
+    choice of its least certain bits turned. Buckets hold another of the
+    fingerprints; inside, the Gray-order tree finds those within ``near`` bits,
+    and candidates are within ``wide`` bits over all. Links are thinned to
+    spanning forests and each document's closest one is verified on the
     shingles; where documents that candidates join are still in several groups,
     all candidates between those groups are verified too.
     """
@@ -379,14 +378,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     yield pd.DataFrame(thinned(held_).T, columns=["of", "a", "b"])
 
     def thinned(held_) -> np.ndarray:
-        """Two spanning forests of the closest links, for each fingerprint."""
+        """A spanning forest of the closest links, for each fingerprint."""
         t = np.concatenate(held_, axis=1)
         out = []
         for k in range(COUNT):
             some = t[:, t[0] == k]
             some[1:] = np.sort(some[1:], axis=0)
             some = np.unique(some, axis=1)
-            out.append(some[:, nearest_forest(some[1], some[2], np.bitwise_count(some[1] ^ some[2]).astype(np.int64), 2)] if some.shape[1] else some)
+            out.append(some[:, nearest_forest(some[1], some[2], np.bitwise_count(some[1] ^ some[2]).astype(np.int64))] if some.shape[1] else some)
         return np.concatenate(out, axis=1)
 
     dealt = fps.select(*names, "m").mapInPandas(deal, "bucket int, k binary, f binary")
