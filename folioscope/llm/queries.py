@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import exact, langid, lattice, mixing, packing, passages, quality, simhash, suffix, vectors
+from folioscope.llm import alignment, bpe, exact, langid, lattice, mixing, packing, passages, periodic, quality, simhash, suffix, vectors
 from folioscope.llm.common import LOWER, UPPER, table
 
 
@@ -54,7 +54,27 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"), words=50, similar=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_embeddings, op4_suffix, op5_mixing, op6_langid, op7_lattice, op8_exact, op9_packing, op10_passages)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(periodic.with_planted_periods(table(spark, sf_dir, "documents")), least=6, times=4)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    out = out.withColumn("top", periodic.strongest(F.col("runs")))
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", line)).cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_embeddings, op4_suffix, op5_mixing, op6_langid, op7_lattice, op8_exact, op9_packing, op10_passages, op11_bpe, op12_alignment, op13_periodic)}
 
 ORACLE_SQL = {
     "op3_embeddings": """
