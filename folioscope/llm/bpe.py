@@ -31,9 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import raw, slices
-from folioscope.plans.staging import stage
 
-SLICE, KNOWN = 24_000_000, 500_000
+SLICE, KNOWN = 10_000_000, 500_000
 PACKET = "slice bigint, bucket int, ids array<bigint>, ends binary, codes binary, buckets binary, words binary"
 
 
@@ -70,7 +69,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def packets(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """For each slice its documents as word numbers (bucket -1), and a list of distinct words for each bucket."""
+    """For each slice its documents as word numbers, and a list of distinct words for each bucket; all dealt to ``buckets``."""
 
     def run(batches):
         import zstandard
@@ -81,20 +80,20 @@ def packets(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFram
             codes, ends, at = [], [], 0
             for text in raw(b.column(1)):
                 w = text.split()
-                codes.append(np.fromiter((index.setdefault(x, len(index)) for x in w), np.int64, len(w)))
+                codes.append(np.fromiter((index.setdefault(x, len(index)) for x in w), np.int32, len(w)))
                 at += len(w)
                 ends.append(at)
-            words = list(index)
+            words, no = list(index), (part << 32) + k
             of = np.fromiter((zlib.crc32(x) % buckets for x in words), np.int64, len(words))
             order = np.argsort(of, kind="stable")
             used, first = np.unique(of[order], return_index=True)
-            lists = [zstandard.compress(b"\n".join(words[i] for i in part_), 3) for part_ in np.split(order, first[1:])] if len(words) else []
+            lists = [zstandard.compress(b"\n".join([words[i] for i in part_.tolist()]), 3) for part_ in np.split(order, first[1:])] if len(words) else []
             n = len(lists)
             ids = pa.array([b.column(0).to_pylist(), *[None] * n], pa.list_(pa.int64()))
             binary = lambda head, rest: pa.array([head, *rest], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(part << 32) + k] * (n + 1), pa.int64()), pa.array([-1, *used.tolist()], pa.int32()), ids, binary(packed(np.array(ends)), [None] * n),
+                    pa.array([no] * (n + 1), pa.int64()), pa.array([zlib.crc32(b"%d" % no) % buckets, *used.tolist()], pa.int32()), ids, binary(packed(np.array(ends)), [None] * n),
                     binary(packed(np.concatenate(codes)), [None] * n), binary(packed(of), [None] * n), binary(None, lists),
                 ],
                 ["slice", "bucket", "ids", "ends", "codes", "buckets", "words"],
@@ -106,18 +105,18 @@ def packets(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFram
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
     """``(doc_id, ids array<int>)``, one row for every input row. The tokenizer must drop white space between words."""
-    spark, path = df.sparkSession, tokenizer_path or default_tokenizer()
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = stage(packets(df, id_col, text_col, buckets), "bpe-packets")
+    path = tokenizer_path or default_tokenizer()
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def each_word_once(batches):
+        """Word lists become ids and how many each word has; documents pass."""
         import zstandard
 
         tok, known = tokenizer(path), {}
         for b in batches:
             ids, sizes = [], []
-            for data in b.column(2).to_pylist():
-                words = zstandard.decompress(data).split(b"\n")
+            for data in b.column("words").to_pylist():
+                words = zstandard.decompress(data).split(b"\n") if data is not None else []
                 if len(known) > KNOWN:
                     known = {}
                 new = [w for w in words if w not in known]
@@ -126,19 +125,18 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 got = [known[w] for w in words]
                 sizes.append(packed(np.fromiter(map(len, got), np.int64, len(got)) // 4))
                 ids.append(packed(np.frombuffer(b"".join(got), "<u4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["slice", "bucket", "sizes", "got"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], [*b.schema.names[:-1], "sizes", "got"])
 
-    lists = kept.where("bucket >= 0").select("slice", "bucket", "words").repartition(buckets, "bucket")
-    answers = lists.mapInArrow(each_word_once, "slice bigint, bucket int, sizes binary, got binary")
+    met = packets(df, id_col, text_col, buckets).repartition(buckets, "bucket").mapInArrow(each_word_once, PACKET.replace("words binary", "sizes binary, got binary"))
 
-    def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("bucket")
+    def put_back(rows: pa.Table) -> pa.Table:
+        heads = rows["codes"].is_valid()
+        row, lists = rows.filter(heads).to_pylist()[0], rows.filter(pa.compute.invert(heads)).sort_by("bucket")
         empty = np.empty(0, np.int64)
-        sizes = np.concatenate([empty, *map(unpacked, right["sizes"].to_pylist())])
-        got = np.concatenate([empty, *map(unpacked, right["got"].to_pylist())])
-        row = left.to_pylist()[0]
+        sizes = np.concatenate([empty, *map(unpacked, lists["sizes"].to_pylist())])
+        got = np.concatenate([empty, *map(unpacked, lists["got"].to_pylist())])
         code, stop = unpacked(row["codes"]), unpacked(row["ends"])
-        order = np.argsort(unpacked(row["buckets"]), kind="stable")  # position in the packets -> word number
+        order = np.argsort(unpacked(row["buckets"]), kind="stable")  # position in the lists -> word number
         size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         size[order], start[order] = sizes, np.cumsum(sizes) - sizes
         n = size[code]
@@ -147,8 +145,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends[stop]), pa.int32()), pa.array(flat, pa.int32()))
         return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "ids": lists})
 
-    docs = kept.where("bucket < 0").select("slice", "ids", "ends", "codes", "buckets")
-    return docs.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(put_back, "doc_id bigint, ids array<int>")
+    return met.groupBy("slice").applyInArrow(put_back, "doc_id bigint, ids array<int>")
 
 
 @lru_cache(maxsize=2)
