@@ -42,7 +42,7 @@ from folioscope.llm.bpe import packed, unpacked
 from folioscope.llm.common import slices
 from folioscope.plans.staging import stage
 
-SLICE, LINKS, SALTS = 12_000_000, 2_000_000, 16  # bytes of a slice; links that are expanded at once; salts of a pair's counts
+SLICE, PARTS, LINKS, SALTS = 8_000_000, 30_000, 1_000_000, 16  # bytes of a slice; parts and links that are held at once; salts of a pair's counts
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
 PLAIN = re.compile(r"[\x00-ɏ]*").fullmatch  # characters whose classes no version of Unicode in use disagrees about
 B_SHIFT = 20  # bits of a pair's B id
@@ -55,6 +55,11 @@ def default_tokenizers() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.path("piece_bpe_32k.model")
 
 
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``start[0], start[0] + 1, ... (n[0] of them), start[1], ...``"""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 @lru_cache(maxsize=2)
 def side_a(json_path: str, ranks_path: str):
     """A function from parts to ids, and each id's byte length."""
@@ -73,8 +78,19 @@ def side_a(json_path: str, ranks_path: str):
     size = np.zeros(max(ranks.values()) + 1, np.int64)
     size[list(ranks.values())] = [len(x) for x in ranks]
 
-    def encode(parts: list[str]) -> list[np.ndarray]:
-        return [quick.encode_to_numpy(p) if PLAIN(p) else np.array(exact.encode(p, add_special_tokens=False).ids, np.uint32) for p in parts]
+    def encode(parts: list[str], n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All parts' ids behind one another, and how many each has. Parts without blanks at their ends are read as one text."""
+        quickly = np.array([PLAIN(p) is not None and p == p.strip() for p in parts], bool)
+        one = quick.encode_to_numpy("".join([" " + p for p, q in zip(parts, quickly.tolist(), strict=True) if q])).astype(np.int64)
+        ends = np.searchsorted(np.cumsum(size[one]), np.cumsum(n_bytes[quickly])) + 1
+        rest = [quick.encode(" " + p) if PLAIN(p) else exact.encode(" " + p, add_special_tokens=False).ids for p, q in zip(parts, quickly.tolist(), strict=True) if not q]
+        n = np.empty(len(parts), np.int64)
+        n[quickly], n[~quickly] = np.diff(ends, prepend=0), [len(x) for x in rest]
+        ids = np.concatenate([one, np.fromiter((i for x in rest for i in x), np.int64, int(n[~quickly].sum()))])
+        start = np.empty(len(parts), np.int64)
+        for some, first in ((quickly, 0), (~quickly, len(one))):
+            start[some] = first + np.cumsum(n[some]) - n[some]
+        return ids[spread(start, n)], n
 
     return encode, size
 
@@ -90,46 +106,56 @@ def side_b(model_path: str):
     return sp, spelt, all("▁" not in x.lstrip("▁") for x in names)
 
 
-def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """``start[0], start[0] + 1, ... (n[0] of them), start[1], ...``"""
-    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+@lru_cache(maxsize=1)
+def names(n: int) -> np.ndarray:
+    """Ids below ``n`` in decimals with a comma, a bar or a semicolon behind: three a number."""
+    return np.array([f"{k}{x}" for k in range(n) for x in ",|;"], object)
 
 
-def aligned_parts(parts: list[str], paths: tuple[str, str, str]) -> dict:
-    """For each part: whether both sides spell it, its token and group counts, its groups as text, and its links as pairs in one array."""
+def in_order(parts: list[str], paths: tuple[str, str, str]) -> dict:
+    """For each part: whether both sides spell it, its token and group counts, its groups as text, its number of links, and all links as pairs."""
     (encode, size_a), (sp, spelt, _) = side_a(*paths[:2]), side_b(paths[2])
-    ids_a, ids_b = encode([" " + p for p in parts]), sp.encode(parts, num_threads=1)
     whole = [(" " + p).encode() for p in parts]
-    ok = np.array([b"".join([spelt[i] for i in y]) == w and int(size_a[x].sum()) == len(w) for x, y, w in zip(ids_a, ids_b, whole, strict=True)], bool)
-    for k in np.flatnonzero(~ok).tolist():
-        ids_a[k], ids_b[k], whole[k] = ids_a[k][:0], [], b""
-    n_a, n_b = np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b])
-    a = np.concatenate([np.empty(0, np.int64), *ids_a]).astype(np.int64)
+    n_bytes = np.array([len(w) for w in whole], np.int64)
+    a, n_a = encode(parts, n_bytes)
+    ids_b = sp.encode(parts, num_threads=1)
+    n_b = np.array([len(x) for x in ids_b], np.int64)
     b = np.fromiter((i for y in ids_b for i in y), np.int64, int(n_b.sum()))
-    # all parts behind one another: a part's end is an end of both sides
     size_b = np.array([len(x) for x in spelt])
+    each = lambda x, n: np.diff(np.append(0, np.cumsum(x))[np.append(0, np.cumsum(n))])
+    ok = (each(size_a[a], n_a) == n_bytes) & (each(size_b[b], n_b) == n_bytes)
+    if not ok.all() or b"".join([spelt[i] for i in b.tolist()]) != b"".join(whole):
+        ok &= np.array([b"".join([spelt[i] for i in y]) == w for y, w in zip(ids_b, whole, strict=True)], bool)
+        a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
+        n_a, n_b, n_bytes = n_a * ok, n_b * ok, n_bytes * ok
+    # all parts behind one another: a part's end is an end of both sides
     end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
     cuts = np.intersect1d(end_a, end_b, assume_unique=True)
     group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
     a_of, b_of = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
-    last = np.searchsorted(cuts, np.cumsum([len(w) for w in whole]), side="right")
-    groups = np.diff(last, prepend=0)
-    text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    to_a, to_b = np.cumsum(a_of).tolist(), np.cumsum(b_of).tolist()
-    shown = [",".join(text_a[x:y]) + "|" + ",".join(text_b[u:v]) for x, y, u, v in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
-    ends = last.tolist()
-    shown = [";".join(shown[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+    first_b = np.cumsum(b_of) - b_of
+    groups = np.diff(np.searchsorted(cuts, np.cumsum(n_bytes), side="right"), prepend=0)
+    # a group's A tokens, a bar, its B tokens, a semicolon
+    text = np.empty(len(a) + len(b), np.int64)
+    text[np.arange(len(a)) + first_b[group_a]] = 3 * a + (np.diff(group_a, append=-1) != 0)
+    text[np.arange(len(b)) + np.cumsum(a_of)[group_b]] = 3 * b + 2 * (np.diff(group_b, append=-1) != 0)
+    shown, ends = names(max(len(size_a), len(size_b)))[text].tolist(), np.cumsum(n_a + n_b).tolist()
+    shown = ["".join(shown[x:y])[:-1] for x, y in zip([0, *ends], ends, strict=False)]
     # each A token once for each B token of its group
-    per_a, first_b = b_of[group_a], (np.cumsum(b_of) - b_of)[group_a]
-    links = np.add.reduceat(np.append(per_a, 0), np.append(0, np.cumsum(n_a)[:-1]).clip(max=len(per_a))) if len(parts) else np.empty(0, np.int64)
-    links = np.where(n_a > 0, links, 0)
+    per_a = b_of[group_a]
     pair = np.empty(int(per_a.sum()), np.int64)
-    done, cut = 0, np.append(np.searchsorted(np.cumsum(per_a), np.arange(0, int(per_a.sum()), LINKS), side="left"), len(a))
+    done, cut = 0, np.append(np.searchsorted(np.cumsum(per_a), np.arange(0, len(pair), LINKS), side="left"), len(a))
     for x, y in zip(cut, cut[1:], strict=False):
         n = per_a[x:y]
-        pair[done : done + int(n.sum())] = np.repeat(a[x:y], n) << B_SHIFT | b[spread(first_b[x:y], n)]
+        pair[done : done + int(n.sum())] = np.repeat(a[x:y], n) << B_SHIFT | b[spread(first_b[group_a[x:y]], n)]
         done += int(n.sum())
-    return {"ok": ok, "n_a": n_a, "n_b": n_b, "groups": groups, "shown": shown, "links": links, "pair": pair}
+    return {"ok": ok, "n_a": n_a, "n_b": n_b, "groups": groups, "shown": shown, "links": each(per_a, n_a), "pair": pair}
+
+
+def aligned_parts(parts: list[str], paths: tuple[str, str, str]) -> dict:
+    """``in_order`` of all parts, PARTS of them at a time."""
+    some = [in_order(parts[at : at + PARTS], paths) for at in range(0, max(1, len(parts)), PARTS)]
+    return {c: [x for g in some for x in g[c]] if c == "shown" else np.concatenate([g[c] for g in some]) for c in some[0]}
 
 
 def aligned_slices(df: DataFrame, id_col: str, text_col: str, paths: tuple[str, str, str]) -> DataFrame:
