@@ -30,9 +30,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from folioscope.llm.common import raw, slices
+from folioscope.llm.common import raw, runs, slices
 
-SLICE, KNOWN = 10_000_000, 500_000
+SLICE, KNOWN, LOT = 5_000_000, 200_000, 5_000  # bytes of a slice; encoded words that a task remembers; words that the library encodes at once
+IDS = 1_000_000  # ids that are decoded at once
 PACKET = "slice bigint, bucket int, ids array<bigint>, ends binary, codes binary, buckets binary, words binary"
 
 
@@ -68,6 +69,16 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def numbered(code: np.ndarray) -> np.ndarray:
+    """Word numbers, of which a word's first is the next free one, with all first ones as 0: they are many and otherwise the longest."""
+    new = np.diff(np.maximum.accumulate(code), prepend=-1) > 0
+    return np.where(new, 0, code + 1)
+
+
+def unnumbered(x: np.ndarray) -> np.ndarray:
+    return np.where(x == 0, np.cumsum(x == 0) - 1, x - 1)
+
+
 def packets(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """For each slice its documents as word numbers, and a list of distinct words for each bucket; all dealt to ``buckets``."""
 
@@ -94,7 +105,7 @@ def packets(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([no] * (n + 1), pa.int64()), pa.array([zlib.crc32(b"%d" % no) % buckets, *used.tolist()], pa.int32()), ids, binary(packed(np.array(ends)), [None] * n),
-                    binary(packed(np.concatenate(codes)), [None] * n), binary(packed(of), [None] * n), binary(None, lists),
+                    binary(packed(numbered(np.concatenate(codes))), [None] * n), binary(packed(of), [None] * n), binary(None, lists),
                 ],
                 ["slice", "bucket", "ids", "ends", "codes", "buckets", "words"],
             )
@@ -120,8 +131,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 if len(known) > KNOWN:
                     known = {}
                 new = [w for w in words if w not in known]
-                for w, e in zip(new, tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+                for at in range(0, len(new), LOT):
+                    some = new[at : at + LOT]
+                    for w, e in zip(some, tok.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+                        known[w] = np.array(e.ids, "<u4").tobytes()
                 got = [known[w] for w in words]
                 sizes.append(packed(np.fromiter(map(len, got), np.int64, len(got)) // 4))
                 ids.append(packed(np.frombuffer(b"".join(got), "<u4")))
@@ -135,7 +148,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         empty = np.empty(0, np.int64)
         sizes = np.concatenate([empty, *map(unpacked, lists["sizes"].to_pylist())])
         got = np.concatenate([empty, *map(unpacked, lists["got"].to_pylist())])
-        code, stop = unpacked(row["codes"]), unpacked(row["ends"])
+        code, stop = unnumbered(unpacked(row["codes"])), unpacked(row["ends"])
         order = np.argsort(unpacked(row["buckets"]), kind="stable")  # position in the lists -> word number
         size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         size[order], start[order] = sizes, np.cumsum(sizes) - sizes
@@ -168,16 +181,20 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", tokeni
 
     def join(batches):
         table = pieces(path)
-        for b in batches:
-            lists = b.column(ids_col)
-            flat, sizes = lists.flatten(), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            known = pa.compute.and_(pa.compute.greater_equal(flat, 0), pa.compute.less(flat, len(table)))
-            got = table.take(pa.compute.if_else(known, flat, None))
-            ends = np.append(0, np.cumsum(sizes))
-            if got.null_count:
-                there = got.is_valid().to_numpy(zero_copy_only=False)
-                ends, got = np.append(0, np.cumsum(there))[ends], got.drop_null()
-            texts = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), got), " ")
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.compute.if_else(lists.is_valid(), texts, None)], [*rest, out_col])
+        for whole in batches:
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(whole.column(ids_col)), 0).to_numpy(zero_copy_only=False)
+            lots = np.cumsum(sizes) // IDS  # some IDS ids at a time, or one longer list
+            cut = runs(lots).tolist()
+            for x, y in zip(cut, cut[1:], strict=False):
+                b = whole.slice(x, y - x)
+                lists = b.column(ids_col)
+                flat, ends = lists.flatten(), np.append(0, np.cumsum(sizes[x:y]))
+                known = pa.compute.and_(pa.compute.greater_equal(flat, 0), pa.compute.less(flat, len(table)))
+                got = table.take(pa.compute.if_else(known, flat, None))
+                if got.null_count:
+                    there = got.is_valid().to_numpy(zero_copy_only=False)
+                    ends, got = np.append(0, np.cumsum(there))[ends], got.drop_null()
+                texts = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), got), " ")
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.compute.if_else(lists.is_valid(), texts, None)], [*rest, out_col])
 
     return df.select(*rest).mapInArrow(join, f"{kinds}, `{out_col}` string")
