@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import raw, runs, slices
 
-SLICE, KNOWN, LOT = 5_000_000, 200_000, 5_000  # bytes of a slice; encoded words that a task remembers; words that the library encodes at once
+SLICE, KNOWN, LOT = 8_000_000, 200_000, 5_000  # bytes of a slice; encoded words that a task remembers; words that the library encodes at once
 IDS = 1_000_000  # ids that are decoded at once
 PACKET = "slice bigint, bucket int, ids array<bigint>, ends binary, codes binary, buckets binary, words binary"
 
@@ -104,7 +104,7 @@ def packets(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFram
             binary = lambda head, rest: pa.array([head, *rest], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([no] * (n + 1), pa.int64()), pa.array([zlib.crc32(b"%d" % no) % buckets, *used.tolist()], pa.int32()), ids, binary(packed(np.array(ends)), [None] * n),
+                    pa.array([no] * (n + 1), pa.int64()), pa.array([(part + k) % buckets, *used.tolist()], pa.int32()), ids, binary(packed(np.array(ends)), [None] * n),
                     binary(packed(numbered(np.concatenate(codes))), [None] * n), binary(packed(of), [None] * n), binary(None, lists),
                 ],
                 ["slice", "bucket", "ids", "ends", "codes", "buckets", "words"],
