@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscope.functions import text as T
+from folioscope.plans import greedy
 
 
 def budgeted(rows: Column, length, most_rows: int, budget: int) -> Column:
@@ -32,16 +33,8 @@ def previous(segments: DataFrame, group: str, idx: str, text: str, most: int = 3
 
 def chunks(rows: DataFrame, group: str, idx: str, text: str, budget: int) -> DataFrame:
     """Greedy packing in order: ``(group, chunk, n, tokens)``; a row that does not fit opens the next chunk."""
-    g = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), T.rough_tokens(F.col(text)).alias("t")))).alias("xs"))
-    start = F.struct(F.array().cast("array<struct<n:int,tokens:bigint>>").alias("out"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("tokens"))
-
-    def step(a, x):
-        full = (a["n"] > 0) & (a["tokens"] + x["t"] > budget)
-        out = F.when(full, F.concat(a["out"], F.array(F.struct(a["n"].alias("n"), a["tokens"].alias("tokens"))))).otherwise(a["out"])
-        return F.struct(out.alias("out"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x["t"]).otherwise(a["tokens"] + x["t"]).alias("tokens"))
-
-    done = F.aggregate("xs", start, step, lambda a: F.concat(a["out"], F.array(F.struct(a["n"].alias("n"), a["tokens"].alias("tokens")))))
-    return g.select(group, F.posexplode(done).alias("chunk", "c")).select(group, "chunk", "c.n", "c.tokens")
+    r = greedy.chunked(rows, group, idx, T.rough_tokens(F.col(text)), budget)
+    return r.groupBy(group, F.col("chunk").cast("int").alias("chunk")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("tokens").alias("tokens"))
 
 
 def spread(rows: DataFrame, group: str, idx: str, head: int = 5, middle: int = 3, tail: int = 2) -> DataFrame:

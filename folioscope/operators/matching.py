@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import ahocorasick
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame, functions as F
 
 from folioscope.functions import text as T
 
@@ -44,17 +47,96 @@ def occurrence_report(matches: DataFrame, key: str = "doc_id") -> DataFrame:
     return matches.groupBy("entry_id").agg(F.sum("n").cast("bigint").alias("mentions"), F.countDistinct(key).alias("docs"))
 
 
-def spans(text: Column, term: str) -> Column:
-    """Start and end of every match of one term, in code points."""
-    pattern = T.term_pattern(F.array(F.lit(term)))
-    between = F.split(text, pattern)
-    at = F.aggregate(
-        F.slice(between, F.lit(1), F.greatest(F.size(between) - 1, F.lit(0))),
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct((a["pos"] + F.length(x) + F.lit(len(term))).alias("pos"), F.concat(a["out"], F.array(a["pos"] + F.length(x))).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.transform(at, lambda s: F.struct(s.alias("start"), (s + F.lit(len(term))).alias("end")))
+SMALL = 50_000  # terms that are sent to every task
+
+
+def word_character(c: str, known: dict[str, bool] = {}) -> bool:  # noqa: B006  a cache
+    if c not in known:
+        known[c] = regex.fullmatch(r"[\p{L}\p{N}_]", c) is not None
+    return known[c]
+
+
+def automaton(terms: list[tuple[int, str]]):
+    """Aho and Corasick's automaton over ``(entry number, term)``; a term knows its length and all its entries."""
+    a = ahocorasick.Automaton()
+    owners: dict[str, list[int]] = {}
+    for e, t in terms:
+        owners.setdefault(t, []).append(e)
+    for t, es in owners.items():
+        a.add_word(t, (len(t), es))
+    if owners:
+        a.make_automaton()
+    return a
+
+
+def spans_in(text: str, a) -> list[tuple[int, int, int]]:
+    """``(entry number, start, end)`` of all matches: whole words, of one entry leftmost first, then longest, never over one another."""
+    hits: dict[int, list[tuple[int, int]]] = {}
+    last = len(text) - 1
+    for at, (n, owners) in a.iter(text) if len(a) else ():
+        start = at + 1 - n
+        if (start and word_character(text[start - 1])) or (at < last and word_character(text[at + 1])):
+            continue
+        for e in owners:
+            hits.setdefault(e, []).append((start, -n))
+    out = []
+    for e, found in hits.items():
+        free = 0
+        for start, n in sorted(found):
+            if start >= free:
+                free = start - n
+                out.append((e, start, free))
+    return out
+
+
+def glossary_spans(texts: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text", small: int = SMALL) -> DataFrame:
+    """``(key, entry_id, term, start, end, place)``: every mention of a whole glossary, in order of start, end and entry.
+
+    ``entries`` has ``entry_id`` and the array ``terms`` (the term and its
+    aliases). Offsets are code points. Up to ``small`` terms go to every task,
+    where one automaton scans each text once. Beyond that texts and terms meet
+    on the terms' first words, and each batch of texts builds an automaton of
+    the terms that can occur in it; terms without any word character have no
+    first word and go to every task as long as they are ``small`` in number.
+    Texts are told apart by ``key``.
+    """
+    spark = texts.sparkSession
+    e = entries.select(F.col("entry_id").cast("string").alias("entry_id"), F.explode(F.array_distinct(F.filter("terms", lambda t: t.isNotNull() & (t != "")))).alias("term"))
+    e = e.distinct().withColumn("anchor", F.regexp_extract("term", WORDS, 1))
+    few = e.limit(small + 1).count() <= small
+    fixed = [(r["entry_id"], r["term"]) for r in (e if few else e.where("anchor = ''").limit(small + 1)).select("entry_id", "term").collect()]  # checked: small at most
+    if len(fixed) > small:
+        raise ValueError(f"more than {small} terms have no word character")
+    sent = spark.sparkContext.broadcast(fixed)
+    d = texts.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    if few:
+        d = d.withColumn("_terms", F.array().cast("array<struct<entry_id:string,term:string>>"))
+    else:
+        own = e.where("anchor <> ''")
+        words = d.select(key, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(WORDS)))).alias("anchor"))
+        hits = words.join(own, "anchor").groupBy(key).agg(F.collect_list(F.struct("entry_id", "term")).alias("_terms"))
+        d = d.join(hits, key, "left")
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches):
+        always, built = sent.value, None
+        for b in batches:
+            more = {(t["entry_id"], t["term"]) for ts in b.column("_terms").to_pylist() for t in ts or ()}
+            if built is None or more != built[0]:
+                ids = sorted({i for i, _ in always} | {i for i, _ in more})
+                number = {i: k for k, i in enumerate(ids)}
+                built = more, ids, automaton([(number[i], t) for i, t in always] + [(number[i], t) for i, t in more])
+            _, ids, a = built
+            rows, at = [], []
+            for k, t in enumerate(b.column("_text").to_pylist()):
+                found = sorted((s, x, e) for e, s, x in spans_in(t, a)) if t else []
+                rows += [(ids[e], t[s:x], s, x, place) for place, (s, x, e) in enumerate(found)]
+                at += [k] * len(found)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [key, "entry_id", "term", "start", "end", "place"])
+
+    return d.mapInArrow(run, f"`{key}` {kind}, entry_id string, term string, start int, end int, place int")
 
 
 def violations(segments: DataFrame, entries: DataFrame, key: str = "doc_id") -> DataFrame:

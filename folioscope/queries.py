@@ -103,6 +103,21 @@ def rename_counts(spark, d):
     return matching.rename(segments(spark, d), "der", "$1 DAS").select("doc_id", "replacements")
 
 
+ENTRIES = "(VALUES ('e1', array('the')), ('e2', array('of', 'of the')), ('e3', array('la', 'de', 'de la')), ('e4', array('und', 'und der', 'et')), ('e5', array('the'))) AS t(entry_id, terms)"
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS ws, regexp_split_to_array(text, '[\\p{L}\\p{N}_]+') AS gaps FROM documents),
+ p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, unnest(gaps[1:len(ws)]) AS before, unnest(list_concat(ws[2:], ['' ])) AS nxt, unnest(gaps[2:len(ws) + 1]) AS gap FROM w),
+ o AS (SELECT *, CAST(sum(length(before) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) - length(word) AS pos FROM p),
+ t AS (SELECT * FROM (VALUES ('e1','the',NULL),('e2','of',NULL),('e2','of','the'),('e3','la',NULL),('e3','de',NULL),('e3','de','la'),('e4','und',NULL),('e4','und','der'),('e4','et',NULL),('e5','the',NULL)) AS t(entry_id, w1, w2)),
+ h AS (SELECT doc_id, i, entry_id, CASE WHEN w2 IS NULL THEN word ELSE word || ' ' || w2 END AS term, pos AS start, pos + length(word) + coalesce(length(w2) + 1, 0) AS "end", w2 IS NOT NULL AS two
+  FROM o JOIN t ON word = w1 AND (w2 IS NULL OR (nxt = w2 AND gap = ' ')) QUALIFY row_number() OVER (PARTITION BY doc_id, i, entry_id ORDER BY w2 IS NULL) = 1),
+ k AS (SELECT * FROM h WINDOW x AS (PARTITION BY doc_id, entry_id ORDER BY i) QUALIFY NOT coalesce(lag(two) OVER x AND lag(i) OVER x = i - 1, false))
+ SELECT doc_id, entry_id, term, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", entry_id) - 1 AS INTEGER) AS place FROM k""")
+def glossary_spans(spark, d):
+    return matching.glossary_spans(tab(spark, d, "documents"), values(spark, ENTRIES))
+
+
 # ledger and event reports
 
 
@@ -233,6 +248,32 @@ def anti_embedded(spark, d):
     return tables.delete(tab(spark, d, "documents").select("doc_id"), tab(spark, d, "embeddings"), "doc_id", "vec_id")
 
 
+@query(f"""WITH s AS (SELECT e.vec_id AS id, e.vec_id % 5 AS spine, e.vec_id // 5 AS idx, e.embedding AS v, e.vec_id % 4 <> 0 AND trim(d.text) <> '' AS ok, 2 * length(d.text) AS size FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+ j AS (SELECT a.id AS q, b.id AS r, b.size, row_number() OVER (PARTITION BY a.id ORDER BY round({COS.format(a='a.v', b='b.v')}, 12) DESC, b.id) AS place FROM s a JOIN s b
+  ON (b.spine < a.spine OR (b.spine = a.spine AND b.idx < a.idx)) AND b.ok WHERE round({COS.format(a='a.v', b='b.v')}, 12) >= 0.1 QUALIFY place <= 5),
+ k AS (SELECT *, sum(size) OVER (PARTITION BY q ORDER BY place) AS spent FROM j)
+ SELECT q AS id, list(r ORDER BY place) AS refs FROM k WHERE place = 1 OR spent <= 6000 GROUP BY q""")
+def relevant_context(spark, d):
+    e, docs = tab(spark, d, "embeddings"), tab(spark, d, "documents")
+    id_ = F.col("doc_id").alias("id")
+    s = docs.join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    s = s.select(id_, (F.col("doc_id") % 5).alias("spine"), F.expr("doc_id div 5").alias("idx"), F.when(F.col("doc_id") % 4 == 0, "pending").otherwise("translated").alias("status"), F.replace("text", F.lit("the"), F.lit("der")).alias("target_text"), F.col("text").alias("source_text"))
+    return retrieval.relevant(s, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), k=5, least=0.1, budget=6000)
+
+
+BOOKS = "(VALUES (0,3,0.1D),(1,NULL,NULL),(2,0,NULL),(3,5,0.2D),(4,-1,0.9D),(5,2,NULL)) AS b(lore_id, top_k, min_similarity)"
+
+
+@query(f"""WITH j AS (SELECT q.vec_id AS query_id, b.lore_id, e.vec_id AS id, coalesce(b.top_k, 4) AS k, coalesce(b.min_similarity, 0.15) AS least, round({COS.format(a='q.embedding', b='e.embedding')}, 12) AS sim
+ FROM embeddings q, embeddings e JOIN {BOOKS.replace('D)', '::DOUBLE)')} ON e.vec_id % 7 = b.lore_id WHERE q.vec_id % 20 = 0 AND e.vec_id % 11 <> 0)
+ SELECT query_id, lore_id, id FROM j WHERE k <= 0 OR sim >= least QUALIFY k <= 0 OR row_number() OVER (PARTITION BY query_id, lore_id ORDER BY sim DESC, id) <= k""")
+def lore_retrieval(spark, d):
+    e = tab(spark, d, "embeddings")
+    entries = e.select((F.col("vec_id") % 7).cast("int").alias("lore_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 11 == 0, "proposed").otherwise("confirmed").alias("status"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return retrieval.from_books(q, entries, values(spark, BOOKS), k=4, least=0.15)
+
+
 # duplicates
 
 
@@ -380,6 +421,14 @@ def chunk_packing(spark, d):
     return context.chunks(tab(spark, d, "documents"), "source", "doc_id", "text", 1500)
 
 
+@query("""WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, CAST(greatest(1, floor(length(text) / 4)) AS BIGINT) AS t FROM documents),
+ f AS (SELECT i, 0 AS chunk, t AS run FROM o WHERE i = 1 UNION ALL SELECT o.i, CASE WHEN f.run + o.t > 4000 THEN f.chunk + 1 ELSE f.chunk END,
+ CASE WHEN f.run + o.t > 4000 THEN o.t ELSE f.run + o.t END FROM f JOIN o ON o.i = f.i + 1)
+ SELECT 'all' AS book, chunk, CAST(count(*) AS INTEGER) AS n, max(run) AS tokens FROM f GROUP BY chunk""")
+def chunk_packing_one_group(spark, d):
+    return context.chunks(tab(spark, d, "documents").withColumn("book", F.lit("all")), "book", "doc_id", "text", 4000)
+
+
 @query("""WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents),
  q AS (SELECT *, n - 7 AS zone, greatest(1, (n - 7) // 4) AS step FROM p)
  SELECT source, doc_id, CASE WHEN p < 5 THEN 'head' WHEN p >= n - 2 THEN 'tail' ELSE 'middle' END AS part FROM q
