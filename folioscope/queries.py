@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import batch, context, dedup, glossary, ledger, matching, reading, retrieval, tables
+from folioscope.operators import batch, context, dedup, glossary, ledger, matching, proposals, reading, retrieval, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -359,6 +361,39 @@ def extractor_caps(spark, d):
     return values(spark, STRINGS).where("id in (1,7,8,9,10,24,41)").select("id", T.cap_violation(F.col("s")).alias("why"))
 
 
+YEARS = """(SELECT o_orderkey, CASE o_orderkey % 16 WHEN 0 THEN y WHEN 1 THEN 'c. ' || y WHEN 2 THEN '(' || y || ')' WHEN 3 THEN y || ' - ' || (o_custkey % 10000) WHEN 4 THEN y || ' BC.' WHEN 5 THEN y || 's' WHEN 6 THEN 'Order ' || y
+ WHEN 7 THEN y || ' d.C.' WHEN 8 THEN 'circa ' || y || 'AD' WHEN 9 THEN 'ca ' || y || ' n. Chr' WHEN 10 THEN y || ' ' || y WHEN 11 THEN o_orderpriority WHEN 12 THEN y || '-' || y || 's' WHEN 13 THEN 'AD ' || y || '!?' WHEN 14 THEN y || o_custkey ELSE y || ' to ' || y END AS term
+ FROM (SELECT *, CAST(o_orderkey % 2300 AS VARCHAR) AS y FROM orders))"""
+
+
+def year_terms(spark, d):
+    y, k = (F.col("o_orderkey") % 2300).cast("string"), F.col("o_orderkey") % 16
+    forms = ["{y}", "c. {y}", "({y})", "{y} - {c}", "{y} BC.", "{y}s", "Order {y}", "{y} d.C.", "circa {y}AD", "ca {y} n. Chr", "{y} {y}", "{p}", "{y}-{y}s", "AD {y}!?", "{y}{k}", "{y} to {y}"]
+    parts = {"{y}": y, "{c}": (F.col("o_custkey") % 10000).cast("string"), "{p}": F.col("o_orderpriority"), "{k}": F.col("o_custkey").cast("string")}
+    made = [F.concat(*(parts.get(x, F.lit(x)) for x in re.split(r"(\{.\})", f) if x)) for f in forms]
+    term = F.element_at(F.array(*made), (k + 1).cast("int"))
+    return tab(spark, d, "orders").select("o_orderkey", term.alias("term"))
+
+
+_ERA, _CIRCA = (r"(?i)\b(AD|BC|BCE|CE|a\.?\s*C\.?|d\.?\s*C\.?|n\.?\s*Chr\.?|v\.?\s*Chr\.?)\b", r"(?i)^\s*(c\.?|ca\.?|circa|cca\.?|approx\.?|aprox\.?)\s+")
+
+
+@query(rf"""SELECT o_orderkey, regexp_matches(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(term, '^[(]+|[)]+$', '', 'g')), '{_ERA}', '', 'g')), '{_CIRCA}', '')), '[.,;:!?]+$', '')), '(?i)^\d{{1,4}}(\s*[-–—]\s*\d{{1,4}})?s?$') AS plain,
+ regexp_matches(term, '(?i)^\s*(c\.?\s*)?\d{{1,4}}(s|\s*(BC|AD|CE|BCE))?\s*$') OR regexp_matches(term, '^\s*\d{{1,4}}\s*[-–]\s*\d{{1,4}}\s*$') AS proposed,
+ regexp_matches(term, '(?i)^(c\.\s*)?\d{{1,4}}(\s*(–|—|-|to)\s*\d{{1,4}})?(\s*(BC|AD|BCE|CE|s))?$') AS in_target FROM {{YEARS}}""".replace("\\\\", "\\").replace("{YEARS}", YEARS))
+def year_variants(spark, d):
+    t = F.col("term")
+    return year_terms(spark, d).select("o_orderkey", T.year_like(t).alias("plain"), T.year_proposed(t).alias("proposed"), T.year_in_target(t).alias("in_target"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN c = '' THEN 'empty' WHEN length(c) > 100 THEN 'too_long' WHEN n > 10 THEN 'too_many_words' WHEN regexp_matches(c, '[.!?]\s+\S') OR regexp_matches(c, '[!?](\s|$)') THEN 'sentence' END AS source_fault,
+ CASE WHEN c = '' THEN 'empty' WHEN length(c) > 100 THEN 'too_long' WHEN n > 10 THEN 'too_many_words' WHEN regexp_matches(c, '[.!?][\s"'')\]]*$') AND n >= 4 THEN 'sentence' END AS target_fault
+ FROM (SELECT conv_id, turn, trim(split_part(text, ',', 1)) AS c, len(regexp_split_to_array(trim(split_part(text, ',', 1)), '\s+')) AS n FROM conversations)""")
+def term_caps(spark, d):
+    c = F.split_part("text", F.lit(","), F.lit(1))
+    return tab(spark, d, "conversations").select("conv_id", "turn", T.cap_violation(c).alias("source_fault"), T.cap_violation(c, target=True).alias("target_fault"))
+
+
 @query(f"SELECT id, trim(regexp_replace(s, '\\[\\[/?T\\d+\\]\\]', '', 'g')) = '' AS empty FROM {STRINGS}")
 def trivially_empty(spark, d):
     return values(spark, STRINGS).select("id", T.trivially_empty(F.col("s")).alias("empty"))
@@ -523,6 +558,45 @@ def merge_entries(spark, d):
     return glossary.merge_entries(e, values(spark, "(VALUES ('g1','g9'),('g1','g6'),('g2','g7')) AS w(winner_id, loser_id)"))
 
 
+PROPOSED = """(SELECT p_partkey AS seq, CASE p_partkey % 4 WHEN 0 THEN w WHEN 1 THEN upper(w) WHEN 2 THEN w || ' Company' ELSE 'The ' || w END AS source, CASE WHEN p_size % 3 = 0 THEN reverse(w) WHEN p_size % 3 = 1 THEN w END AS target,
+ CASE WHEN p_size % 4 = 0 THEN 'place' ELSE 'other' END AS type FROM (SELECT *, split_part(p_name, ' ', 1) || p_partkey % 37 AS w FROM part))"""
+KNOWN = """(SELECT 'e' || p_partkey AS id, w AS source_term, CASE WHEN p_size % 2 = 0 THEN w ELSE reverse(w) END AS target_term, 'term' AS type, CASE WHEN p_size % 5 = 0 THEN 'confirmed' ELSE 'proposed' END AS status
+ FROM (SELECT *, split_part(p_name, ' ', 1) || p_partkey % 37 AS w FROM part WHERE p_partkey % 9 = 0))"""
+RESOLVED = f"""p AS (SELECT seq, regexp_replace(source, '^The ', '') AS term, CASE WHEN target <> regexp_replace(source, '^The ', '') THEN target END AS target, CASE type WHEN 'place' THEN type ELSE 'term' END AS type,
+ regexp_replace(lower(regexp_replace(source, '^The ', '')), ' company$', '') AS canon FROM {PROPOSED}), e AS (SELECT *, lower(source_term) AS canon FROM {KNOWN}),
+ x AS (SELECT source_term, min(id) AS x_id FROM e GROUP BY source_term), a AS (SELECT canon, arg_min(id, (source_term, id)) AS a_id FROM e GROUP BY canon), f AS (SELECT canon, min(seq) AS s, arg_min(term, seq) AS t FROM p GROUP BY canon),
+ r AS (SELECT p.*, coalesce(x_id, a_id, 'p' || s) AS entry_id, CASE WHEN x_id IS NOT NULL THEN 'exact' WHEN a_id IS NOT NULL THEN 'canonical' WHEN s = seq THEN 'created' WHEN t = term THEN 'exact' ELSE 'canonical' END AS how
+ FROM p LEFT JOIN x ON p.term = x.source_term LEFT JOIN a USING (canon) JOIN f USING (canon))"""
+
+
+def proposed_rows(spark, d):
+    """Parts as proposals of a translation and, every ninth of them, as the glossary they meet."""
+    w = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), (F.col("p_partkey") % 37).cast("string"))
+    p = tab(spark, d, "part").withColumn("w", w)
+    k, n = F.col("p_partkey") % 4, F.col("p_size") % 3
+    source = F.when(k == 0, F.col("w")).when(k == 1, F.upper("w")).when(k == 2, F.concat("w", F.lit(" Company"))).otherwise(F.concat(F.lit("The "), "w"))
+    raw = p.select(F.col("p_partkey").alias("seq"), F.lit("s").alias("segment_id"), source.alias("source"), F.when(n == 0, F.reverse("w")).when(n == 1, F.col("w")).alias("target"), F.when(F.col("p_size") % 4 == 0, "place").otherwise("other").alias("type"), F.lit("").alias("evidence"))
+    e = p.where("p_partkey % 9 = 0").select(
+        F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("id"), F.col("w").alias("source_term"), F.when(F.col("p_size") % 2 == 0, F.col("w")).otherwise(F.reverse("w")).alias("target_term"), F.lit("term").alias("type"),
+        F.when(F.col("p_size") % 5 == 0, "confirmed").otherwise("proposed").alias("status"), F.array().cast("array<string>").alias("source_aliases"),
+    )
+    return proposals.resolve(proposals.candidates(raw), e, "en", "en"), e
+
+
+@query(f"WITH {RESOLVED} SELECT seq, entry_id, how, term, type FROM r")
+def proposals_resolved(spark, d):
+    return proposed_rows(spark, d)[0].select("seq", "entry_id", "how", "term", "type")
+
+
+@query(f"""WITH {RESOLVED}, b AS (SELECT id, source_term, target_term, type, status FROM e UNION ALL SELECT entry_id, term, coalesce(target, term), type, 'proposed' FROM r WHERE how = 'created')
+ SELECT b.id, b.source_term, CASE WHEN b.status = 'proposed' AND b.target_term = b.source_term THEN coalesce(arg_min(r.target, r.seq) FILTER (r.target IS NOT NULL AND r.target <> b.source_term), b.target_term) ELSE b.target_term END AS target_term,
+ CASE WHEN b.status = 'proposed' AND b.type = 'term' THEN coalesce(arg_min(r.type, r.seq) FILTER (r.type <> 'term'), b.type) ELSE b.type END AS type, b.status,
+ coalesce(list(DISTINCT r.term ORDER BY r.term) FILTER (r.how = 'canonical' AND lower(r.term) <> lower(b.source_term)), []::VARCHAR[]) AS source_aliases
+ FROM b JOIN r ON r.entry_id = b.id GROUP BY b.id, b.source_term, b.target_term, b.type, b.status""")
+def proposals_applied(spark, d):
+    return proposals.applied(*proposed_rows(spark, d))
+
+
 # cache, prices
 
 

@@ -7,7 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from folioscope.operators import matching, nearest
+from folioscope.operators import matching, nearest, proposals
 from folioscope.plans import greedy
 
 
@@ -109,3 +109,60 @@ def test_top_k_by_group(spark, block):
                 near = sorted((-round(float(unit[a] @ unit[r[0]]), 12), r[0]) for r in refs if r[2] == g and r[1])
                 want += [(a, g, r) for s, r in near if -s >= least][:k]
     assert got == sorted(want)
+
+
+def one_after_another(raw, entries):
+    """The glossary after each proposal has met what the ones before it left."""
+    state = {e[0]: dict(zip(("id", "source", "target", "type", "status"), e, strict=True), aliases=[]) for e in entries}
+    canon = lambda t: regex.sub(r" (?:company|society)$", "", t.lower().strip().rstrip(".,;:!?")).rstrip(".,;:!?")
+    bare = lambda t: regex.sub(r"^(?:the|an|a) ", "", t, flags=regex.I) if t else t
+    out = []
+    for seq, source, target, kind in raw:
+        if not (source or "").strip() or regex.fullmatch(r"\d{1,4}", source.strip()):
+            continue
+        source, target = source.strip(), (target or "").strip() or None
+        target = None if target == source else target
+        source, target = bare(source), bare(target)
+        target = None if target == source else target
+        kind = kind if kind in ("place", "term", "event") else "term"
+        exact = [e for e in sorted(state.values(), key=lambda e: e["id"]) if e["source"] == source]
+        alike = [e for e in sorted(state.values(), key=lambda e: (e["source"] or "", e["id"])) if e["source"] and canon(source) and canon(e["source"]) == canon(source)]
+        how = "exact" if exact else "canonical" if alike else "created"
+        if how == "created":
+            e = state[f"p{seq}"] = {"id": f"p{seq}", "source": source, "target": target or source, "type": kind, "status": "proposed", "aliases": []}
+        else:
+            e = (exact or alike)[0]
+            if how == "canonical" and source.lower() != e["source"].lower() and source not in e["aliases"]:
+                e["aliases"].append(source)
+            if e["status"] == "proposed" and e["type"] == "term" and kind != "term":
+                e["type"] = kind
+            if e["status"] == "proposed" and target and e["target"] == e["source"]:
+                e["target"] = target
+        out.append((seq, e["id"], how))
+    touched = {x[1] for x in out}
+    return out, sorted((e["id"], e["source"], e["target"], e["type"], e["status"], tuple(sorted(e["aliases"]))) for e in state.values() if e["id"] in touched)
+
+
+def test_proposals_are_resolved_as_one_after_another(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").select("text").collect()
+    words = [w for r in docs for w in (r["text"] or "").split()][:6000]
+    rng = random.Random(9)
+    raw = []
+    for seq in range(1500):
+        w = words[rng.randrange(len(words))]
+        form = rng.choice([w, w, w.upper(), f"The {w}", f"{w} Company", f"{w}.", f" {w} Society ", "...", "1066", ""])
+        raw.append((seq, form, rng.choice([None, w, w[::-1], f"a {w[::-1]}"]), rng.choice(["place", "term", "event", "planet", None])))
+    entries, seen = [], set()
+    for k in range(150):
+        w = words[rng.randrange(len(words))]
+        if w not in seen:
+            seen.add(w)
+            entries.append((f"e{k}", w, rng.choice([w, "x"]), rng.choice(["term", "event"]), rng.choice(["proposed", "locked"])))
+    e = spark.createDataFrame(entries, "id string, source_term string, target_term string, type string, status string").withColumn("source_aliases", F.array().cast("array<string>"))
+    df = spark.createDataFrame([(s, "g", a, b, c, None) for s, a, b, c in raw], "seq int, segment_id string, source string, target string, type string, evidence string")
+    plain = [r for r in raw if all(ord(c) < 128 and c not in "()-" for c in (r[1] + (r[2] or "")))]
+    got = proposals.resolve(proposals.candidates(df.where(F.col("seq").isin([r[0] for r in plain]))), e, "en", "en")
+    want, after = one_after_another(plain, entries)
+    assert len(want) > 700 and {x[2] for x in want} == {"exact", "canonical", "created"}
+    assert sorted((r["seq"], r["entry_id"], r["how"]) for r in got.collect()) == sorted(want)
+    assert sorted((*r[:5], tuple(r[5])) for r in map(tuple, proposals.applied(got, e).collect())) == after
