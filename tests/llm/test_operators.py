@@ -834,6 +834,29 @@ def test_passages_recall_of_near_pairs(spark):
     assert len(pairs) >= 60 and len(got & set(pairs)) >= 0.95 * len(pairs)
 
 
+def test_passages_of_templates(spark):
+    """Pairs in text made of a few sentences in a few versions: signatures are frequent, and the changed word may be any."""
+    rng = np.random.default_rng(31)
+    word = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+    versions = [[word(10) for _ in range(3)] for _ in range(6)]
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, held = [], []
+    for k in range(300):
+        base = [w for v in versions for w in v[int(rng.integers(0, 3))]]
+        for n in range(2):
+            at = int(rng.integers(0, 60))
+            two = base if n == 0 else [*base[:at], *word(1), *base[at + 1 :]]
+            rows.append((2 * k + n, " ".join(word(20) + two + word(20))))
+            held.append(grams(two))
+    near = [(k, j) for k in range(600) for j in range(k) if len(held[k] & held[j]) >= 0.8 * len(held[k] | held[j])]
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    want, got = components(600, near), components(600, [(r["doc_id"], r["ref_doc_id"]) for r in found])
+    # classes count: each pair that is near by definition is in one class
+    apart = sum(got[a] != got[b] for a, b in near)
+    assert len(set(want)) < 600 and apart <= 0.02 * len(near)
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 0.95 * sum((2 * k + 1, 2 * k) in set(near) for k in range(300))
+
+
 def test_passages_meet_beyond_first_and_previous(spark, monkeypatch):
     rng = np.random.default_rng(5)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))

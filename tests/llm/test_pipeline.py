@@ -56,3 +56,15 @@ def test_whole_copies_come_near_the_words_taken(spark):
         mine = [r for r in got if r["doc_id"] % 3 == k]
         want = sum(r["taken"] for r in mine)
         assert abs(sum(r["times"] * r["size"] for r in mine) - want) < 0.02 * want
+
+
+def test_row_numbers_hold_however_files_are_split(spark, tmp_path):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 60) AS text", "'x' AS source", "id % 3 AS no", "id AS file", "1 AS at")
+    docs.repartition(7).write.parquet(f"{tmp_path}/documents")
+    seen, before = [], spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    for n in ("2", "64"):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", n)
+        rows = pipeline.numbered(spark.read.parquet(f"{tmp_path}/documents")).select("doc_id", "row", "doc.file").collect()
+        seen.append({r["doc_id"]: (r["row"], r["file"]) for r in rows})
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if before is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+    assert seen[0] == seen[1] and len({x for x, _ in seen[0].values()}) == 20_000
