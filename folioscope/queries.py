@@ -286,6 +286,20 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(t, "k", "k")
 
 
+SPELT = """(SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN left(p_name, length(p_name) - 1) WHEN 2 THEN left(p_name, 4) || chr(CAST(97 + p_partkey % 23 AS INTEGER)) || substr(p_name, 5)
+ ELSE left(p_name, 3) || chr(CAST(97 + p_partkey % 19 AS INTEGER)) || substr(p_name, 6) || chr(CAST(97 + p_partkey % 7 AS INTEGER)) END AS k FROM part)"""
+
+
+@query(f"""SELECT a.id AS a, b.id AS b FROM {SPELT} a JOIN {SPELT} b ON a.id < b.id AND left(a.k, least(3, length(a.k), length(b.k))) = left(b.k, least(3, length(a.k), length(b.k)))
+ AND abs(length(a.k) - length(b.k)) <= 2 AND levenshtein(a.k, b.k) <= 2""")
+def near_spellings(spark, d):
+    n, k = F.col("p_name"), F.col("p_partkey")
+    letter = lambda m: F.char((97 + k % m).cast("int"))
+    made = F.when(k % 4 == 0, n).when(k % 4 == 1, F.left(n, F.length(n) - 1)).when(k % 4 == 2, F.concat(F.left(n, F.lit(4)), letter(23), F.substr(n, F.lit(5))))
+    made = made.otherwise(F.concat(F.left(n, F.lit(3)), letter(19), F.substr(n, F.lit(6)), letter(7)))
+    return dedup.near_pairs(tab(spark, d, "part").select(k.alias("id"), made.alias("k")), "id", "k")
+
+
 @query("""SELECT p_name AS source_term, count(*) AS n, list(p_partkey ORDER BY p_retailprice, p_partkey) AS ids FROM part GROUP BY p_name HAVING count(*) > 1""")
 def exact_dup_groups(spark, d):
     p = tab(spark, d, "part").select(F.col("p_name").alias("source_term"), F.lit("locked").alias("status"), F.lit("x").alias("type"), F.col("p_retailprice").alias("created_at"), F.col("p_partkey").alias("id"))

@@ -7,7 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from folioscope.operators import matching, nearest, proposals
+from folioscope.operators import dedup, matching, nearest, proposals
 from folioscope.plans import greedy
 
 
@@ -166,3 +166,26 @@ def test_proposals_are_resolved_as_one_after_another(spark):
     assert len(want) > 700 and {x[2] for x in want} == {"exact", "canonical", "created"}
     assert sorted((r["seq"], r["entry_id"], r["how"]) for r in got.collect()) == sorted(want)
     assert sorted((*r[:5], tuple(r[5])) for r in map(tuple, proposals.applied(got, e).collect())) == after
+
+
+@pytest.mark.parametrize("distance,block", [(2, 3), (1, 2), (3, 1)])
+def test_near_pairs_reach_all_pairs(spark, distance, block):
+    rng = random.Random(distance)
+    keys = ["".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 8, 12]))) for _ in range(220)] + [None, "abcabc", "abcabc"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = []
+    for j, b in enumerate(keys):
+        for i, a in enumerate(keys[:j]):
+            n = min(block, len(a or ""), len(b or ""))
+            if n and a[:n] == b[:n] and edits(a, b) <= distance:
+                want.append((i, j))
+    df = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
+    assert sorted(map(tuple, dedup.near_pairs(df, "id", "k", distance, block).collect())) == sorted(want)
