@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import batch, context, dedup, glossary, ledger, matching, proposals, reading, retrieval, tables
+from folioscope.operators import batch, context, dedup, glossary, harvest, ledger, matching, proposals, reading, retrieval, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -478,6 +478,11 @@ def chunk_packing_one_group(spark, d):
     return context.chunks(tab(spark, d, "documents").withColumn("book", F.lit("all")), "book", "doc_id", "text", 4000)
 
 
+@query()
+def prose_chunks(spark, d):
+    return harvest.prose_chunks(tab(spark, d, "documents"), "source", "doc_id", "text", 1200)
+
+
 @query("""WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents),
  q AS (SELECT *, n - 7 AS zone, greatest(1, (n - 7) // 4) AS step FROM p)
  SELECT source, doc_id, CASE WHEN p < 5 THEN 'head' WHEN p >= n - 2 THEN 'tail' ELSE 'middle' END AS part FROM q

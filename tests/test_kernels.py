@@ -7,7 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from folioscope.operators import dedup, matching, nearest, proposals
+from folioscope.operators import dedup, harvest, matching, nearest, proposals
 from folioscope.plans import greedy
 
 
@@ -189,3 +189,35 @@ def test_near_pairs_reach_all_pairs(spark, distance, block):
                 want.append((i, j))
     df = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
     assert sorted(map(tuple, dedup.near_pairs(df, "id", "k", distance, block).collect())) == sorted(want)
+
+
+def test_prose_chunks_follow_the_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source", "doc_id", "text")
+    long = [("z", 1, "x" * 700), ("z", 2, "a. " * 300), ("z", 3, "[[T0]] "), ("z", 4, None), ("z", 5, "End! " + "y" * 400 + " tail"), (None, 1, "alone")]
+    df = docs.unionByName(spark.createDataFrame(long, "source string, doc_id bigint, text string"))
+    books = {}
+    for r in sorted(df.collect(), key=lambda r: r["doc_id"]):
+        t = regex.sub(r"\s+", " ", regex.sub(r"\[\[/?T\d+\]\]", "", r["text"] or "")).strip()
+        if t:
+            books.setdefault(r["source"], []).append(t)
+    want = []
+    for most in (300, 1200):
+        for book, texts in books.items():
+            chunks, held = [], ""
+            for t in texts:
+                if held and len(held) + len(t) + 2 > most:
+                    chunks.append(held)
+                    held = ""
+                held = f"{held}\n\n{t}" if held else t
+                while len(held) > most:
+                    window = held[: most + 2]
+                    para = window.rfind("\n\n")
+                    stop = max(window.rfind(m) for m in (". ", "! ", "? "))
+                    blank = held[: most + 1].rfind(" ")
+                    at = para if para > most / 2 else stop + 2 if stop > most / 2 else blank if blank > 0 else most
+                    chunks.append(held[:at].strip())
+                    held = held[at:].strip()
+            want += [(most, book, k, c) for k, c in enumerate([*chunks, held] if held else chunks)]
+    got = [(most, *r) for most in (300, 1200) for r in map(tuple, harvest.prose_chunks(df, "source", "doc_id", "text", most).collect())]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert all(len(r[3]) <= r[0] + 1 for r in got)  # a full stop may stand just behind the length
