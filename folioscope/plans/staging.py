@@ -32,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads the written table."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads the written table; with ``by``, a folder for each value of that column."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _left.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import batch, context, dedup, glossary, harvest, ledger, matching, proposals, reading, retrieval, tables
+from folioscope.operators import batch, context, dedup, glossary, harvest, ledger, matching, proposals, reading, retrieval, summaries, tables
+from folioscope.streaming import live
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -905,3 +906,101 @@ def all_violations(spark, d):
 def batch_ends(spark, d):
     e = tab(spark, d, "events").select("user_id", "event_id", "value", "event_type")
     return batch.until(e, "user_id", "event_id", "value", F.col("event_type") == "error", 20000.0, 8, 5).select("user_id", "event_id")
+
+
+# chained summaries
+
+
+_SUMMARY = "CASE WHEN length({u}) % 7 <> 0 THEN '[mock-sum] ' || left(sha256({u}), 16) || ' ' || right({u}, 40) END"
+_ASKED = "concat_ws(chr(10) || chr(10), 'Summary so far:' || chr(10) || {prior}, 'Next part:' || chr(10) || o.t)"
+SQL_CHAIN = f"""WITH RECURSIVE o AS (SELECT conv_id, turn, trim(text) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM conversations WHERE trim(text) <> ''),
+ f AS (SELECT conv_id, turn, part, CAST(NULL AS VARCHAR) AS prior, {_ASKED.format(prior='NULL')} AS u FROM o WHERE part = 1 UNION ALL
+ SELECT o.conv_id, o.turn, o.part, coalesce({_SUMMARY.format(u='f.u')}, f.prior), {_ASKED.format(prior=f"coalesce({_SUMMARY.format(u='f.u')}, f.prior)")} FROM f JOIN o ON o.conv_id = f.conv_id AND o.part = f.part + 1),
+ c AS (SELECT conv_id, turn, part, prior, sha256('m:' || sha256('summarize') || ':' || sha256('user' || chr(0) || u) || ':' || repeat('0', 32)) AS cache_key, {_SUMMARY.format(u='u')} AS summary FROM f)"""
+
+
+def _chain(spark, d, calls=None):
+    """Conversations as books and turns as their parts; the model fails on every seventh length of a request."""
+    reply = lambda u: F.when(F.length(u) % 7 != 0, F.concat(F.lit("[mock-sum] "), F.substring(F.sha2(u, 256), 1, 16), F.lit(" "), F.right(u, F.lit(40))))
+    return summaries.chained(tab(spark, d, "conversations"), "conv_id", "turn", "text", reply, "m", "0" * 32, calls)
+
+
+@query(f"{SQL_CHAIN} SELECT conv_id, turn, part, prior, cache_key, CASE WHEN summary IS NULL THEN 'failed' ELSE 'called' END AS status, summary FROM c")
+def chained_summaries(spark, d):
+    return _chain(spark, d)
+
+
+@query(f"""{SQL_CHAIN} SELECT conv_id, count(*) AS parts, count(summary) AS cached, count(*) - count(summary) AS failed, arg_max(summary, part) FILTER (summary IS NOT NULL) AS summary,
+ CASE WHEN count(summary) = 0 THEN 'all summary chunks failed' END AS error FROM c GROUP BY conv_id""")
+def book_summaries(spark, d):
+    """A second reading of every book, which takes all replies of the first from the ledger."""
+    return summaries.of_books(_chain(spark, d, summaries.as_calls(_chain(spark, d))), "conv_id")
+
+
+# live views, read to the end of the table
+
+
+def log_stream(spark, d):
+    return live.events(spark, f"{d}/events.parquet*", tab(spark, d, "events").schema)
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY event_type")
+def live_kind_totals(spark, d):
+    return live.run_through(live.kind_totals(log_stream(spark, d)), "complete", "event_type").withColumn("value", F.round("value", 4))
+
+
+@query("""SELECT user_id % 7 AS g, count(*) AS seen, CAST(sum(CASE WHEN back <= 20 THEN bad END) AS BIGINT) AS fails, max(n_bad) >= 5 AS tripped FROM (
+ SELECT *, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id DESC) AS back, CASE WHEN row_number() OVER w >= 5 THEN sum(bad) OVER (w ROWS 19 PRECEDING) END AS n_bad
+ FROM (SELECT *, CAST(event_type = 'error' AS INTEGER) AS bad FROM events) WINDOW w AS (PARTITION BY user_id % 7 ORDER BY event_id)) GROUP BY user_id % 7""")
+def live_breaker(spark, d):
+    log = log_stream(spark, d).withColumn("g", F.col("user_id") % 7)
+    return live.run_through(live.breaker(log, "g", "event_id", F.col("event_type") == "error", 20, 5), "update", "g")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def live_once(spark, d):
+    return live.run_through(live.once(log_stream(spark, d).select("user_id", "ts"), ["user_id"], within="3650 days"), "append", "user_id").select("user_id")
+
+
+def inbox_log(log: DataFrame) -> DataFrame:
+    """Events as changes of the status of a user's segment; errors bring the note of a flag."""
+    status = F.when(F.col("event_type").isin("signup", "click"), "flagged").when(F.col("event_type") == "purchase", "approved").when(F.col("event_type") == "view", "pending")
+    return log.select("user_id", "event_id", status.alias("status"), F.when(F.col("event_type") == "error", F.col("props")).alias("note"))
+
+
+@query("""SELECT user_id, note FROM (SELECT user_id, arg_max(event_type, event_id) FILTER (event_type <> 'error') AS t, arg_max(props, event_id) FILTER (event_type = 'error') AS note
+ FROM events GROUP BY user_id) WHERE t IN ('signup', 'click')""")
+def live_inbox(spark, d):
+    return live.run_through(live.inbox(inbox_log(log_stream(spark, d)), "user_id", "event_id", "status", "note"), "update", "user_id").where("shown").select("user_id", "note")
+
+
+def run_log(log: DataFrame) -> DataFrame:
+    """Events as the log of fifty batch runs with markers among them."""
+    n, kinds = F.col("event_id"), {"purchase": "translated", "click": "cached", "view": "flagged", "error": "failed"}
+    kind = F.when(n % 401 == 0, live.CANCELLED).when(n % 37 == 0, live.PAUSED).when(n % 37 == 5, live.RESUMED)
+    for name, outcome in kinds.items():
+        kind = kind.when(F.col("event_type") == name, outcome)
+    return log.select((F.col("user_id") % 50).alias("run"), "event_id", kind.alias("kind"), F.floor(F.abs("value") * 10).alias("ms"))
+
+
+def run_baseline(spark, d) -> DataFrame:
+    """What was done of the runs elsewhere: a run for each customer."""
+    zero = F.lit(0).cast("bigint")
+    return tab(spark, d, "customer").select(F.col("c_custkey").alias("run"), F.col("c_nationkey").alias("translated"), zero.alias("cached"), zero.alias("flagged"), F.lit(1).alias("failed"), (F.col("c_nationkey") * 1000).alias("elapsed_ms"))
+
+
+@query("""WITH o AS (SELECT user_id % 50 AS run, event_id AS seq, CAST(floor(abs(value) * 10) AS BIGINT) AS ms, CASE WHEN event_id % 401 = 0 THEN 'cancelled' WHEN event_id % 37 = 0 THEN 'paused'
+ WHEN event_id % 37 = 5 THEN 'resumed' ELSE CASE event_type WHEN 'purchase' THEN 'translated' WHEN 'click' THEN 'cached' WHEN 'view' THEN 'flagged' WHEN 'error' THEN 'failed' END END AS kind FROM events),
+ m AS (SELECT *, min(CASE WHEN kind = 'cancelled' THEN seq END) OVER (PARTITION BY run) AS c, last_value(CASE WHEN kind IN ('paused', 'resumed') THEN kind END IGNORE NULLS) OVER (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS p FROM o),
+ x AS (SELECT *, kind IN ('translated', 'cached', 'flagged', 'failed') AS counts, coalesce(p, 'resumed') = 'resumed' AND seq < coalesce(c, 9e18) AS runs FROM m),
+ g AS (SELECT run, max(seq) AS seq, count(*) FILTER (runs AND kind = 'translated') AS translated, count(*) FILTER (runs AND kind = 'cached') AS cached, count(*) FILTER (runs AND kind = 'flagged') AS flagged,
+ count(*) FILTER (runs AND kind = 'failed') AS failed, count(*) FILTER (counts AND NOT runs) AS skipped, coalesce(sum(ms) FILTER (counts AND runs), 0) AS ms,
+ CASE WHEN any_value(c) IS NOT NULL THEN 'cancelled' WHEN arg_max(p, seq) = 'paused' THEN 'paused' ELSE 'running' END AS phase FROM x GROUP BY run),
+ t AS (SELECT run, seq, translated + coalesce(c_nationkey, 0) AS translated, cached, flagged, failed + CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END AS failed, skipped,
+ CAST(ms + coalesce(c_nationkey, 0) * 1000 AS BIGINT) AS elapsed_ms, phase FROM g LEFT JOIN customer ON c_custkey = run)
+ SELECT *, translated + cached + flagged + failed AS done, translated + cached + flagged + failed + skipped AS total,
+ round(CASE WHEN elapsed_ms > 0 AND translated + cached + flagged + failed > 0 THEN 1000::DOUBLE * (translated + cached + flagged + failed) / elapsed_ms END, 6) AS rate,
+ round(CASE WHEN elapsed_ms > 0 AND translated + cached + flagged + failed > 0 THEN skipped / (1000::DOUBLE * (translated + cached + flagged + failed) / elapsed_ms) END, 6) AS eta_s FROM t""")
+def live_runs(spark, d):
+    totals = live.run_through(live.runs(run_log(log_stream(spark, d)), "run", "event_id", "kind", "ms", run_baseline(spark, d)), "update", "run")
+    return live.progress(totals, F.col("skipped"))
