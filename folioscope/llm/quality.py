@@ -5,9 +5,9 @@ blanks) hash to a table of vectors; a document is the average of its vectors
 and a softmax layer scores it (Joulin et al., "Bag of Tricks for Efficient
 Text Classification", 2016). Pairs of neighbouring words hash to it as well.
 numpy stochastic gradient descent trains vectors and layer on at most
-``TRAIN_PER_CLASS`` labelled documents a class that hold ``TRAIN_FEATURES``
-distinct features between them at most; the choice is a fixed hash order, and
-whole texts are used.
+``TRAIN_PER_CLASS`` labelled documents a class, the first in a fixed hash
+order; whole texts are used. What reaches the driver is the distinct features
+of those documents with their shares, 8 bytes each and at most 2 MB a document.
 
 With a linear output, the score of a text is an average of one number a
 feature, so scoring needs one table of 2^18 numbers a task.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from folioscope.llm.common import raw, slices
 from folioscope.plans.staging import stage
 
-TRAIN_PER_CLASS, TRAIN_FEATURES, BITS, DIM, EPOCHS, RATE, LEAST_STEPS = 2500, 20_000_000, 18, 12, 4, 0.5, 6000
+TRAIN_PER_CLASS, BITS, DIM, EPOCHS, RATE, LEAST_STEPS = 2500, 18, 12, 4, 0.5, 6000
 GRAMS = (3, 4, 5)
 PIECE = 1 << 19
 MULT = 0x9E3779B97F4A7C15
@@ -175,12 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     text = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).cast("string").alias("t"))
     rows = text.join(F.broadcast(some), "k").select("k", "y", "t").mapInArrow(count, "k bigint, y int, b binary, w binary")  # 2 * per_class ids
-    got, room = [], TRAIN_FEATURES
-    for r in stage(rows, "quality-bags").orderBy(F.xxhash64("k"), "k", "b").toLocalIterator():
-        room -= len(r["b"]) // 4
-        if room < 0 and {x["y"] for x in got} == {0, 1}:
-            break
-        got.append(r)
+    got = list(stage(rows, "quality-bags").orderBy(F.xxhash64("k"), "k", "b").toLocalIterator())
     total = sum(n.values())
     share = n.get(1, 0) / total if total else 0.5
     return train([(np.frombuffer(r["b"], "<u4"), np.frombuffer(r["w"], "<f4")) for r in got], np.array([r["y"] for r in got], np.int64), share)
