@@ -25,15 +25,16 @@ def all_terms(term: Column, aliases: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(term), F.coalesce(aliases, F.array().cast("array<string>"))), lambda x: x.isNotNull() & (T.jtrim(x) != "")))
 
 
-def constraints(entries: DataFrame) -> DataFrame:
-    """Entries that bind a translation, with their place in the prompt."""
+def constraints(entries: DataFrame, project: str = "project_id") -> DataFrame:
+    """Entries that bind a translation, with their place in the prompt of their project."""
     rows = entries.where("status <> 'proposed' and source_term is not null")
-    return rows.withColumn("place", F.row_number().over(W.orderBy(status_rank(F.col("status")), "source_term", "id")).cast("bigint"))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(project).orderBy(status_rank(F.col("status")), "source_term", "id")).cast("bigint"))
 
 
-def target_only(entries: DataFrame) -> DataFrame:
+def target_only(entries: DataFrame, project: str = "project_id") -> DataFrame:
+    """Entries that only fix a target, with their place among those of their project."""
     rows = entries.where("status <> 'proposed' and source_term is null")
-    return rows.withColumn("place", F.row_number().over(W.orderBy(status_rank(F.col("status")), "target_term", "id")).cast("bigint"))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(project).orderBy(status_rank(F.col("status")), "target_term", "id")).cast("bigint"))
 
 
 def merged_books(project: DataFrame, books: DataFrame) -> DataFrame:

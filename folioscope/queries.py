@@ -37,14 +37,7 @@ GLOSSARY = """(VALUES ('g1','p1','the','der','term','locked',true,'n1',CAST(NULL
  ('g3','p1','and','und','place','proposed',true,NULL,NULL,2),('g4','p1',NULL,'Haus','term','locked',false,NULL,NULL,5),('g5','p2','with','mit','person','confirmed',true,'say "x"','f',4),
  ('g6','p2','the','das','term','proposed',true,NULL,NULL,6),('g7','p2','from','aus','term','locked',true,NULL,NULL,7),('g8','p2',NULL,'Garten','term','confirmed',false,NULL,NULL,8),
  ('g9','p2','The','Der','term','confirmed',true,NULL,NULL,9)) AS g(id, project_id, source_term, target_term, type, status, source_known, notes, gender, created_at)"""
-ALIASES = "(VALUES ('g1','source','a'),('g1','source','an'),('g1','target','den'),('g2','target','vom'),('g2','source','off'),('g5','target','samt'),('g7','source','of')) AS a(entry_id, side, text)"
 PRICES = "(VALUES ('gpt',1.0D,2.0D),('gpt-large',3.0D,6.0D),('ada',0.1D,0.1D)) AS p(name, prompt_price, completion_price)"
-MODELS = "(VALUES ('gpt'),('gpt-large-2024-05-01'),('gpt-large-mini-x'),('gpt-x'),('ada-002'),('other')) AS m(model)"
-STRINGS = r"""(VALUES (1,'1999'),(2,'c. 1840'),(3,'1914-1918'),(4,'The 1990s'),(5,'1990s'),(6,'44 BC'),(7,'House of Lords'),(8,'a very long phrase that has far more than ten words in its text'),
- (9,'Wait. What now'),(10,'open (bracket'),(11,'[[T0]][[/T0]]'),(12,'  '),(13,'[[T1]] x'),(14,'FIFA ('),(15,'  House Lannister  '),(16,'Heavily Indebted Poor Country (HIPC) initiative'),
- (17,'the the cat'),(18,'Of, of course'),(19,'the House'),(20,'an  apple pie'),(21,'theatre'),(22,'— So he said'),(23,'"Yes" she said'),(24,'plain prose'),(25,'“quoted”'),(26,'1h2m3s'),(27,'250ms'),(28,'90'),
- (29,'http://localhost:8080/x'),(30,'http://192.168.1.7/'),(31,'https://example.com/a'),(32,'http://printer.local'),(33,'http://10.0.0.3:99'),(34,'img/a.PNG'),(35,'x.css'),(36,'none'),
- (37,'Round Table Society'),(38,'Acme Company  Limited.'),(39,'Program'),(40,'Trade Agency'),(41,'Stop!'),(42,'(1066)'),(43,'1066 d.C.'),(44,'circa 1905'),(45,'Order 66'),(46,'‘Come in,’ he said'),(47,'12345'),(48,'b.avif')) AS s(id, s)"""
 
 
 def duck(sql: str) -> str:
@@ -338,24 +331,6 @@ def leading_particle(spark, d):
     return tab(spark, d, "documents").select("doc_id", T.leading_particle(F.col("text"), F.col("lang")).alias("particle"))
 
 
-@query("""SELECT * FROM (VALUES ('of the mist','en',NULL,'of the mist'),('the House','en','the','House'),('“the” House','en',NULL,'“the” House'),('(The) House','en','the','House'),('the','en',NULL,'the'),
- ('à la carte','fr-CA','à','la carte'),('pelas ruas','pt_BR','pelas','ruas'),('e depois','pt',NULL,'e depois'),('sugli alberi','it','sugli','alberi'),('Beim Haus','DE','beim','Haus'),('the sea','xx','the','sea')) AS t(term, lang, particle, stripped)""")
-def particle_cases(spark, d):
-    rows = values(spark, "(VALUES ('of the mist','en'),('the House','en'),('“the” House','en'),('(The) House','en'),('the','en'),('à la carte','fr-CA'),('pelas ruas','pt_BR'),('e depois','pt'),('sugli alberi','it'),('Beim Haus','DE'),('the sea','xx')) AS t(term, lang)")
-    return rows.select("term", "lang", T.leading_particle(F.col("term"), F.col("lang")).alias("particle"), T.strip_particle(F.col("term"), F.col("lang")).alias("stripped"))
-
-
-@query("""SELECT * FROM (VALUES (1,true),(2,true),(3,false),(4,true)) AS t(id, is_symmetric)""")
-def particle_symmetry(spark, d):
-    rows = values(spark, "(VALUES (1,'the House','o Lar'),(2,'House','Lar'),(3,'House','a Casa'),(4,'of Rome','Roma')) AS t(id, s, t)")
-    return rows.select("id", T.symmetric(F.col("s"), F.lit("en"), F.col("t"), F.lit("pt")).alias("is_symmetric"))
-
-
-@query("SELECT * FROM (VALUES (7,'house of lords'),(14,'fifa'),(15,'house lannister'),(16,'heavily indebted poor country'),(37,'round table'),(38,'acme'),(39,'program'),(40,'trade agency')) AS t(id, canon)")
-def canonical_terms(spark, d):
-    return values(spark, STRINGS).where("id in (7, 14, 15, 16, 37, 38, 39, 40)").select("id", T.canonical(T.nfkc(F.col("s"))).alias("canon"))
-
-
 @query("""SELECT doc_id, regexp_matches(trim(text), '^[—–―]\\s*\\S') OR regexp_matches(text, '[“„«「『＂‘‚‹”»」』’›]') OR regexp_matches(text, '"[^"]*[\\p{L}\\p{N}][^"]*"') AS is_dialogue FROM documents""")
 def dialogue_flag(spark, d):
     return tab(spark, d, "documents").select("doc_id", T.dialogue(F.col("text")).alias("is_dialogue"))
@@ -366,16 +341,6 @@ def token_counts(spark, d):
     return tab(spark, d, "documents").select("doc_id", T.rough_tokens(F.col("text")).alias("tokens"), T.rough_tokens(F.col("text"), 0).alias("llm_tokens"))
 
 
-@query("SELECT * FROM (VALUES (1,true),(2,true),(3,true),(4,false),(5,true),(6,true),(7,false),(24,false),(42,true),(43,true),(44,true),(45,false),(47,false)) AS t(id, is_year)")
-def year_like(spark, d):
-    return values(spark, STRINGS).where("id in (1,2,3,4,5,6,7,24,42,43,44,45,47)").select("id", T.year_like(F.col("s")).alias("is_year"))
-
-
-@query("SELECT * FROM (VALUES (1,'year'),(7,NULL),(8,'too_many_words'),(9,'sentence'),(10,'unbalanced'),(24,NULL),(41,'sentence')) AS t(id, why)")
-def extractor_caps(spark, d):
-    return values(spark, STRINGS).where("id in (1,7,8,9,10,24,41)").select("id", T.cap_violation(F.col("s")).alias("why"))
-
-
 YEARS = """(SELECT o_orderkey, CASE o_orderkey % 16 WHEN 0 THEN y WHEN 1 THEN 'c. ' || y WHEN 2 THEN '(' || y || ')' WHEN 3 THEN y || ' - ' || (o_custkey % 10000) WHEN 4 THEN y || ' BC.' WHEN 5 THEN y || 's' WHEN 6 THEN 'Order ' || y
  WHEN 7 THEN y || ' d.C.' WHEN 8 THEN 'circa ' || y || 'AD' WHEN 9 THEN 'ca ' || y || ' n. Chr' WHEN 10 THEN y || ' ' || y WHEN 11 THEN o_orderpriority WHEN 12 THEN y || '-' || y || 's' WHEN 13 THEN 'AD ' || y || '!?' WHEN 14 THEN y || o_custkey ELSE y || ' to ' || y END AS term
  FROM (SELECT *, CAST(o_orderkey % 2300 AS VARCHAR) AS y FROM orders))"""
@@ -409,35 +374,6 @@ def term_caps(spark, d):
     return tab(spark, d, "conversations").select("conv_id", "turn", T.cap_violation(c).alias("source_fault"), T.cap_violation(c, target=True).alias("target_fault"))
 
 
-@query(f"SELECT id, trim(regexp_replace(s, '\\[\\[/?T\\d+\\]\\]', '', 'g')) = '' AS empty FROM {STRINGS}")
-def trivially_empty(spark, d):
-    return values(spark, STRINGS).select("id", T.trivially_empty(F.col("s")).alias("empty"))
-
-
-PLACED = "(VALUES (1,'[[T0]]a[[/T0]] [[T1]]'),(2,'[[T0]]a [[T1]]'),(3,'[[T0]]a[[/T0]]'),(4,'[[T0]]a[[/T0]][[T1]][[T1]]'),(5,'[[T0]][[/T0]][[T1]][[T7]]')) AS p(id, t)"
-
-
-@query("SELECT * FROM (VALUES (1,NULL),(2,'missing:/T0'),(3,'missing:T1'),(4,'repeated'),(5,'unknown:T7')) AS t(id, error)")
-def placeholder_check(spark, d):
-    return values(spark, PLACED).select("id", T.placeholder_error(F.col("t"), F.array(F.lit("pair"), F.lit("void"))).alias("error"))
-
-
-@query("SELECT * FROM (VALUES (26,3723000),(27,250),(28,90000),(36,NULL)) AS t(id, ms)".replace("3723000", "3723000::BIGINT"))
-def rate_limit_durations(spark, d):
-    return values(spark, STRINGS).where("id in (26,27,28,36)").select("id", T.duration_ms(F.col("s")).alias("ms"))
-
-
-@query("SELECT * FROM (VALUES (29,'loopback'),(30,'local'),(31,NULL),(32,'local'),(33,'local'),(36,NULL)) AS t(id, space)")
-def address_space(spark, d):
-    return values(spark, STRINGS).where("id in (29,30,31,32,33,36)").select("id", T.address_space(F.col("s")).alias("space"))
-
-
-@query("SELECT * FROM (VALUES (34,'image/png','OEBPS/img/a.PNG'),(35,'application/octet-stream','OEBPS/x.css'),(36,'application/octet-stream','OEBPS/none'),(48,'image/avif','OEBPS/b.avif')) AS t(id, mime, path)")
-def mime_and_path(spark, d):
-    base = F.lit("OEBPS/text/../ch1.xhtml")
-    return values(spark, STRINGS).where("id in (34,35,36,48)").select("id", T.mime(F.col("s")).alias("mime"), T.resolve_path(base, F.concat(F.lit("./"), "s")).alias("path"))
-
-
 @query("""SELECT doc_id, CASE WHEN length(t) > 60 THEN left(t, 59) || '…' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)""")
 def preview_truncate(spark, d):
     return tab(spark, d, "documents").select("doc_id", T.preview(F.col("text"), 60).alias("preview"))
@@ -521,48 +457,6 @@ def concurrency_cap(spark, d):
 
 # glossary
 
-RANK = "CASE status WHEN 'locked' THEN 0 WHEN 'confirmed' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END"
-
-
-@query(f"SELECT id, source_term, row_number() OVER (ORDER BY {RANK}, source_term, id) AS place FROM {duck(GLOSSARY)} WHERE status <> 'proposed' AND source_term IS NOT NULL")
-def glossary_constraints(spark, d):
-    return glossary.constraints(values(spark, GLOSSARY)).select("id", "source_term", "place")
-
-
-@query(f"SELECT id, target_term, row_number() OVER (ORDER BY {RANK}, target_term, id) AS place FROM {duck(GLOSSARY)} WHERE status <> 'proposed' AND source_term IS NULL")
-def target_only_terms(spark, d):
-    return glossary.target_only(values(spark, GLOSSARY)).select("id", "target_term", "place")
-
-
-@query(f"""SELECT id, source_term, target_term FROM (SELECT *, CASE WHEN project_id = 'p1' THEN 0 ELSE 1 END AS tier, CASE WHEN project_id = 'p1' THEN 0 ELSE created_at END AS priority FROM {duck(GLOSSARY)}
- WHERE project_id = 'p1' OR status <> 'proposed') QUALIFY row_number() OVER (PARTITION BY CASE WHEN source_term IS NOT NULL THEN type || '::' || lower(source_term) ELSE 'target::' || lower(target_term) END
- ORDER BY tier, priority DESC, coalesce(source_term, target_term), id) = 1""")
-def priority_union(spark, d):
-    g = values(spark, GLOSSARY)
-    return glossary.merged_books(g.where("project_id = 'p1'"), g.where("project_id = 'p2'").withColumn("priority", F.col("created_at"))).select("id", "source_term", "target_term")
-
-
-@query(f"""SELECT g.id, list_sort(coalesce(list(a.text) FILTER (a.side = 'source'), []::VARCHAR[])) AS source_aliases, list_sort(coalesce(list(a.text) FILTER (a.side = 'target'), []::VARCHAR[])) AS target_aliases
- FROM {duck(GLOSSARY)} LEFT JOIN {ALIASES} ON g.id = a.entry_id GROUP BY g.id""")
-def alias_rollup(spark, d):
-    return glossary.with_aliases(values(spark, GLOSSARY), values(spark, ALIASES)).select("id", "source_aliases", "target_aliases")
-
-
-def _json(c: str) -> str:
-    return f"""CASE WHEN {c} IS NULL THEN 'null' ELSE '"' || replace(replace({c}, '\\', '\\\\'), '"', '\\"') || '"' END"""
-
-
-def _json_list(side: str) -> str:
-    return f"""'[' || coalesce((SELECT string_agg({_json('a.text')}, ', ' ORDER BY a.text) FROM {ALIASES} WHERE a.entry_id = g.id AND a.side = '{side}'), '') || ']'"""
-
-
-@query("SELECT project_id, left(sha256('[' || string_agg(item, ', ' ORDER BY coalesce(source_term, ''), target_term, id) || ']'), 32) AS glossary_hash FROM (SELECT *, '{' || " + " || ', ' || ".join(
-    f"""'"{n}": ' || {v}""" for n, v in (("gender", _json("gender")), ("notes", _json("notes")), ("source_aliases", _json_list("source")), ("source_known", "CAST(source_known AS VARCHAR)"), ("source_term", _json("source_term")),
-    ("status", _json("status")), ("target_aliases", _json_list("target")), ("target_term", _json("target_term")), ("type", _json("type")))) + f" || '}}' AS item FROM {duck(GLOSSARY)}) GROUP BY project_id")
-def glossary_hash(spark, d):
-    return glossary.glossary_hash(glossary.with_aliases(values(spark, GLOSSARY), values(spark, ALIASES)).orderBy(F.desc("id")))
-
-
 @query(f"""SELECT p.p_partkey, CASE WHEN g.source_term IS NULL THEN 'created' ELSE 'skipped' END AS outcome FROM part p LEFT JOIN
  (SELECT DISTINCT p_name AS source_term, p_type AS type FROM part WHERE p_partkey % 7 = 0) g ON p.p_name = g.source_term AND p.p_type = g.type""")
 def import_classify(spark, d):
@@ -570,14 +464,6 @@ def import_classify(spark, d):
     return glossary.classify_import(p, p.where("p_partkey % 7 = 0"), overwrite=False).select("p_partkey", "outcome")
 
 
-@query(f"""SELECT DISTINCT w.winner_id, x.alias FROM (VALUES ('g1','g9'),('g1','g6'),('g2','g7')) AS w(winner_id, loser_id) JOIN
- (SELECT g.id, g.source_term AS alias FROM {duck(GLOSSARY)} WHERE g.source_term IS NOT NULL UNION SELECT a.entry_id, a.text FROM {ALIASES} WHERE a.side = 'source') x ON x.id = w.loser_id
- WHERE NOT EXISTS (SELECT 1 FROM (SELECT g.id, g.source_term AS alias FROM {duck(GLOSSARY)} UNION SELECT a.entry_id, a.text FROM {ALIASES} WHERE a.side = 'source') o WHERE o.id = w.winner_id AND o.alias = x.alias)""")
-def merge_entries(spark, d):
-    e = glossary.with_aliases(values(spark, GLOSSARY), values(spark, ALIASES))
-    return glossary.merge_entries(e, values(spark, "(VALUES ('g1','g9'),('g1','g6'),('g2','g7')) AS w(winner_id, loser_id)"))
-
-
 PROPOSED = """(SELECT p_partkey AS seq, CASE p_partkey % 4 WHEN 0 THEN w WHEN 1 THEN upper(w) WHEN 2 THEN w || ' Company' ELSE 'The ' || w END AS source, CASE WHEN p_size % 3 = 0 THEN reverse(w) WHEN p_size % 3 = 1 THEN w END AS target,
  CASE WHEN p_size % 4 = 0 THEN 'place' ELSE 'other' END AS type FROM (SELECT *, split_part(p_name, ' ', 1) || p_partkey % 37 AS w FROM part))"""
 KNOWN = """(SELECT 'e' || p_partkey AS id, w AS source_term, CASE WHEN p_size % 2 = 0 THEN w ELSE reverse(w) END AS target_term, 'term' AS type, CASE WHEN p_size % 5 = 0 THEN 'confirmed' ELSE 'proposed' END AS status
@@ -638,11 +524,6 @@ def cache_hits_join(spark, d):
     return ledger.replay(req, calls).select("event_id", "hit_id", "cache_hit", "cost")
 
 
-@query("SELECT * FROM (VALUES ('gpt','gpt'),('gpt-large-2024-05-01','gpt-large'),('gpt-large-mini-x','gpt-large'),('gpt-x','gpt'),('ada-002','ada'),('other',NULL)) AS t(model, matched)")
-def price_prefix(spark, d):
-    return ledger.priced(values(spark, MODELS), values(spark, PRICES)).select("model", "matched")
-
-
 @query("SELECT l_orderkey, l_linenumber, round((l_quantity * 3 + l_partkey * 6) / 1e6, 9) AS cost FROM lineitem")
 def cost_estimate(spark, d):
     p = ledger.priced(values(spark, "(VALUES ('gpt-large-2024-05-01')) AS m(model)"), values(spark, PRICES))
@@ -817,13 +698,6 @@ def augmented_glossary(spark, d):
     return reading.augmented(base, fresh.unionByName(fresh))
 
 
-@query(f"SELECT id, row_number() OVER (ORDER BY coalesce(source_term, ''), id) AS place, row_number() OVER (ORDER BY coalesce(source_term, target_term), id) AS lore_place FROM {duck(GLOSSARY)}")
-def glossary_list_order(spark, d):
-    g = values(spark, GLOSSARY)
-    place = lambda lore: F.row_number().over(W.orderBy(*reading.listed(g, lore))).cast("bigint")
-    return g.select("id", place(False).alias("place"), place(True).alias("lore_place"))
-
-
 @query(f"SELECT id, kind, chapter_id FROM {RUNS} WHERE kind = 'extract' ORDER BY started_at DESC, id LIMIT 40")
 def intake_run_list(spark, d):
     o = tab(spark, d, "orders")
@@ -1004,3 +878,194 @@ def run_baseline(spark, d) -> DataFrame:
 def live_runs(spark, d):
     totals = live.run_through(live.runs(run_log(log_stream(spark, d)), "run", "event_id", "kind", "ms", run_baseline(spark, d)), "update", "run")
     return live.progress(totals, F.col("skipped"))
+
+
+# terms, placeholders and addresses made from the tables' own rows; what makes them is SQL that both engines read
+
+
+def shaped(spark, d, name: str, exprs: dict[str, str]) -> DataFrame:
+    return tab(spark, d, name).selectExpr(*(f"{e} AS {n}" for n, e in exprs.items()))
+
+
+def shape(name: str, exprs: dict[str, str]) -> str:
+    return f"(SELECT {', '.join(f'{e} AS {n}' for n, e in exprs.items())} FROM {name})"
+
+
+def one_of(number: str, *forms: str) -> str:
+    """SQL that takes a form by a number's remainder."""
+    return f"CASE {number} % {len(forms)} " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(forms)) + " END"
+
+
+LED = {
+    "p_partkey": "p_partkey",
+    "term": one_of("p_partkey", "p_name", "'the ' || p_name", "'Der ' || p_name", "'(La) ' || p_name", "'de  ' || p_name", "'The'", "'au ' || p_name", "'of ' || p_name"),
+    "lang": one_of("p_size", "'en'", "'es'", "'fr-CA'", "'DE'", "'de_AT'", "'xx'"),
+}
+_HEAD = "lower(trim(regexp_extract(term, '^(\\S+)\\s', 1), '()'))"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN list_contains(p.words, {_HEAD}) THEN {_HEAD} END AS particle, CASE WHEN list_contains(p.words, {_HEAD}) THEN trim(regexp_replace(term, '^\\S+\\s+', '')) ELSE term END AS stripped
+ FROM {shape('part', LED)} t JOIN {SQL_PARTICLES} ON p.lang = CASE WHEN left(lower(t.lang), 2) IN ('es', 'fr', 'de') THEN left(lower(t.lang), 2) ELSE 'en' END""")
+def particle_cases(spark, d):
+    return shaped(spark, d, "part", LED).select("p_partkey", T.leading_particle(F.col("term"), F.col("lang")).alias("particle"), T.strip_particle(F.col("term"), F.col("lang")).alias("stripped"))
+
+
+PAIRED = {"p_partkey": "p_partkey", "s": one_of("p_size", "p_name", "'the ' || p_name", "'of ' || p_name"), "t": one_of("p_partkey", "reverse(p_name)", "'Der ' || reverse(p_name)")}
+
+
+@query(f"SELECT p_partkey, starts_with(s, 'the ') = starts_with(t, 'Der ') AS is_symmetric FROM {shape('part', PAIRED)}")
+def particle_symmetry(spark, d):
+    return shaped(spark, d, "part", PAIRED).select("p_partkey", T.symmetric(F.col("s"), F.lit("en"), F.col("t"), F.lit("de")).alias("is_symmetric"))
+
+
+NAMED = {"p_partkey": "p_partkey", "term": one_of("p_partkey", "p_name", "upper(p_name) || ' Society'", "p_name || ' (' || p_brand || ') Program'", "p_name || ' ('", "'  ' || p_name || ' Company  Limited.'", "p_name || '(x) Council (' || p_type || ' Initiative'", "p_name || ' - !'", "'Society'", "p_name || ' Company Company Company Company Company'")}
+_CANON = r"trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(trim(term)), '[.!-]+$', '')), '\s+', ' ', 'g'), '^$', ''))"
+for _ in range(4):
+    _CANON = rf"trim(regexp_replace(trim(regexp_replace({_CANON}, ' (society|program|company|limited|council|initiative)$', '')), '\s*\([^()]*\)$|\s*\([^()]*$', ''))"
+_CANON = f"trim(regexp_replace({_CANON}, '[.!-]+$', ''))"
+
+
+@query(f"SELECT p_partkey, {_CANON} AS canon FROM {shape('part', NAMED)}")
+def canonical_terms(spark, d):
+    return shaped(spark, d, "part", NAMED).select("p_partkey", T.canonical(T.nfkc(F.col("term"))).alias("canon"))
+
+
+@query(f"SELECT o_orderkey, plain AS is_year FROM ({ORACLE_SQL['year_variants']})")
+def year_like(spark, d):
+    return year_terms(spark, d).select("o_orderkey", T.year_like(F.col("term")).alias("is_year"))
+
+
+@query(f"SELECT conv_id, turn, source_fault AS why FROM ({ORACLE_SQL['term_caps']})")
+def extractor_caps(spark, d):
+    return tab(spark, d, "conversations").select("conv_id", "turn", T.cap_violation(F.split_part("text", F.lit(","), F.lit(1))).alias("why"))
+
+
+PLACED = {"conv_id": "conv_id", "turn": "turn", "t": one_of("(conv_id + turn)", "'[[T0]]' || text || '[[/T0]] [[T1]]'", "'[[T0]]' || text || ' [[T1]]'", "'[[T0]]' || text || '[[/T0]]'", "'[[T0]]' || text || '[[/T0]][[T1]][[T1]]'", "'[[T0]][[/T0]][[T1]]' || text || '[[T7]]'", "' [[T0]] [[/T0]][[T1]] '", "text", "'  '")}
+
+
+@query(f"SELECT conv_id, turn, trim(regexp_replace(t, '\\[\\[/?T\\d+\\]\\]', '', 'g')) = '' AS empty FROM {shape('conversations', PLACED)}")
+def trivially_empty(spark, d):
+    return shaped(spark, d, "conversations", PLACED).select("conv_id", "turn", T.trivially_empty(F.col("t")).alias("empty"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN got LIKE '%T7%' THEN 'unknown:T7' WHEN NOT list_contains(gs, '/T0') THEN 'missing:/T0' WHEN NOT list_contains(gs, 'T0') THEN 'missing:T0' WHEN NOT list_contains(gs, 'T1') THEN 'missing:T1'
+ WHEN len(gs) > 3 THEN 'repeated' END AS error FROM (SELECT *, array_to_string(gs, ',') AS got FROM (SELECT *, regexp_extract_all(t, '\\[\\[(/?T\\d+)\\]\\]', 1) AS gs FROM {shape('conversations', PLACED)}))""")
+def placeholder_check(spark, d):
+    return shaped(spark, d, "conversations", PLACED).select("conv_id", "turn", T.placeholder_error(F.col("t"), F.array(F.lit("pair"), F.lit("void"))).alias("error"))
+
+
+WAITS = {"event_id": "event_id", "s": one_of("event_id", "user_id || 'ms'", "user_id % 5 || 'h' || event_id % 60 || 'm' || user_id % 60 || 's'", "'' || user_id", "event_id % 60 || 'm' || user_id % 60 || '.5s'", "event_type", "user_id % 9 || 's' || event_id % 1000 || 'ms'", "'-' || user_id")}
+_WAIT = one_of("event_id", "user_id", "3600000 * (user_id % 5) + 60000 * (event_id % 60) + 1000 * (user_id % 60)", "1000 * user_id", "60000 * (event_id % 60) + 1000 * (user_id % 60) + 500", "NULL", "1000 * (user_id % 9) + event_id % 1000", "CASE WHEN user_id IS NOT NULL THEN 0 END")
+
+
+@query(f"SELECT event_id, CAST({_WAIT} AS BIGINT) AS ms FROM events")
+def rate_limit_durations(spark, d):
+    return shaped(spark, d, "events", WAITS).select("event_id", T.duration_ms(F.col("s")).alias("ms"))
+
+
+ADDRESSES = {"page_id": "page_id", "u": one_of("page_id", "url", "'http://localhost:' || page_id || '/x'", "'http://192.168.1.' || page_id % 256", "'http://printer' || page_id || '.local/' || url", "'https://172.' || page_id % 40 || '.0.1:99/'", "'http://u@10.0.' || page_id % 256 || '.3'", "'http://127.0.0.1' || '?u=' || url", "'http://[fe80::1]/'", "'10.0.0.1/' || url")}
+_SPACE = one_of("page_id", "NULL", "'loopback'", "'local'", "'local'", "CASE WHEN page_id % 40 BETWEEN 16 AND 31 THEN 'local' END", "'local'", "'loopback'", "'local'", "NULL")
+
+
+@query(f"SELECT page_id, {_SPACE} AS space FROM pages")
+def address_space(spark, d):
+    return shaped(spark, d, "pages", ADDRESSES).select("page_id", T.address_space(F.col("u")).alias("space"))
+
+
+LINKS = {"page_id": "page_id", "folder": "split_part(split_part(url, '/', 4), '?', 1)", "suffix": one_of("page_id", "'.PNG'", "'.avif'", "'.css'", "''", "'.jpg#a.gif2'", "'.jpeg?v=1'")}
+_MIMES = "CASE suffix WHEN '.PNG' THEN 'image/png' WHEN '.avif' THEN 'image/avif' ELSE 'application/octet-stream' END"
+
+
+@query(f"SELECT page_id, {_MIMES} AS mime, 'OEBPS/' || folder || '/p' || page_id || split_part(split_part(suffix, '#', 1), '?', 1) AS path FROM {shape('pages', LINKS)}")
+def mime_and_path(spark, d):
+    href = F.concat(F.lit(".././"), "folder", F.lit("/x/../p"), "page_id", "suffix")
+    return shaped(spark, d, "pages", LINKS).select("page_id", T.mime(href).alias("mime"), T.resolve_path(F.lit("OEBPS/text/ch1.xhtml"), href).alias("path"))
+
+
+# a glossary whose entries are parts, projects are brands and aliases are order lines
+
+BOOK = {
+    "id": "'g' || p_partkey", "project_id": "p_brand", "source_term": "CASE WHEN p_size % 5 > 0 THEN p_name || ' ' || p_partkey % 90 END", "target_term": "reverse(p_name) || p_size % 7", "type": "CASE WHEN p_type = 'ECONOMY' THEN 'place' ELSE 'term' END",
+    "status": one_of("p_partkey", "'locked'", "'confirmed'", "'proposed'", "'confirmed'"), "source_known": "p_size % 5 > 0", "notes": "CASE WHEN p_size % 11 = 0 THEN 'say \"' || p_name || '\"' END", "gender": "CASE WHEN p_size % 3 = 0 THEN 'm' END", "created_at": "p_partkey",
+}
+ALIASES = {"entry_id": "'g' || l_partkey", "side": "CASE WHEN l_linenumber % 2 = 0 THEN 'source' ELSE 'target' END", "text": "l_returnflag || '\"' || l_suppkey"}
+SQL_BOOK, SQL_ALIASES = shape("part", BOOK), shape("lineitem", ALIASES)
+RANK = "CASE status WHEN 'locked' THEN 0 WHEN 'confirmed' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END"
+
+
+def book(spark, d):
+    return shaped(spark, d, "part", BOOK)
+
+
+def book_with_aliases(spark, d):
+    return glossary.with_aliases(book(spark, d), shaped(spark, d, "lineitem", ALIASES))
+
+
+@query(f"SELECT id, source_term, row_number() OVER (PARTITION BY project_id ORDER BY {RANK}, source_term, id) AS place FROM {SQL_BOOK} WHERE status <> 'proposed' AND source_term IS NOT NULL")
+def glossary_constraints(spark, d):
+    return glossary.constraints(book(spark, d)).select("id", "source_term", "place")
+
+
+@query(f"SELECT id, target_term, row_number() OVER (PARTITION BY project_id ORDER BY {RANK}, target_term, id) AS place FROM {SQL_BOOK} WHERE status <> 'proposed' AND source_term IS NULL")
+def target_only_terms(spark, d):
+    return glossary.target_only(book(spark, d)).select("id", "target_term", "place")
+
+
+@query(f"""SELECT id, source_term, target_term FROM (SELECT *, CASE WHEN project_id = 'Brand#1' THEN 0 ELSE 1 END AS tier, CASE WHEN project_id = 'Brand#1' THEN 0 ELSE length(project_id) END AS priority FROM {SQL_BOOK}
+ WHERE project_id = 'Brand#1' OR status <> 'proposed') QUALIFY row_number() OVER (PARTITION BY CASE WHEN source_term IS NOT NULL THEN type || '::' || lower(source_term) ELSE 'target::' || lower(target_term) END
+ ORDER BY tier, priority DESC, coalesce(source_term, target_term), id) = 1""")
+def priority_union(spark, d):
+    g = book(spark, d)
+    return glossary.merged_books(g.where("project_id = 'Brand#1'"), g.where("project_id <> 'Brand#1'").withColumn("priority", F.length("project_id"))).select("id", "source_term", "target_term")
+
+
+_LISTS = f"""(SELECT entry_id, coalesce(list(text ORDER BY text) FILTER (side = 'source'), []::VARCHAR[]) AS source_aliases, coalesce(list(text ORDER BY text) FILTER (side = 'target'), []::VARCHAR[]) AS target_aliases
+ FROM {SQL_ALIASES} GROUP BY entry_id)"""
+SQL_ALIASED = f"(SELECT b.*, coalesce(source_aliases, []::VARCHAR[]) AS source_aliases, coalesce(target_aliases, []::VARCHAR[]) AS target_aliases FROM {SQL_BOOK} b LEFT JOIN {_LISTS} ON id = entry_id)"
+
+
+@query(f"SELECT id, source_aliases, target_aliases FROM {SQL_ALIASED}")
+def alias_rollup(spark, d):
+    return book_with_aliases(spark, d).select("id", "source_aliases", "target_aliases")
+
+
+def _json(c: str) -> str:
+    return f"""CASE WHEN {c} IS NULL THEN 'null' ELSE '"' || replace({c}, '"', '\\"') || '"' END"""
+
+
+_FIELDS = {n: f"'[' || array_to_string(list_transform({n}, lambda x: {_json('x')}), ', ') || ']'" if n.endswith("aliases") else "CAST(source_known AS VARCHAR)" if n == "source_known" else _json(n)
+           for n in ("gender", "notes", "source_aliases", "source_known", "source_term", "status", "target_aliases", "target_term", "type")}
+
+
+@query("SELECT project_id, left(sha256('[' || string_agg(item, ', ' ORDER BY coalesce(source_term, ''), target_term, id) || ']'), 32) AS glossary_hash FROM (SELECT *, '{' || "
+       + " || ', ' || ".join(f"""'"{n}": ' || {v}""" for n, v in _FIELDS.items()) + f" || '}}' AS item FROM {SQL_ALIASED}) GROUP BY project_id")
+def glossary_hash(spark, d):
+    return glossary.glossary_hash(book_with_aliases(spark, d))
+
+
+MERGED = {"winner_id": "'g' || (p_partkey - p_partkey % 10)", "loser_id": "'g' || p_partkey", "same": "p_partkey % 10 = 0"}
+_TERMS = f"(SELECT id, source_term AS alias FROM {SQL_BOOK} WHERE source_term IS NOT NULL UNION SELECT entry_id, text FROM {SQL_ALIASES} WHERE side = 'source')"
+
+
+@query(f"""SELECT DISTINCT winner_id, alias FROM {shape('part', MERGED)} JOIN {_TERMS} x ON x.id = loser_id WHERE NOT same AND winner_id IN (SELECT id FROM {SQL_BOOK})
+ AND (winner_id, alias) NOT IN (SELECT id, alias FROM {_TERMS})""")
+def merge_entries(spark, d):
+    return glossary.merge_entries(book_with_aliases(spark, d), shaped(spark, d, "part", MERGED).where("not same").drop("same"))
+
+
+@query(f"SELECT id, row_number() OVER (PARTITION BY project_id ORDER BY coalesce(source_term, ''), id) AS place, row_number() OVER (PARTITION BY project_id ORDER BY coalesce(source_term, target_term), id) AS lore_place FROM {SQL_BOOK}")
+def glossary_list_order(spark, d):
+    g = book(spark, d)
+    place = lambda lore: F.row_number().over(W.partitionBy("project_id").orderBy(*reading.listed(g, lore))).cast("bigint")
+    return g.select("id", place(False).alias("place"), place(True).alias("lore_place"))
+
+
+MODELS = {"model": one_of("p_partkey", "'m-'", "'m-'", "'m-'", "'z-'") + " || p_size || " + one_of("p_retailprice", "''", "'-2024-05-01'", "'-mini-x'").replace("p_retailprice", "CAST(floor(p_retailprice) AS BIGINT)")}
+PRICED = {"name": "CASE WHEN p_size >= 25 THEN 'm' ELSE 'm-' || p_size END"}
+
+
+@query(f"""SELECT model, CASE WHEN starts_with(model, 'm-') THEN CASE WHEN CAST(split_part(model, '-', 2) AS INTEGER) < 25 THEN 'm-' || split_part(model, '-', 2) ELSE 'm' END END AS matched
+ FROM (SELECT DISTINCT model FROM {shape('part', MODELS)})""")
+def price_prefix(spark, d):
+    prices = shaped(spark, d, "part", PRICED).distinct().withColumn("prompt_price", F.lit(1.0)).withColumn("completion_price", F.lit(2.0))
+    return ledger.priced(shaped(spark, d, "part", MODELS), prices).select("model", "matched")
