@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import batch, context, dedup, glossary, harvest, ledger, matching, proposals, reading, retrieval, summaries, tables
+from folioscope.operators import batch, context, dedup, glossary, harvest, ledger, matching, merging, proposals, reading, retrieval, summaries, tables
 from folioscope.streaming import live
 
 QUERIES: dict = {}
@@ -1069,3 +1069,42 @@ PRICED = {"name": "CASE WHEN p_size >= 25 THEN 'm' ELSE 'm-' || p_size END"}
 def price_prefix(spark, d):
     prices = shaped(spark, d, "part", PRICED).distinct().withColumn("prompt_price", F.lit(1.0)).withColumn("completion_price", F.lit(2.0))
     return ledger.priced(shaped(spark, d, "part", MODELS), prices).select("model", "matched")
+
+
+# merges in full: every part into the first of its ten, with the aliases and mentions of its order lines
+
+NOW = 1_700_000_000_000
+SQL_PAIRS = f"(SELECT winner_id, loser_id FROM {shape('part', MERGED)} WHERE NOT same AND winner_id IN (SELECT id FROM {SQL_BOOK}))"
+MENTIONS = {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "entry_id": "'g' || l_partkey"}
+REVISIONS = {"id": "'r' || l_orderkey || '-' || l_linenumber", "entry_id": "'g' || l_partkey", "prev_target_term": "l_returnflag", "new_target_term": "l_returnflag || l_linenumber", "reason": "'edit'", "created_at": "l_suppkey"}
+
+
+def _merged(spark, d) -> dict[str, DataFrame]:
+    line = lambda exprs: shaped(spark, d, "lineitem", exprs)
+    entries = book(spark, d).withColumn("updated_at", F.col("created_at"))
+    return merging.merged(entries, line(ALIASES).withColumn("id", F.lit(None).cast("string")), line(MENTIONS), line(REVISIONS), shaped(spark, d, "part", MERGED).drop("same"), NOW)
+
+
+@query(f"SELECT id, CASE WHEN id IN (SELECT winner_id FROM {SQL_PAIRS}) THEN {NOW} ELSE created_at END AS updated_at FROM {SQL_BOOK} WHERE id NOT IN (SELECT loser_id FROM {SQL_PAIRS})")
+def merged_entries(spark, d):
+    return _merged(spark, d)["entries"].select("id", "updated_at")
+
+
+_WORDS = f"(SELECT id, 'source' AS side, source_term AS text FROM {SQL_BOOK} WHERE source_term <> '' UNION SELECT id, 'target', target_term FROM {SQL_BOOK} WHERE target_term <> '' UNION SELECT entry_id, side, text FROM {SQL_ALIASES})"
+
+
+@query(f"""SELECT entry_id, side, text FROM {SQL_ALIASES} WHERE entry_id NOT IN (SELECT loser_id FROM {SQL_PAIRS}) UNION ALL
+ SELECT * FROM (SELECT winner_id, side, text FROM {SQL_PAIRS} JOIN {_WORDS} ON id = loser_id EXCEPT SELECT id, side, text FROM {_WORDS})""")
+def merged_aliases(spark, d):
+    return _merged(spark, d)["aliases"].select("entry_id", "side", "text")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, coalesce(winner_id, entry_id) AS entry_id FROM {shape('lineitem', MENTIONS)} LEFT JOIN {SQL_PAIRS} ON loser_id = entry_id")
+def merged_mentions(spark, d):
+    return _merged(spark, d)["mentions"]
+
+
+@query(f"""SELECT entry_id, prev_target_term, new_target_term, reason, created_at FROM {shape('lineitem', REVISIONS)} WHERE entry_id NOT IN (SELECT loser_id FROM {SQL_PAIRS}) UNION ALL
+ SELECT id, target_term, target_term, 'merge', {NOW} FROM {SQL_BOOK} WHERE id IN (SELECT winner_id FROM {SQL_PAIRS})""")
+def merged_revisions(spark, d):
+    return _merged(spark, d)["revisions"].drop("id")
