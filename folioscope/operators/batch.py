@@ -42,16 +42,21 @@ def until(rows: DataFrame, chapter: str, idx: str, cost: str, failed: Column, bu
     return r.select(*rows.columns)
 
 
+def asked(segments: DataFrame, glossary_hash: str, model: str, most: int = 3, chars: int = 400, system: str = "translate") -> DataFrame:
+    """Segments that need a model call, with their ``context``, the text ``user`` that asks it and its ``cache_key``."""
+    s = segments.where(~T.trivially_empty(F.col("source_text")))
+    s = context.previous(s, "chapter", "idx", "source_text", most, chars)
+    s = s.withColumn("user", F.concat_ws("\n\n", F.array_join(F.transform(F.reverse("context"), lambda c: c["t"]), "\n"), F.col("source_text")))
+    hashes = ledger.message_hash(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), F.col("user").alias("content"))))
+    return s.withColumn("_h", hashes).withColumn("cache_key", ledger.cache_key(F.lit(model), F.col("_h.sys"), F.col("_h.usr"), F.lit(glossary_hash))).drop("_h")
+
+
 def run(segments: DataFrame, entries: DataFrame, calls: DataFrame, glossary_hash: str, model: str = "mock", price: float = 0.0, budget: float = float("inf"), window: int = 100, trip: int = 10, most: int = 3, chars: int = 400, target_lang: str = "en", fails: Column | None = None) -> DataFrame:
     """Outcome of each segment ``(id, chapter, idx, source_text)``: target, key, cache hit, cost, violations, status.
 
     ``fails`` says for which segments the model call fails.
     """
-    s = segments.where(~T.trivially_empty(F.col("source_text")))
-    s = context.previous(s, "chapter", "idx", "source_text", most, chars)
-    user = F.concat_ws("\n\n", F.array_join(F.transform(F.reverse("context"), lambda c: c["t"]), "\n"), F.col("source_text"))
-    hashes = ledger.message_hash(F.array(F.struct(F.lit("system").alias("role"), F.lit("translate").alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content"))))
-    s = s.withColumn("_h", hashes).withColumn("cache_key", ledger.cache_key(F.lit(model), F.col("_h.sys"), F.col("_h.usr"), F.lit(glossary_hash))).drop("_h")
+    s = asked(segments, glossary_hash, model, most, chars)
     reply = ledger.mock_chat(F.col("source_text"))
     s = ledger.replay(s.withColumn("price", F.lit(price) * reply["completion_tokens"]), calls)
     s = s.withColumn("target_text", T.outer_space(F.col("source_text"), reply["content"])).withColumn("tokens", reply["prompt_tokens"] + reply["completion_tokens"])

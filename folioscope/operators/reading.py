@@ -62,6 +62,20 @@ def listed(entries: DataFrame, lore: bool = False) -> list[Column]:
     return [F.coalesce("source_term", "target_term") if lore else F.coalesce("source_term", F.lit("")), F.col("id")]
 
 
+def sorted_by(key: str, descending: bool = False) -> list[Column]:
+    """Order of a glossary table under one of its heads; ``uses`` is a column of mention counts. Ties go by id."""
+    rank = F.when(F.col("status") == "proposed", 0).when(F.col("status") == "confirmed", 1).when(F.col("status") == "locked", 2).otherwise(99)
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    heads = {"status": rank, "type": F.coalesce("type", F.lit("")), "source": low("source_term"), "target": low("target_term"), "uses": F.coalesce("uses", F.lit(0)), "updated": F.coalesce("updated_at", F.lit(0))}
+    return [heads[key].desc() if descending else heads[key].asc(), F.col("id").asc()]
+
+
+def history(table: str) -> list[Column]:
+    """Order of what belongs to one entry, book or segment: aliases by side and text, revisions as they came, sources and calls the newest first."""
+    orders = {"aliases": ["side", "text"], "revisions": ["created_at", "id"], "sources": [F.desc("ingested_at"), "id"], "calls": [F.desc("created_at"), "call_id"]}
+    return [F.col(c) if isinstance(c, str) else c for c in orders[table]]
+
+
 def intake_runs(runs: DataFrame, kind: str | None = None, chapter: str | None = None, limit: int = 100) -> DataFrame:
     """The latest intake runs, optionally of one kind or chapter."""
     r = runs if kind is None else runs.where(F.col("kind") == kind)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import batch, context, dedup, glossary, harvest, ledger, matching, merging, proposals, reading, retrieval, summaries, tables
+from folioscope.operators import attachments, batch, context, dedup, glossary, harvest, imports, ledger, matching, merging, proposals, reading, replays, retrieval, summaries, tables
+from folioscope.plans.staging import shared_dir
+from folioscope.sources import lorebook
 from folioscope.streaming import live
 
 QUERIES: dict = {}
@@ -1108,3 +1111,177 @@ def merged_mentions(spark, d):
  SELECT id, target_term, target_term, 'merge', {NOW} FROM {SQL_BOOK} WHERE id IN (SELECT winner_id FROM {SQL_PAIRS})""")
 def merged_revisions(spark, d):
     return _merged(spark, d)["revisions"].drop("id")
+
+
+# imports in full: orders come into a glossary of customers
+
+ARRIVED = {
+    "seq": "o_orderkey", "source_term": "CASE WHEN o_custkey % 7 > 0 THEN 'term' || o_custkey % 500 END", "type": one_of("o_orderkey", "'term'", "'place'"), "target_term": "o_orderstatus || o_custkey % 11",
+    "status": one_of("o_custkey", "'locked'", "'confirmed'", "'proposed'"), "gender": "CASE WHEN o_orderkey % 5 = 0 THEN 'f' END", "notes": "o_orderpriority", "source_known": "o_custkey % 7 > 0",
+    "source_aliases": "split('x' || o_custkey % 5 || ',y,' || o_orderstatus, ',')", "target_aliases": "split(o_orderpriority, '-')",
+}
+HELD = {
+    "id": "'c' || c_custkey", "project_id": "CASE WHEN c_custkey % 6 > 0 THEN 'p' ELSE 'q' END", "source_term": "'term' || c_custkey % 300", "type": one_of("c_custkey", "'term'", "'place'"), "target_term": "c_mktsegment",
+    "status": "'confirmed'", "gender": "CASE WHEN c_custkey % 5 = 0 THEN 'f' END", "notes": "c_name", "source_known": "true", "created_at": "c_custkey", "updated_at": "c_custkey",
+}
+HELD_ALIASES = {"id": "'a' || c_custkey", "entry_id": "'c' || c_custkey", "side": one_of("c_custkey", "'source'", "'target'", "'source'"), "text": "c_mktsegment"}
+SQL_STEPS = f"""WITH k AS (SELECT source_term AS s, type AS t, min(id) AS kid, arg_min(target_term, id) AS kt, arg_min(status, id) AS ks FROM {shape('customer', HELD)} WHERE project_id = 'p' GROUP BY ALL),
+ r AS (SELECT i.*, kid, coalesce(lag(target_term) OVER w, kt) AS pt, coalesce(lag(status) OVER w, ks) AS ps, coalesce(kid, left(sha256('p' || chr(1) || 'import' || chr(1) || first_value(seq) OVER w), 32)) AS entry_id, row_number() OVER w AS n,
+ coalesce(kt, first_value(target_term) OVER w) AS ft, first_value(source_aliases) OVER w AS fs FROM {shape('orders', ARRIVED)} i LEFT JOIN k ON source_term = s AND type = t
+ WINDOW w AS (PARTITION BY source_term, type, CASE WHEN source_term IS NULL THEN seq END ORDER BY seq))"""
+
+
+def _imported(spark, d, policy: str) -> dict[str, DataFrame]:
+    held = shaped(spark, d, "customer", HELD_ALIASES), spark.createDataFrame([], lorebook.SCHEMAS["revisions"])
+    return imports.imported(shaped(spark, d, "customer", HELD).withColumn("updated_at", F.col("updated_at").cast("bigint")), *held, shaped(spark, d, "orders", ARRIVED), "p", policy, NOW)
+
+
+@query(f"{SQL_STEPS} SELECT seq, entry_id, CASE WHEN kid IS NULL AND n = 1 THEN 'created' ELSE 'updated' END AS outcome FROM r")
+def import_outcomes(spark, d):
+    return _imported(spark, d, "overwrite")["outcomes"]
+
+
+@query(f"""{SQL_STEPS}, l AS (SELECT entry_id, arg_max(target_term, seq) AS lt, arg_max(notes, seq) AS ln FROM r GROUP BY entry_id)
+ SELECT id, project_id, coalesce(lt, target_term) AS target_term, coalesce(ln, notes) AS notes, CAST(CASE WHEN lt IS NOT NULL THEN {NOW} ELSE updated_at END AS BIGINT) AS updated_at FROM {shape('customer', HELD)} LEFT JOIN l ON id = entry_id
+ UNION ALL SELECT entry_id, 'p', lt, ln, {NOW} FROM l WHERE entry_id NOT IN (SELECT id FROM {shape('customer', HELD)})""")
+def import_entries(spark, d):
+    return _imported(spark, d, "overwrite")["entries"].select("id", "project_id", "target_term", "notes", "updated_at")
+
+
+@query(f"{SQL_STEPS} SELECT entry_id, pt AS prev_target_term, target_term AS new_target_term, 'import_json:overwrite' AS reason FROM r WHERE (kid IS NOT NULL OR n > 1) AND (target_term <> pt OR status <> ps)")
+def import_revisions(spark, d):
+    return _imported(spark, d, "overwrite")["revisions"].select("entry_id", "prev_target_term", "new_target_term", "reason")
+
+
+@query(f"""{SQL_STEPS}, l AS (SELECT entry_id, arg_max(source_aliases, seq) AS sa, arg_max(target_aliases, seq) AS ta FROM r GROUP BY entry_id)
+ SELECT DISTINCT entry_id, side, text FROM (SELECT entry_id, 'source' AS side, unnest(sa) AS text FROM l UNION ALL SELECT entry_id, 'target', unnest(ta) FROM l) WHERE text <> ''
+ UNION ALL SELECT entry_id, side, text FROM {shape('customer', HELD_ALIASES)} WHERE entry_id NOT IN (SELECT entry_id FROM l)""")
+def import_aliases(spark, d):
+    return _imported(spark, d, "overwrite")["aliases"].select("entry_id", "side", "text")
+
+
+@query(f"""{SQL_STEPS} SELECT seq, r.entry_id AS existing_id, ft AS existing_target, target_term AS incoming_target, CASE WHEN kid IS NULL THEN array_to_string(list_sort(list_distinct(fs)), ',') ELSE CASE WHEN a.side = 'source' THEN a.text ELSE '' END END AS existing_aliases,
+ source_aliases[1] || ',' || source_aliases[2] || ',' || source_aliases[3] AS incoming_aliases FROM r LEFT JOIN {shape('customer', HELD_ALIASES)} a ON a.entry_id = kid WHERE kid IS NOT NULL OR n > 1""")
+def import_conflicts(spark, d):
+    c = _imported(spark, d, "collect")["conflicts"]
+    return c.select("seq", "existing_id", F.col("existing.target_term").alias("existing_target"), F.col("incoming.target_term").alias("incoming_target"), F.array_join("existing.source_aliases", ",").alias("existing_aliases"), F.array_join("incoming.source_aliases", ",").alias("incoming_aliases"))
+
+
+# a lore book as a bundle: the parts of one brand, written and read again under a new id
+
+BRAND, FRESH = "Brand#1", "lore-2"
+SQL_SOLD = f"(SELECT DISTINCT 'a' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id, 'g' || l_partkey AS entry_id, CASE WHEN l_linenumber % 2 = 0 THEN 'source' ELSE 'target' END AS side, l_returnflag AS text FROM lineitem)"
+
+
+def _bundle(spark, d) -> dict[str, DataFrame]:
+    meta = tab(spark, d, "part").select(F.col("p_brand").alias("id")).distinct().select("id", F.concat(F.lit("Book of "), "id").alias("name"), F.lit("en").alias("source_lang"), F.lit("de").alias("target_lang"), F.lit(None).cast("string").alias("description"), F.lit("term").alias("default_proposal_kind"), F.lit(1).cast("bigint").alias("created_at"))
+    sold = tab(spark, d, "lineitem").select(F.concat(F.lit("a"), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber")).alias("id"), F.concat(F.lit("g"), "l_partkey").alias("entry_id"), F.when(F.col("l_linenumber") % 2 == 0, "source").otherwise("target").alias("side"), F.col("l_returnflag").alias("text"))
+    revisions = shaped(spark, d, "lineitem", REVISIONS)
+    sources = tab(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 5).alias("project_id"), F.lit("epub").alias("kind"), F.col("s_name").alias("title"), F.lit("").alias("path"), F.col("s_suppkey").alias("ingested_at"))
+    path = f"{shared_dir(spark)}/folioscope/lore-{uuid.uuid4().hex}"
+    lorebook.export_lore(BRAND, meta, {"entries": book(spark, d), "aliases": sold.distinct(), "revisions": revisions, "sources": sources}, path, NOW)
+    return lorebook.import_lore(spark, path, FRESH, NOW)
+
+
+_NEW = f"left(sha256('{FRESH}' || chr(1) || {{}}), 32)"
+
+
+@query(f"SELECT {_NEW.format('id')} AS id, '{FRESH}' AS project_id, source_term, target_term, status, source_known FROM {SQL_BOOK} WHERE project_id = '{BRAND}'")
+def lore_bundle_entries(spark, d):
+    return _bundle(spark, d)["entries"].select("id", "project_id", "source_term", "target_term", "status", "source_known")
+
+
+@query(f"SELECT {_NEW.format('id')} AS id, {_NEW.format('entry_id')} AS entry_id, side, text FROM {SQL_SOLD} WHERE entry_id IN (SELECT id FROM {SQL_BOOK} WHERE project_id = '{BRAND}')")
+def lore_bundle_aliases(spark, d):
+    return _bundle(spark, d)["aliases"]
+
+
+@query(f"""SELECT 'lore.imported' AS kind, '{FRESH}' AS project_id, '{{"source_id":"{BRAND}","entries":' || (SELECT count(*) FROM {SQL_BOOK} WHERE project_id = '{BRAND}') || ',"aliases":' ||
+ (SELECT count(*) FROM {SQL_SOLD} WHERE entry_id IN (SELECT id FROM {SQL_BOOK} WHERE project_id = '{BRAND}')) || ',"schema_version":1}}' AS payload_json""")
+def lore_bundle_event(spark, d):
+    return _bundle(spark, d)["events"].select("kind", "project_id", "payload_json")
+
+
+# previews and replays
+
+SQL_ASKED = """(WITH c AS (SELECT a.conv_id, a.turn, b.turn AS bt, trim(b.text) AS t, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn DESC) AS k, sum(length(trim(b.text))) OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn DESC) AS run
+ FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 12 WHERE trim(b.text) <> ''),
+ g AS (SELECT conv_id, turn, string_agg(t, chr(10) ORDER BY bt) AS before, count(*) AS n FROM c WHERE k <= 3 AND (k = 1 OR run <= 400) GROUP BY ALL)
+ SELECT conv_id || '-' || turn AS id, role, coalesce(before, '') || chr(10) || chr(10) || text AS user_text, CAST(coalesce(n, 0) AS INTEGER) AS n_context FROM conversations LEFT JOIN g USING (conv_id, turn) WHERE trim(text) <> '')"""
+SQL_KEYED = f"(SELECT *, sha256('mock:' || sha256('translate') || ':' || sha256('user' || chr(0) || user_text) || ':' || repeat('0', 32)) AS cache_key FROM {SQL_ASKED})"
+
+
+@query(f"""SELECT k.id, n_context, CAST(2 + greatest(1, floor(length(user_text) / 4)) AS BIGINT) AS prompt_tokens, cache_key, sha256(user_text) AS user_sha256, h.hit_id FROM {SQL_KEYED} k LEFT JOIN
+ (SELECT cache_key, min(id) AS hit_id FROM {SQL_KEYED} WHERE role = 'assistant' GROUP BY cache_key) h USING (cache_key)""")
+def segment_previews(spark, d):
+    c = tab(spark, d, "conversations")
+    s = c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("chapter"), F.col("turn").alias("idx"), F.col("text").alias("source_text"), "role")
+    calls = batch.asked(s, "0" * 32, "mock").where("role = 'assistant'").select(F.col("id").alias("call_id"), "cache_key", F.lit(True).alias("ok"), F.lit(0).alias("created_at"))
+    return replays.preview(s, calls, "0" * 32).select("id", "n_context", "prompt_tokens", "cache_key", F.sha2("user_text", 256).alias("user_sha256"), "hit_id")
+
+
+SQL_HITS = f"(SELECT s.*, k.c FROM {SEGMENTS} s JOIN (SELECT source_text AS k, min(doc_id) AS c FROM {SEGMENTS} WHERE status <> 'pending' GROUP BY source_text) k ON s.source_text = k.k)"
+SQL_FOUND = f"(SELECT doc_id, count(*) AS n, bool_or(severity = 'error' OR entry_id IS NULL) AS bad FROM ({ORACLE_SQL['all_violations']}) GROUP BY doc_id)"
+
+
+def _replayed(spark, d) -> dict[str, DataFrame]:
+    """Documents asked again where a labelled document had the same text; a third of the replies are plain content, a few of no use."""
+    s = segments(spark, d).withColumn("cache_key", F.sha2("source_text", 256))
+    k = F.col("doc_id") % 9
+    content = F.to_json(F.struct(F.to_json(F.struct(F.col("target_text").alias("target"))).alias("content")))
+    response = F.when(k < 5, F.to_json(F.struct(F.struct(F.col("target_text").alias("target")).alias("trace")))).when(k < 8, content).otherwise(F.lit("{}"))
+    calls = s.where("status <> 'pending'").select(F.col("doc_id").alias("call_id"), "cache_key", F.lit(True).alias("ok"), F.lit(0).alias("created_at"), F.lit("m").alias("model"), F.lit(1).alias("prompt_tokens"), F.lit(2).alias("completion_tokens"), response.alias("response"))
+    g = values(spark, GLOSSARY).withColumn("target_aliases", F.array().cast("array<string>"))
+    asked = s.select(F.col("doc_id").alias("id"), "source_text", "cache_key", F.array().cast("array<string>").alias("kinds"))
+    return replays.replayed(asked, calls, g, "de", NOW)
+
+
+@query(f"""SELECT h.doc_id AS id, CASE WHEN c % 9 < 8 THEN sha256(target_text) END AS target_sha256, CASE WHEN c % 9 = 8 THEN 'failed' WHEN bad THEN 'flagged' ELSE 'translated' END AS status, CAST(CASE WHEN c % 9 < 8 THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS n_violations,
+ CASE WHEN c % 9 = 8 THEN 'cached call has no usable reply' END AS error FROM {SQL_HITS} h LEFT JOIN {SQL_FOUND} v ON v.doc_id = h.doc_id""")
+def replayed_segments(spark, d):
+    return _replayed(spark, d)["segments"].select("id", F.sha2("target_text", 256).alias("target_sha256"), "status", "n_violations", "error")
+
+
+@query(f"SELECT h.doc_id AS segment_id, unnest(CASE WHEN n > 0 THEN ['segment.translated', 'segment.flagged'] ELSE ['segment.translated'] END) AS kind, coalesce(n, 0) AS violations FROM {SQL_HITS} h LEFT JOIN {SQL_FOUND} v ON v.doc_id = h.doc_id WHERE c % 9 < 8")
+def replay_events(spark, d):
+    return _replayed(spark, d)["events"].select("segment_id", "kind", F.get_json_object("payload_json", "$.violations").cast("bigint").alias("violations"))
+
+
+# orders of glossary tables and of what belongs to their entries
+
+_HEADS = {"status": f"CASE status WHEN 'proposed' THEN 0 WHEN 'confirmed' THEN 1 WHEN 'locked' THEN 2 ELSE 99 END", "type": "type", "source": "lower(coalesce(source_term, ''))", "target": "lower(target_term)", "uses": "coalesce(uses, 0)", "updated": "created_at"}  # noqa: F541
+_PLACES = ", ".join(f"row_number() OVER (PARTITION BY project_id ORDER BY {e}{' DESC' if h in ('uses', 'updated') else ''}, id) AS by_{h}" for h, e in _HEADS.items())
+
+
+@query(f"SELECT id, {_PLACES} FROM {SQL_BOOK} LEFT JOIN (SELECT entry_id, count(*) AS uses FROM {shape('lineitem', MENTIONS)} GROUP BY entry_id) ON id = entry_id")
+def glossary_sorted(spark, d):
+    uses = shaped(spark, d, "lineitem", MENTIONS).groupBy("entry_id").agg(F.count(F.lit(1)).alias("uses"))
+    g = book(spark, d).withColumn("updated_at", F.col("created_at")).join(uses, F.col("id") == F.col("entry_id"), "left")
+    place = lambda h: F.row_number().over(W.partitionBy("project_id").orderBy(*reading.sorted_by(h, h in ("uses", "updated")))).cast("bigint").alias(f"by_{h}")
+    return g.select("id", *map(place, _HEADS))
+
+
+@query(f"SELECT entry_id, id, row_number() OVER (PARTITION BY entry_id ORDER BY created_at, id) AS place FROM {shape('lineitem', REVISIONS)}")
+def revision_order(spark, d):
+    return shaped(spark, d, "lineitem", REVISIONS).select("entry_id", "id", F.row_number().over(W.partitionBy("entry_id").orderBy(*reading.history("revisions"))).cast("bigint").alias("place"))
+
+
+# lore books attached to projects, by a log of commands
+
+
+@query("""WITH a AS (SELECT o_custkey % 40 AS p, o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 60 END AS e, CAST(count(*) FILTER (o_orderkey % 5 <> 0) OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS BIGINT) AS c FROM orders)
+ SELECT 'p' || p AS project_id, 'l' || seq AS lore_id, CAST(coalesce(e, c + max(coalesce(e - c, -1)) OVER (PARTITION BY p ORDER BY seq)) AS BIGINT) AS priority, seq AS attached_at FROM a""")
+def lore_attached(spark, d):
+    o = tab(spark, d, "orders").select(F.concat(F.lit("p"), F.col("o_custkey") % 40).alias("project_id"), F.col("o_orderkey").alias("seq"), F.lit("attach").alias("verb"), F.concat(F.lit("l"), "o_orderkey").alias("lore_id"), F.lit(None).cast("string").alias("mode"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") % 60).alias("priority"))
+    return attachments.attached_after(attachments.facts(o)).select("project_id", "lore_id", "priority", "attached_at")
+
+
+@query("""WITH e AS (SELECT 'p' || user_id % 20 AS project_id, event_id AS seq, 'l' || user_id AS lore_id, event_type AS t FROM events WHERE event_type <> 'view'),
+ s AS (SELECT *, max(CASE WHEN t IN ('signup', 'click') THEN seq END) OVER w AS a, max(CASE WHEN t = 'error' THEN seq END) OVER w AS x FROM e WINDOW w AS (PARTITION BY project_id, lore_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ f AS (SELECT *, coalesce(a > coalesce(x, -1), false) AS there FROM s)
+ SELECT project_id, seq, lore_id, CASE t WHEN 'error' THEN 'lore.detached' WHEN 'purchase' THEN 'lore.mode_changed' ELSE 'lore.attached' END AS kind, CASE WHEN t IN ('signup', 'click') THEN there END AS updated FROM f WHERE there OR t IN ('signup', 'click')""")
+def lore_events(spark, d):
+    e = tab(spark, d, "events").where("event_type <> 'view'")
+    verb = F.when(F.col("event_type") == "error", "detach").when(F.col("event_type") == "purchase", "mode").otherwise("attach")
+    c = e.select(F.concat(F.lit("p"), F.col("user_id") % 20).alias("project_id"), F.col("event_id").alias("seq"), verb.alias("verb"), F.concat(F.lit("l"), "user_id").alias("lore_id"), F.lit("propose").alias("mode"), F.lit(None).cast("bigint").alias("priority"))
+    return attachments.facts(c).select("project_id", "seq", "lore_id", "kind", "updated")
