@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import attachments, batch, context, dedup, glossary, harvest, imports, ledger, matching, merging, proposals, reading, replays, retrieval, summaries, tables
+from folioscope.operators import attachments, batch, context, dedup, glossary, harvest, imports, ledger, matching, merging, prompts, proposals, reading, replays, retrieval, summaries, tables
 from folioscope.plans.staging import shared_dir
-from folioscope.sources import lorebook
+from folioscope.sources import exchange, lorebook
 from folioscope.streaming import live
 
 QUERIES: dict = {}
@@ -1285,3 +1285,187 @@ def lore_events(spark, d):
     verb = F.when(F.col("event_type") == "error", "detach").when(F.col("event_type") == "purchase", "mode").otherwise("attach")
     c = e.select(F.concat(F.lit("p"), F.col("user_id") % 20).alias("project_id"), F.col("event_id").alias("seq"), verb.alias("verb"), F.concat(F.lit("l"), "user_id").alias("lore_id"), F.lit("propose").alias("mode"), F.lit(None).cast("bigint").alias("priority"))
     return attachments.facts(c).select("project_id", "seq", "lore_id", "kind", "updated")
+
+
+# replies, options and languages
+
+
+REPLIES = {"conv_id": "conv_id", "turn": "turn", "reply": one_of("(conv_id + turn)", *("'" + x + "'" for x in ('{"target": "\' || role || turn || \'", "notes": null}', 'Here: {"target": "\' || role || \'"} done', "no reply \' || role || \'", '{"text": "\' || role || \'"}', '{"target": \' || turn || \'}', "{")))}
+_REPLY = one_of("(conv_id + turn)", "role || turn", "role", "NULL", "NULL", "CAST(turn AS VARCHAR)", "NULL")
+_FAULT = one_of("(conv_id + turn)", "NULL", "NULL", "'no JSON'", "'no target'", "NULL", "'no target'")
+
+
+@query(f"SELECT conv_id, turn, {_REPLY} IS NOT NULL AS ok, {_REPLY} AS target, {_FAULT} AS error FROM conversations")
+def parsed_replies(spark, d):
+    r = shaped(spark, d, "conversations", REPLIES).withColumn("p", prompts.parsed(F.col("reply"), "target string, notes string", "target"))
+    return r.select("conv_id", "turn", "p.ok", "p.value.target", "p.error")
+
+
+CLAIMED = {"p_partkey": "p_partkey", "term": "' ' || p_name || ' '", "kind": one_of("p_partkey", "'place'", "'planet'", "NULL", "'date_or_time'"), "confidence": "p_size / 25.0 - 0.5"}
+
+
+@query(f"SELECT p_partkey, trim(term) AS term, CASE WHEN kind IN ('place', 'date_or_time') THEN kind ELSE 'term' END AS type, round(greatest(0, least(1, CAST(confidence AS DOUBLE))), 9) AS confidence FROM {shape('part', CLAIMED)}")
+def claimed_entities(spark, d):
+    c = shaped(spark, d, "part", CLAIMED).withColumn("e", prompts.entity(F.col("term"), F.col("kind"), F.col("confidence")))
+    return c.select("p_partkey", "e.term", "e.type", F.round("e.confidence", 9).alias("confidence"))
+
+
+TAGS = {"doc_id": "doc_id", "tag": one_of("doc_id", "lang", "upper(lang)", "lang || '-XX'", "'zz-' || lang", "'DE-at'")}
+
+
+@query(f"""WITH n AS (SELECT lang, 'lang ' || lang || ' of ' || count(*) AS name FROM documents GROUP BY lang UNION ALL SELECT 'de-AT', 'Austrian') SELECT doc_id, tag, coalesce(a.name, b.name) AS name
+ FROM {shape('documents', TAGS)} t LEFT JOIN n a ON lower(a.lang) = lower(t.tag) LEFT JOIN n b ON lower(b.lang) = lower(split_part(t.tag, '-', 1))""")
+def language_names(spark, d):
+    counted = tab(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    names = counted.select("lang", F.concat(F.lit("lang "), "lang", F.lit(" of "), "n").alias("name")).unionByName(spark.sql("SELECT 'de-AT' AS lang, 'Austrian' AS name"))
+    return prompts.by_tag(shaped(spark, d, "documents", TAGS), "tag", names, "lang", "name").select("doc_id", "tag", "name")
+
+
+@query("""SELECT p_partkey, rank FROM (SELECT *, CASE WHEN lower(p_brand) = 're' OR lower(p_name) = 're' THEN 1 WHEN starts_with(lower(p_brand), 're') OR starts_with(lower(p_name), 're') THEN 2 WHEN contains(lower(p_brand), 're') OR contains(lower(p_name), 're') THEN 3 END AS rank FROM part)
+ WHERE rank IS NOT NULL ORDER BY rank, p_partkey LIMIT 12""")
+def language_search(spark, d):
+    return prompts.search(tab(spark, d, "part"), " Re ", "p_brand", "p_name", "p_partkey").select("p_partkey", "rank")
+
+
+VOICES = {"doc_id": "doc_id", "register": one_of("doc_id", "' Plain-Spoken '", "'literary'", "NULL", "'plain  spoken'", "source"), "audience": one_of("doc_id % 7", "'Young Readers'", "NULL", "'adults'", "'young_readers'", "lang", "''", "'x'")}
+_VOICE = "CASE WHEN doc_id % 5 IN (0, 3) THEN 'plain' WHEN doc_id % 7 IN (0, 3) THEN 'young' WHEN doc_id % 5 = 1 THEN 'fine' END"
+
+
+@query(f"SELECT doc_id, {_VOICE} AS profile, CASE WHEN doc_id % 4 = 0 THEN 'own ' || lang ELSE {_VOICE} || ' text' END AS guide, doc_id % 4 <> 0 AS may_apply FROM documents")
+def style_choices(spark, d):
+    rules = [("register", "plain_spoken", "plain"), ("audience", "young_readers", "young"), ("register", "literary", "fine")]
+    v = shaped(spark, d, "documents", VOICES | {"own": "CASE doc_id % 4 WHEN 0 THEN 'own ' || lang WHEN 1 THEN '  ' END"}).withColumn("profile", prompts.style(F.col("register"), F.col("audience"), rules))
+    guide = prompts.style_guide(F.col("own"), F.concat("profile", F.lit(" text")))
+    return v.select("doc_id", "profile", guide.alias("guide"), prompts.may_apply(F.when(F.col("doc_id") % 4 == 0, F.col("own")).when(F.col("doc_id") % 4 == 1, F.lit("t")), F.lit("t")).alias("may_apply"))
+
+
+OPTIONS = {"o_orderkey": "o_orderkey", "c": one_of("o_orderkey", "'' || o_custkey % 50", "'abc'", "'-' || o_custkey", "NULL", "o_custkey % 9 || '.5'", "'NaN'")}
+
+
+@query(f"SELECT o_orderkey, CASE WHEN TRY_CAST(c AS DOUBLE) IS NULL OR c = 'NaN' THEN 12.0::DOUBLE ELSE greatest(1.0::DOUBLE, least(32.0::DOUBLE, CAST(c AS DOUBLE))) END AS option FROM {shape('orders', OPTIONS)}")
+def number_options(spark, d):
+    return shaped(spark, d, "orders", OPTIONS).select("o_orderkey", prompts.clamped(F.col("c"), 12, 1, 32).alias("option"))
+
+
+STORED = {"page_id": "page_id", "c": one_of("page_id", *("'" + x + "'" for x in ('{"skeleton":[{"tag":"em","kind":"pair","attrs":{"id":"\' || page_id || \'"}}],"host_path":"/p[\' || page_id || \']","host_part":\' || page_id % 3 || \',"host_total_parts":3}', ' [{"tag":"br","kind":"void","attrs":{}},{"tag":"i","kind":"pair","attrs":{}}]', '{"host_path":"/x"}', "oops")))}
+
+
+@query(f"""SELECT page_id, CAST({one_of('page_id', '1', '2', '0', '0')} AS INTEGER) AS n, {one_of('page_id', "'em'", "'br'", 'NULL', 'NULL')} AS tag, {one_of('page_id', "'/p[' || page_id || ']'", "''", "'/x'", "''")} AS host_path,
+ CAST(CASE WHEN page_id % 4 = 0 THEN page_id % 3 ELSE 0 END AS INTEGER) AS part, CAST(CASE WHEN page_id % 4 = 0 THEN 3 ELSE 1 END AS INTEGER) AS parts FROM pages""")
+def stored_skeletons(spark, d):
+    s = shaped(spark, d, "pages", STORED).withColumn("s", prompts.skeleton(F.col("c")))
+    return s.select("page_id", F.size("s.skeleton").alias("n"), F.try_element_at("s.skeleton", F.lit(1))["tag"].alias("tag"), "s.host_path", F.col("s.host_part").alias("part"), F.col("s.host_total_parts").alias("parts"))
+
+
+PADDED = {"conv_id": "conv_id", "turn": "turn", "s": one_of("turn", "' ' || text || '  '", "text", "'   ' || text", "'  '"), "t": one_of("conv_id", "reverse(text)", "'  ' || reverse(text)", "reverse(text) || ' '")}
+_LEAD, _TRAIL = one_of("turn", "' '", "''", "'   '", "'  '"), one_of("turn", "'  '", "''", "''", "''")
+
+
+@query(f"SELECT conv_id, turn, sha256(CASE WHEN conv_id % 3 = 1 THEN t ELSE {_LEAD} || t END || CASE WHEN conv_id % 3 = 2 THEN '' ELSE {_TRAIL} END) AS sha FROM {shape('conversations', PADDED)}")
+def outer_white_space(spark, d):
+    return shaped(spark, d, "conversations", PADDED).select("conv_id", "turn", F.sha2(T.outer_space(F.col("s"), F.col("t")), 256).alias("sha"))
+
+
+_SHORT = "(n + {u} // 20) // {u} || '.' || ((n + {u} // 20) // ({u} // 10)) % 10"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN n >= 1000000000 THEN {_SHORT.format(u=10**9)} || 'B' WHEN n >= 1000000 THEN {_SHORT.format(u=10**6)} || 'M' WHEN n >= 1000 THEN {_SHORT.format(u=1000)} || 'K' ELSE CAST(n AS VARCHAR) END AS short
+ FROM (SELECT *, l_orderkey * CAST(power(7, l_linenumber) AS BIGINT) AS n FROM lineitem)""")
+def compact_numbers(spark, d):
+    n = F.col("l_orderkey") * F.pow(F.lit(7), F.col("l_linenumber")).cast("bigint")
+    return tab(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.compact_number(n).alias("short"))
+
+
+# images, hints, dialogue
+
+
+@query("""WITH h AS (SELECT l_orderkey, l_suppkey % 3 AS host, min(l_linenumber) AS idx FROM lineitem GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY idx) - 1 AS k FROM h)
+ SELECT o_orderkey AS chapter, 'i' || o_orderkey AS src, CAST(coalesce(idx, 2147483647) AS INTEGER) AS before_idx FROM orders LEFT JOIN n ON l_orderkey = o_orderkey AND k = o_custkey % 4""")
+def image_places(spark, d):
+    hosts = tab(spark, d, "lineitem").select(F.col("l_orderkey").alias("chapter"), (F.col("l_suppkey") % 3).alias("host_path"), F.col("l_linenumber").alias("idx"))
+    images = tab(spark, d, "orders").select(F.col("o_orderkey").alias("chapter"), F.concat(F.lit("i"), "o_orderkey").alias("src"), (F.col("o_custkey") % 4).alias("splice_at"))
+    return retrieval.image_places(hosts, images)
+
+
+INLINE = {"page_id": "page_id", "src": one_of("page_id", "'../img/p%20' || page_id || '.PNG?x=1'", "'/top/' || page_id || '.gif'", "'data:image/png;base64,x'", "'http://x/' || page_id || '.png'", "'a+b' || page_id || '.svg#f'", "'bad%ff' || page_id || '.jpg'", "NULL", "'#f'"), "name": one_of("page_id % 3", "'src'", "'href'", "'xlink:href'")}
+_PATH = one_of("page_id", "'OEBPS/img/p ' || page_id || '.PNG'", "'top/' || page_id || '.gif'", "NULL", "NULL", "'OEBPS/text/a+b' || page_id || '.svg'", "'OEBPS/text/bad%ff' || page_id || '.jpg'", "NULL", "NULL")
+_KIND = one_of("page_id", "'image/png'", "'image/gif'", "NULL", "NULL", "'image/svg+xml'", "'image/jpeg'", "NULL", "NULL")
+
+
+@query(f"SELECT page_id AS id, 1 AS token, {_PATH} AS path, {_KIND} AS mime, page_id % 16 < 8 AS found FROM pages WHERE {_PATH} IS NOT NULL")
+def inline_images(spark, d):
+    p = shaped(spark, d, "pages", INLINE).withColumn("chapter_href", F.lit("OEBPS/text/ch.xhtml"))
+    token = lambda tag, kind, attrs: F.struct(F.lit(tag).alias("tag"), F.lit(kind).alias("kind"), attrs.alias("attrs"))
+    s = p.select(F.col("page_id").alias("id"), "chapter_href", F.array(token("em", "pair", F.create_map(F.lit("src"), F.lit("x.png"))), token("IMG", "void", F.create_map("name", "src"))).alias("skeleton"))
+    assets = retrieval.inline_images(s, s.select(F.lit("").alias("path"))).where("id % 16 < 8").select("path")
+    return retrieval.inline_images(s, assets)
+
+
+@query(f"""WITH j AS (SELECT q.vec_id AS s, e.vec_id AS e, 't' || e.vec_id % 50 AS term, round({COS.format(a='q.embedding', b='e.embedding')}, 12) AS sim FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id % 3 = 1),
+ k AS (SELECT * FROM j WHERE sim >= 0.2 QUALIFY row_number() OVER (PARTITION BY s ORDER BY sim DESC, 'e:' || e) <= 8) SELECT CAST(s AS VARCHAR) AS segment_id, string_agg(CAST(e AS VARCHAR), ',' ORDER BY term, CAST(e AS VARCHAR)) AS hints FROM k GROUP BY s""")
+def proposed_hints(spark, d):
+    e = tab(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    h = retrieval.hints(e.where("id % 20 = 0"), e.where("id % 3 = 1").withColumn("source_term", F.concat(F.lit("t"), F.col("id") % 50)), 8, 0.2)
+    return h.select("segment_id", F.array_join("hints", ",").alias("hints"))
+
+
+@query(f"""WITH x AS (SELECT c.*, is_dialogue AS d FROM (SELECT doc_id, source AS chapter, trim(text) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS idx FROM documents) c JOIN ({ORACLE_SQL['dialogue_flag']}) USING (doc_id)),
+ p AS (SELECT a.doc_id, b.doc_id AS ref, row_number() OVER w AS k, sum(length(b.t)) OVER w AS run FROM x a JOIN x b ON a.chapter = b.chapter AND b.idx < a.idx AND b.idx >= a.idx - 48 AND a.d AND b.d AND b.t <> '' WINDOW w AS (PARTITION BY a.doc_id ORDER BY b.idx DESC))
+ SELECT x.doc_id, CAST(count(k) AS INTEGER) AS n_context FROM x LEFT JOIN p ON p.doc_id = x.doc_id AND k <= 3 AND (k = 1 OR run <= 4000) GROUP BY x.doc_id""")
+def dialogue_context(spark, d):
+    s = chapters(tab(spark, d, "documents")).withColumn("d", T.dialogue(F.col("text")))
+    c = context.previous(s, "chapter", "idx", "text", most=3, budget=4000, reach=16, only=F.col("d"))
+    return c.select("doc_id", F.when(F.col("d"), F.size("context")).otherwise(0).alias("n_context"))
+
+
+# round trips through files
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/folioscope/exchange-{uuid.uuid4().hex}"
+
+
+SQL_LISTED = "array_to_string(source_aliases, '|') AS source_aliases, array_to_string(target_aliases, '|') AS target_aliases"
+
+
+@query(f"SELECT source_term, target_term, type, status, source_known, notes, gender, {SQL_LISTED} FROM {SQL_ALIASED}")
+def csv_round_trip(spark, d):
+    path = _folder(spark)
+    exchange.write_csv(book_with_aliases(spark, d), path)
+    flat = lambda c: F.array_join(c, "|").alias(c)
+    return exchange.read_csv(spark, path).select("source_term", "target_term", "type", "status", "source_known", "notes", "gender", flat("source_aliases"), flat("target_aliases"))
+
+
+@query(f"SELECT source_term, target_term, type, status, source_known, notes, gender, {SQL_LISTED} FROM {SQL_ALIASED}")
+def json_round_trip(spark, d):
+    path = _folder(spark)
+    exchange.to_json(book_with_aliases(spark, d)).write.text(path)
+    flat = lambda c: F.array_join(c, "|").alias(c)
+    return exchange.read_json(spark, path).select("source_term", "target_term", "type", "status", "source_known", "notes", "gender", flat("source_aliases"), flat("target_aliases"))
+
+
+@query("SELECT vec_id, 'new' AS project_id, CAST(len(embedding) AS INTEGER) AS dim, embedding[1] AS head, embedding[-1] AS tail FROM embeddings")
+def bundle_round_trip(spark, d):
+    path, v = _folder(spark), tab(spark, d, "embeddings").select("vec_id", F.lit("old").alias("project_id"), F.col("embedding").alias("vector"))
+    exchange.export_bundle({"embeddings": v}, path, "old")
+    got = exchange.import_bundle(spark, path, {"embeddings": "vec_id bigint, project_id string, vector array<float>"}, "new")["embeddings"]
+    return got.select("vec_id", "project_id", F.size("vector").alias("dim"), F.element_at("vector", 1).alias("head"), F.element_at("vector", -1).alias("tail"))
+
+
+# the batch run over conversations, a chapter each
+
+
+_SPOKEN = "(SELECT conv_id, turn, conv_id || '-' || turn AS id, text AS source_text, '[mock-tr] ' || text AS target_text FROM conversations WHERE trim(text) <> '')"
+_WORD_PAIRS = f"(SELECT id, ws, unnest(range(1, len(ws))) AS i FROM (SELECT id, list_transform(regexp_extract_all(target_text, '\\p{{L}}+(?:''\\p{{L}}+)?'), lambda x: lower(x)) AS ws FROM {_SPOKEN}))"
+_DOUBLED = f"(SELECT id FROM {_WORD_PAIRS} WHERE ws[i] = ws[i + 1] AND list_contains((SELECT words FROM {SQL_PARTICLES} WHERE p.lang = 'en'), ws[i]))"
+
+
+@query(f"""WITH v AS (SELECT s.id, g.status = 'locked' AND g.source_known AS bad FROM {_SPOKEN} s, {duck(GLOSSARY)} WHERE g.status <> 'proposed' AND g.source_term IS NOT NULL AND {_hits('g.source_term', 's.source_text')} > 0 AND {_hits('g.target_term', 's.target_text')} = 0
+ UNION ALL SELECT id, true FROM {_DOUBLED}), n AS (SELECT id, count(*) AS n, bool_or(bad) AS bad FROM v GROUP BY id)
+ SELECT s.id, cache_key, sha256(s.target_text) AS target_sha256, CAST(coalesce(n.n, 0) AS BIGINT) AS n_violations, CASE WHEN bad THEN 'flagged' ELSE 'translated' END AS status FROM {_SPOKEN} s JOIN {SQL_KEYED} k USING (id) LEFT JOIN n USING (id)""")
+def run_statuses(spark, d):
+    s = tab(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("chapter"), F.col("turn").alias("idx"), F.col("text").alias("source_text"))
+    calls = s.select(F.col("id").alias("call_id"), F.lit("").alias("cache_key"), F.lit(False).alias("ok"), F.lit(0).alias("created_at"), F.lit(0.0).alias("cost"))
+    g = values(spark, GLOSSARY).withColumn("target_aliases", F.array().cast("array<string>"))
+    ran = batch.run(s, g, calls, "0" * 32).where(~T.trivially_empty(F.col("source_text")))
+    return ran.select("id", "cache_key", F.sha2("target_text", 256).alias("target_sha256"), "n_violations", "status")
