@@ -4,8 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from folioscope.operators import attachments, batch, replays
+from folioscope.functions import text as T
+from folioscope.operators import attachments, batch, replays, retrieval
 from folioscope.sources import lorebook
 
 
@@ -126,3 +128,17 @@ def test_previews_have_the_keys_of_a_run(spark):
     assert {r["id"]: r["cache_key"] for r in seen} == ran and not any(r["cache_hit"] for r in seen)
     known = spark.createDataFrame([("c", ran["s5"], True, 1, "m", 1, 1, "{}")], CALLS)
     assert [(r["id"], r["hit_id"]) for r in replays.preview(s, known, "h").collect() if r["cache_hit"]] == [("s5", "c")]
+
+
+def test_paths_and_inline_images(spark):
+    hrefs = {"a%20b.png": "x/a b.png", "a+b.png": "x/a+b.png", "%zz.png": "x/%zz.png", "%ff.png": "x/%ff.png", "%C3%A9.png": "x/é.png", "../up.png#f": "up.png", "./%2e%2e/up.png": "up.png", "": "x"}
+    got = spark.createDataFrame([(h,) for h in hrefs], "h string").select("h", T.resolve_path(F.lit("x/ch.html"), F.col("h")).alias("p")).collect()
+    assert {r["h"]: r["p"] for r in got} == hrefs
+    token = "struct<tag:string,kind:string,attrs:map<string,string>>"
+    rows = [
+        (1, "x/c.html", [("img", "void", {"src": "/i.png"}), ("img", "void", {"alt": "none"}), ("image", "void", {"src": " ", "xlink:href": "j.svg"}), ("img", "pair", {"src": "k.png"})]),
+        (2, "c.html", [("img", "void", {"src": "DATA:x"}), ("img", "void", {"src": "//host/i.png"}), ("img", "void", {"href": "k.gif?1"})]), (3, None, None), (4, "c.html", []),
+    ]
+    s = spark.createDataFrame(rows, f"id long, chapter_href string, skeleton array<{token}>")
+    out = retrieval.inline_images(s, spark.createDataFrame([("i.png",), ("i.png",), (None,)], "path string")).collect()
+    assert sorted(tuple(r) for r in out) == [(1, 0, "i.png", "image/png", True), (1, 2, "x/j.svg", "image/svg+xml", False), (2, 2, "k.gif", "image/gif", False)]
