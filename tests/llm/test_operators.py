@@ -757,6 +757,19 @@ def test_passages(spark, odd, empty):
     assert passages.near_passages(empty).count() == 0
 
 
+def test_passages_of_the_least_length_are_all_found(spark):
+    """Fifty words and no more: each of their shingles counts."""
+    rng = np.random.default_rng(50)
+    word = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+    rows = []
+    for k in range(200):
+        passage = word(50)
+        rows += [(2 * k, " ".join(word(30) + passage + word(30))), (2 * k + 1, " ".join(word(70) + passage + word(10)))]
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(200)}
+    assert all((r["start_word"], r["end_word"], r["ref_start"], r["ref_end"]) == (70, 120, 30, 80) for r in got)
+
+
 def test_passages_reach_brute_force(spark, docs):
     rows = texts(docs)
     grams = collections.defaultdict(set)
