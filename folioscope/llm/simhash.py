@@ -16,7 +16,7 @@ Columns other than the two that are read may have any name.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -25,12 +25,13 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from folioscope.llm.common import raw, runs, slices, whole_groups
+from folioscope.llm.common import all_pairs, raw, runs, slices, whole_groups
 from folioscope.plans.graph import connected_components, forest
 from folioscope.plans.staging import stage, unstage
 
 PAIRS_AT_ONCE = 1_000_000
-COUNT, BIG, TILE = 3, 512, 4096  # fingerprints of a document for Jaccard groups; rows of a crowded bucket; rows of a tile
+COUNT, BIG, TILE, SMALL = 3, 512, 4096, 256  # fingerprints of a document for Jaccard groups; rows of a crowded bucket; rows of a tile; rows of a key without tiles
+BLOCK, TURNED = 16, 3  # bits of a block and how many of them are turned, whatever the number of rows
 SEED = 42
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -240,10 +241,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def block_plan(n_rows: int) -> tuple[int, int]:
-    """Bits of a block and how many of them are turned: buckets stay small as the rows grow."""
-    width = 16 if n_rows < 4_000_000 else 20 if n_rows < 64_000_000 else 24
-    return width, width // 5
+def close_pairs(key: np.ndarray, fp: np.ndarray, near: int):
+    """Yield index arrays (i, j) of all rows of one key within ``near`` bits; equal keys are in a row, larger ones go tile against tile."""
+    cut = runs(key)
+    size = np.diff(cut)
+    small = np.flatnonzero(np.repeat(size, size) <= SMALL)
+    for i, j in all_pairs(key[small]):
+        ok = np.bitwise_count(fp[small[i]] ^ fp[small[j]]) <= near
+        yield small[i[ok]], small[j[ok]]
+    for x, y in zip(cut[:-1][size > SMALL].tolist(), cut[1:][size > SMALL].tolist(), strict=True):
+        for a in range(x, y, SMALL):
+            for b in range(a, y, TILE):
+                i, j = np.nonzero(np.bitwise_count(fp[a : min(a + SMALL, y), None] ^ fp[b : min(b + TILE, y)]) <= near)
+                ok = a + i < b + j
+                yield a + i[ok], b + j[ok]
 
 
 def probes(fps: np.ndarray, margins: np.ndarray, width: int, turned: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,9 +315,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is ``kept``. Each document has COUNT fingerprints. Texts at a similarity of
     0.8 differ in one bit of seven, and mostly in bits that few votes decided:
     so each block of bits names a bucket, and so does the block with every
-    choice of its least certain bits turned. Buckets hold another of the
-    fingerprints; inside, the Gray-order tree finds those within ``near`` bits,
-    and candidates are within ``wide`` bits over all. Links are thinned to
+    choice of its least certain bits turned, at any number of rows. Buckets
+    hold another of the fingerprints; all of one key are compared, those within
+    ``near`` bits are found, and candidates are within ``wide`` bits over all. Links are thinned to
     spanning forests and each document's closest one is verified on the
     shingles; where documents that candidates join are still in several groups,
     all candidates between those groups are verified too.
@@ -338,16 +349,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         schema = schema.withColumn("_similar_" + f, F.lit(None).cast("binary" if f in "mh" else "bigint"))
     held = stage(rows.mapInArrow(vote, schema.schema), "similar")
     fps = held.select(*(F.col("_similar_" + f).alias(f) for f in ("node", "n", *names, "m")))
-    width, turned = block_plan(fps.count())
     buckets = 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    per = 64 // width
+    per = 64 // BLOCK
 
     def deal(batches):
         for pdf in batches:
             pdf = pdf.drop_duplicates(names)
             fp = np.stack([pdf[c].to_numpy().view(np.uint64) for c in names], axis=1)
-            key, row = probes(fp, np.frombuffer(b"".join(pdf["m"]), np.uint8).reshape(-1, COUNT, 64), width, turned)
-            of = (key >> np.uint64(width)).astype(np.int64) // per
+            key, row = probes(fp, np.frombuffer(b"".join(pdf["m"]), np.uint8).reshape(-1, COUNT, 64), BLOCK, TURNED)
+            of = (key >> np.uint64(BLOCK)).astype(np.int64) // per
             other = fp[row, (of + 1) % COUNT]
             b = (key * MULT >> np.uint64(40)).astype(np.int64) % buckets
             order = np.lexsort((key, b))
@@ -361,14 +371,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for x, y in zip(cut, cut[1:], strict=False):
                 key = np.concatenate([np.frombuffer(v, np.uint32) for v in pdf["k"].iloc[x:y]])
                 fp = np.concatenate([np.frombuffer(v, np.uint64) for v in pdf["f"].iloc[x:y]])
-                order = np.lexsort((gray_rank(fp), key))
+                order = np.lexsort((fp, key))
                 order = order[runs(key[order], fp[order])[:-1]]
                 key, fp = key[order], fp[order]
-                of = ((key >> np.uint32(width)) // np.uint32(per)).astype(np.int64)
+                of = ((key >> np.uint32(BLOCK)) // np.uint32(per)).astype(np.int64)
                 found, left = crowded(key, fp, near)
                 some = np.flatnonzero(left)
                 held_, n = [], 0
-                for i, j in [*found, *((some[i], some[j]) for i, j in tree_join(key[some], fp[some], 0, near))]:
+                for i, j in chain(found, ((some[i], some[j]) for i, j in close_pairs(key[some], fp[some], near))):
                     held_.append(np.stack([of[i], fp[i].view(np.int64), fp[j].view(np.int64)]))
                     n += len(i)
                     if n > 2_000_000:

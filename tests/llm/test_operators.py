@@ -176,6 +176,33 @@ def test_similar_groups_recall_of_pairs_at_the_limit(spark):
     assert sum(d != c for d, c in got.items()) <= len(links)
 
 
+def test_similar_groups_do_not_depend_on_the_number_of_rows(spark, monkeypatch):
+    """Pairs at the limit have the same groups in a table that says it has a hundred million rows."""
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    rows = []
+    for _ in range(150):
+        base = [word() for _ in range(int(rng.integers(60, 400)))]
+        cut = set(rng.choice(len(base) // 10, max(1, len(base) // 46), replace=False).tolist())
+        rows += [" ".join(base), " ".join(word() if p % 10 == 0 and p // 10 in cut else w for p, w in enumerate(base))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    groups = lambda: {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    want = groups()
+    monkeypatch.setattr(type(df), "count", lambda self: 100_000_000)
+    assert groups() == want
+
+
+def test_close_pairs_match_definition(monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 16)
+    monkeypatch.setattr(simhash, "TILE", 40)
+    rng = np.random.default_rng(15)
+    key = np.repeat(np.arange(6), [1, 16, 90, 17, 0, 7])
+    fp = rng.integers(0, 1 << 20, len(key), dtype=np.uint64)
+    got = [(int(max(i, j)), int(min(i, j))) for a, b in simhash.close_pairs(key, fp, 7) for i, j in zip(a, b, strict=True)]
+    want = {(i, j) for i in range(len(key)) for j in range(i) if key[i] == key[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= 7}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_similar_groups_check_what_thinning_left_out(spark, monkeypatch):
     rng = np.random.default_rng(4)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
