@@ -897,6 +897,42 @@ def test_passages_of_templates(spark):
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 0.95 * sum((2 * k + 1, 2 * k) in set(near) for k in range(300))
 
 
+def test_passages_twice_in_one_document(spark):
+    """Both places of a passage are reported, though one leads the other and they do not match each other."""
+    rng = np.random.default_rng(3)
+    word = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(20):
+        p = word(60)
+        once, twice = (2 * k, 2 * k + 1) if k % 4 < 2 else (2 * k + 1, 2 * k)
+        rows += [(twice, " ".join(word(40) + p + word(80) + p + word(40))), (once, " ".join(word(30) + (p[:20] + word(1) + p[21:] if k % 2 else p) + word(50)))]
+        want |= {(twice, 0), (twice, 1)}
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    held = {(d, at > 110) for r in got for d, at in ((r["doc_id"], r["start_word"]), (r["ref_doc_id"], r["ref_start"]))}
+    assert want <= held
+
+
+def test_passages_beside_one_that_all_hold(spark, monkeypatch):
+    """A match elsewhere in two regions does not stand for the passage of a signature."""
+    monkeypatch.setattr(passages, "RARE", 2)
+    rng = np.random.default_rng(5)
+    word = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+    versions, common = [[word(10) for _ in range(3)] for _ in range(6)], word(60)
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, held = [], []
+    for k in range(100):
+        base = [w for v in versions for w in v[int(rng.integers(0, 3))]]
+        for n in range(2):
+            at = int(rng.integers(0, 60))
+            two = base if n == 0 else [*base[:at], *word(1), *base[at + 1 :]]
+            rows.append((2 * k + n, " ".join(common + word(5) + two + word(20))))
+            held.append(grams(two))
+    near = [(k, j) for k in range(200) for j in range(k) if len(held[k] & held[j]) >= 0.8 * len(held[k] | held[j])]
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    got = components(200, [(r["doc_id"], r["ref_doc_id"]) for r in found if min(r["end_word"], r["ref_end"]) >= 110])
+    assert sum(got[a] != got[b] for a, b in near) <= 0.02 * len(near)
+
+
 def test_passages_meet_beyond_first_and_previous(spark, monkeypatch):
     rng = np.random.default_rng(5)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
