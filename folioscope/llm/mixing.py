@@ -120,7 +120,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     keyed = exclusive_total(keyed, "no", ["doc_id", "size"], F.col("size"), rows, "start")
     spans = keyed.where("size > 0").select("doc_id", "size", "no", "start", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     lo, hi = F.greatest(F.col("start") - F.col("block") * B, F.lit(0)), F.least(F.col("start") + F.col("size") - F.col("block") * B, B)
-    spans = spans.withColumn("lo", lo).withColumn("hi", hi).join(used, ["no", "block"], "left")
+    # Spark takes the blocks for as small as the draws they grew from and would broadcast them all
+    spans = spans.withColumn("lo", lo).withColumn("hi", hi).join(used.hint("merge"), ["no", "block"], "left")
     words = F.coalesce(F.col("times") * (F.col("hi") - F.col("lo")) + F.greatest(F.lit(0), F.least("hi", "part") - F.col("lo")), F.lit(0))
     taken = spans.groupBy("doc_id", "size", "no", "start").agg(F.sum(words).alias("taken")).drop("start")
     taken = taken.unionByName(docs.where("size = 0").join(plan.select("source", "no"), docs["source"].eqNullSafe(plan["source"])).select("doc_id", "size", "no", F.lit(0).cast("bigint").alias("taken")))

@@ -511,6 +511,14 @@ def test_mixing_empty(empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_does_not_broadcast_blocks(spark):
+    """Blocks grow with the corpus, though their plan looks as small as the draws it starts from."""
+    df = spark.range(50).selectExpr("id as doc_id", "repeat('w ', 400) as text", "if(id % 2 = 0, 'a', 'b') as source")
+    mixed = mixing.mix(df)
+    joins = [line for line in mixed._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "LeftOuter" in line and "block#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         df = spark.range(n).withColumn("n", F.lit(n).cast("bigint")).withColumn("k", F.lit(3))
