@@ -221,3 +221,20 @@ def test_prose_chunks_follow_the_loop(spark):
     got = [(most, *r) for most in (300, 1200) for r in map(tuple, harvest.prose_chunks(df, "source", "doc_id", "text", most).collect())]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert all(len(r[3]) <= r[0] + 1 for r in got)  # a full stop may stand just behind the length
+
+
+@pytest.mark.parametrize("most", [0, 5, 48])
+def test_near_pairs_by_rests_and_by_segments(spark, most):
+    rng = random.Random(most)
+    keys = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(150)})
+    df = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
+    want = df.toDF("a", "x").crossJoin(df.toDF("b", "y")).where("a < b and levenshtein(x, y) <= 2 and left(x, least(3, length(x), length(y))) = left(y, least(3, length(x), length(y)))")
+    assert sorted(map(tuple, dedup.near_pairs(df, "id", "k", most=most).collect())) == sorted(map(tuple, want.select("a", "b").collect()))
+
+
+def test_numbered_names_do_not_all_meet(spark):
+    """Names that differ in their last digits share their other segments with all."""
+    names = spark.range(1000).selectExpr("format_string('Supplier#%09d', id) as k").withColumn("r", F.length("k"))
+    met = dedup.met_by_rest(names, 2, 3)
+    near = names.alias("a").join(names.alias("b"), F.expr("a.k < b.k and levenshtein(a.k, b.k, 2) >= 0")).count()
+    assert near <= met.count() < 3 * near and met.where("levenshtein(x, y, 2) >= 0").distinct().count() == near
