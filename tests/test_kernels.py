@@ -238,3 +238,13 @@ def test_numbered_names_do_not_all_meet(spark):
     met = dedup.met_by_rest(names, 2, 3)
     near = names.alias("a").join(names.alias("b"), F.expr("a.k < b.k and levenshtein(a.k, b.k, 2) >= 0")).count()
     assert near <= met.count() < 3 * near and met.where("levenshtein(x, y, 2) >= 0").distinct().count() == near
+
+
+def test_whole_groups_are_not_ranked(spark):
+    """What a group without limit returns takes no part in a shuffle."""
+    refs = spark.range(300).selectExpr("id", "array(1f, cast(id as float)) as vector", "cast(id % 3 as int) as book", "if(id % 3 = 0, 2, 0) as k", "0.0d as least")
+    got = nearest.top_k_by_group(refs.where("id < 40").select("id", "vector"), refs, "id", "vector", "book", "k", "least")
+    rows = got.where("book > 0").groupBy("query_id").count().collect()
+    assert len(rows) == 40 and {r["count"] for r in rows} == {200}
+    branches = got._jdf.queryExecution().optimizedPlan().children()
+    assert ["Window" in branches.apply(n).toString() for n in range(branches.size())] == [True, False]
