@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions import text as T
@@ -37,6 +38,28 @@ def to_json(entries: DataFrame) -> DataFrame:
     return g.select(F.to_json(F.struct(F.lit(2).alias("version"), F.transform("x", lambda r: r["e"]).alias("entries")), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_json(entries: DataFrame, path: str, most: int = 4_000_000) -> None:
+    """Snapshot files of about ``most`` characters at most, in the order of ``to_json``; no task holds more than one of them."""
+    item = F.struct(*CSV_COLUMNS)
+    order = [F.coalesce("source_term", F.lit("")), F.col("target_term"), item]
+    lines = entries.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json(item, {"ignoreNullFields": "false"}).alias("value"))
+
+    def run(batches):
+        held, room = [], most
+        whole = lambda: pd.DataFrame({"value": [f'{{"version":2,"entries":[{",".join(held)}]}}']})
+        for pdf in batches:
+            for line in pdf["value"]:
+                if held and room < len(line):
+                    yield whole()
+                    held, room = [], most
+                held.append(line)
+                room -= len(line)
+        if held:
+            yield whole()
+
+    lines.mapInPandas(run, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Entries from CSV with a header of the nine columns in any order."""
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
@@ -85,7 +108,6 @@ def import_bundle(spark: SparkSession, path: str, schemas: dict[str, str], proje
 def packed(c):
     """float32 array to little-endian bytes."""
     import numpy as np
-    import pandas as pd
 
     def run(s):
         return s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
@@ -97,7 +119,6 @@ def packed(c):
 def unpacked(c):
     """Little-endian bytes to a float32 array."""
     import numpy as np
-    import pandas as pd
 
     def run(s):
         return s.map(lambda v: None if v is None else np.frombuffer(v, "<f4"))

@@ -131,3 +131,14 @@ def test_streams_match_batch(spark, tmp_path):
     want = {r["g"]: (r["n"], r["last"], r["t"]) for r in b.groupBy("g").agg(F.count("*").alias("n"), F.max_by("fails", "event_id").alias("last"), F.max("tripped").alias("t")).collect()}
     assert {r["g"]: (r["seen"], r["fails"], r["tripped"]) for r in spark.table("t_break").collect()} == want
     assert spark.table("t_once").count() == log.select("user_id").distinct().count()
+
+
+def test_json_snapshots_of_bounded_size(spark, tmp_path):
+    rows = [(f"t{k % 700:03}", f"z{k}", "term", "locked", True, None, 'say "x"\n' if k % 3 else None, ["a"], []) for k in range(1000)]
+    e = spark.createDataFrame(rows, exchange.ENTRY)
+    exchange.write_json(e, str(tmp_path / "j"), most=20_000)
+    files = sorted((tmp_path / "j").glob("part-*"))
+    assert len(files) > 5 and max(f.stat().st_size for f in files) < 21_000 and all(len(f.read_text().splitlines()) <= 1 for f in files)
+    assert sorted(map(str, exchange.read_json(spark, str(tmp_path / "j")).collect())) == sorted(map(str, exchange.normalised(e).collect()))
+    exchange.write_json(e.limit(0), str(tmp_path / "none"))
+    assert exchange.read_json(spark, str(tmp_path / "none")).count() == 0
